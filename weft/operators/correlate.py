@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.operators.rank import join_ranks, ordinal, value_ranks
+from weft.operators.rank import attach_ranks, multi_value_ranks, ordinal
 from weft.plans.spec import CorrelationTarget
 from weft.session import cut_lineage
 
@@ -23,11 +23,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _ranked(df: DataFrame, cols: list[str], n_buckets=None) -> DataFrame:
-    out = df.select(*cols)
-    for c in cols:
-        r = value_ranks(out.select(c), c, n_buckets, rank_col=f"_r_{c}").persist()
-        out = join_ranks(out, c, r, f"_r_{c}", r.count())
-    return out
+    ranks, nd = multi_value_ranks(df, cols, n_buckets)
+    return attach_ranks(df.select(*cols), cols, ranks.persist(), nd)
 
 
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int | None = None,

@@ -45,10 +45,26 @@ def _cut_points(vals: DataFrame, col: str, n_buckets: int) -> list[float]:
     return out
 
 
+def as_double(c, dtype) -> "F.Column":
+    """Order-preserving double for numbers, timestamps (microseconds, time-zone free) and dates."""
+    import datetime as _dt
+
+    from pyspark.sql import types as T
+
+    x = F.col(c) if isinstance(c, str) else c
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), x).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(x).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(x).cast("double")
+    return x.cast("double")
+
+
 def _bucketize(vals: DataFrame, col: str, cuts: list[float], out: str = "_bkt") -> DataFrame:
     splits = [float("-inf")] + cuts + [float("inf")]
     dcol = f"{out}_x"
-    vals = vals.withColumn(dcol, F.col(col).cast("double"))
+    vals = vals.withColumn(dcol, as_double(col, vals.schema[col].dataType))
     b = Bucketizer(splits=splits, inputCol=dcol, outputCol=out, handleInvalid="keep")
     return b.transform(vals).drop(dcol).withColumn(out, F.col(out).cast("int"))
 
@@ -61,8 +77,8 @@ def value_ranks(df: DataFrame, col: str, n_buckets: int | None = None, rank_col:
     n_buckets = n_buckets or default_buckets(df)
     vc = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
           .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    vc = vc.persist()
-    cuts = _cut_points(vc, "v", n_buckets)
+    vc = vc.withColumn("_vd", as_double("v", vc.schema["v"].dataType)).persist()
+    cuts = _cut_points(vc, "_vd", n_buckets)
     b = _bucketize(vc, "v", cuts)
     totals = b.groupBy("_bkt").agg(F.sum("n").alias("_tot"))  # at most n_buckets + 1 rows
     offsets = totals.select(
@@ -133,8 +149,9 @@ def ordinal(df: DataFrame, value_col: str, key_cols: list[str], out: str = "_pos
     x = (df.where(F.col(value_col).isNotNull())
          .withColumn("_h", hex52(F.concat_ws(":", *[F.col(k).cast("string") for k in key_cols])))
          .withColumn("_hb", F.shiftright(F.col("_h"), 52 - hash_bits)))
-    g = x.groupBy(F.col(value_col).alias("_v"), "_hb").agg(F.count(F.lit(1)).alias("_c")).persist()
-    cuts = _cut_points(g, "_v", n_buckets)
+    g = x.groupBy(F.col(value_col).alias("_v"), "_hb").agg(F.count(F.lit(1)).alias("_c"))
+    g = g.withColumn("_vd", as_double("_v", g.schema["_v"].dataType)).persist()
+    cuts = _cut_points(g, "_vd", n_buckets)
     gb = _bucketize(g, "_v", cuts)
     totals = gb.groupBy("_bkt").agg(F.sum("_c").alias("_tot"))
     boff = totals.select(
@@ -151,3 +168,52 @@ def ordinal(df: DataFrame, value_col: str, key_cols: list[str], out: str = "_pos
             .drop(goff["_hb"])
             .withColumn(out, (F.col("_goff") + F.row_number().over(wr) - F.lit(1)).cast("long"))
             .drop("_v", "_goff", "_h", "_hb"))
+
+
+def multi_value_ranks(df: DataFrame, cols: list[str], n_buckets: int | None = None):
+    """Average ranks of several numeric columns in one pass.
+
+    Returns ``(ranks, n_distinct)``: ``ranks`` has columns (col, v, n, rank) -- one row per
+    distinct non-null value of each column (values compared as doubles) -- and
+    ``n_distinct`` maps each column to its number of distinct values (for broadcast decisions).
+    One shuffle collapses equal values, one aggregate finds per-column cut points, and the
+    ranking window is partitioned by (column, bucket).
+    """
+    n_buckets = n_buckets or default_buckets(df)
+    items = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])
+    long = df.select(F.explode(items).alias("x")).select("x.col", "x.v").where(F.col("v").isNotNull())
+    vc = long.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n")).persist()
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    fit = vc.groupBy("col").agg(
+        F.count(F.lit(1)).alias("nd"),
+        F.percentile_approx("v", probs, max(10000, 4 * n_buckets)).alias("cuts") if probs else F.array().alias("cuts"),
+    ).collect()  # one row per column, n_buckets numbers each
+    n_distinct = {r["col"]: int(r["nd"]) for r in fit}
+    bucket = F.lit(0)
+    for r in fit:
+        cuts = sorted(set(float(x) for x in (r["cuts"] or [])))
+        arr = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<double>")
+        bucket = F.when(F.col("col") == F.lit(r["col"]), F.size(F.filter(arr, lambda x: x < F.col("v")))).otherwise(bucket)
+    b = vc.withColumn("_bkt", bucket)
+    totals = b.groupBy("col", "_bkt").agg(F.sum("n").alias("_tot"))  # <= columns x buckets rows
+    offsets = totals.select(
+        "col", "_bkt",
+        F.coalesce(F.sum("_tot").over(Window.partitionBy("col").orderBy("_bkt")
+                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("col", "_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = (b.withColumn("_run", F.sum("n").over(w))
+             .join(F.broadcast(offsets), ["col", "_bkt"])
+             .select("col", "v", "n",
+                     (F.col("_off") + F.col("_run") - F.col("n") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias("rank")))
+    return ranks, n_distinct
+
+
+def attach_ranks(df: DataFrame, cols: list[str], ranks: DataFrame, n_distinct: dict, prefix: str = "_r_") -> DataFrame:
+    """Join each column's rank (``prefix + col``) onto the rows by value; broadcast small rank tables."""
+    out = df
+    for c in cols:
+        r = ranks.where(F.col("col") == F.lit(c)).select(F.col("v").alias("_rv"), F.col("rank").alias(prefix + c))
+        if n_distinct.get(c, 0) <= BROADCAST_ROWS:
+            r = F.broadcast(r)
+        out = out.join(r, out[c].cast("double") == r["_rv"], "left").drop("_rv")
+    return out

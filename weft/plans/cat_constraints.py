@@ -1 +1,163 @@
-"""Registered queries."""
+"""Queries for constraints (C-03, C-05..C-10) with DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weft.operators import constraints as C
+from weft.plans.registry import query
+from weft.plans.spec import Rule
+from weft.session import table
+
+CUST_RULES = [
+    Rule("customer.c_acctbal_range", "range", ("c_acctbal",), "clip", "high", 0.0, 9000.0),
+    Rule("customer.c_mktsegment_enum", "enum", ("c_mktsegment",), "flag", "medium",
+         values=("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD")),
+    Rule("customer.c_nationkey_expr", "expression", ("c_nationkey",), "flag", "medium",
+         expression="c_nationkey < 20"),
+    Rule("customer.c_missing_range", "range", ("c_missing",), "clip", "high", 0.0, 1.0),
+]
+
+
+@query("enforce_range", """
+SELECT c_custkey, CASE WHEN c_acctbal IS NULL THEN NULL ELSE least(greatest(c_acctbal, 0.0), 9000.0) END AS c_acctbal
+FROM customer""")
+def q_enforce_range(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    return C.enforce(c, [CUST_RULES[0]])
+
+
+@query("enforce_enum", """
+SELECT 'orders.o_orderstatus_enum' AS rule, 'o_orderstatus' AS "column", count(*) AS "count", 'flag' AS action
+FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('O', 'F')
+HAVING count(*) > 0""")
+def q_enforce_enum(spark, sf):
+    o = table(spark, sf, "orders")
+    r = Rule("orders.o_orderstatus_enum", "enum", ("o_orderstatus",), "flag", values=("O", "F"))
+    return C.violation_log(o, [r])
+
+
+@query("enforce_expression", """
+SELECT o_orderkey, CASE WHEN o_totalprice > 50000 THEN [] ELSE ['orders.big_enough'] END AS _violations
+FROM orders""")
+def q_enforce_expression(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    r = Rule("orders.big_enough", "expression", ("o_totalprice",), "flag", expression="o_totalprice > 50000")
+    return C.enforce(o, [r]).select("o_orderkey", "_violations")
+
+
+@query("violation_log", """
+SELECT * FROM (
+  SELECT 'customer.c_acctbal_range' AS rule, 'c_acctbal' AS "column",
+         count(*) FILTER (WHERE c_acctbal < 0 OR c_acctbal > 9000) AS "count", 'clip' AS action FROM customer
+  UNION ALL
+  SELECT 'customer.c_mktsegment_enum', 'c_mktsegment',
+         count(*) FILTER (WHERE c_mktsegment IS NULL OR c_mktsegment NOT IN ('BUILDING','AUTOMOBILE','MACHINERY','HOUSEHOLD')),
+         'flag' FROM customer
+  UNION ALL
+  SELECT 'customer.c_nationkey_expr', 'c_nationkey', count(*) FILTER (WHERE NOT (c_nationkey < 20)), 'flag' FROM customer
+) WHERE "count" > 0""")
+def q_violation_log(spark, sf):
+    return C.violation_log(table(spark, sf, "customer"), CUST_RULES)
+
+
+@query("action_reject", """
+SELECT * FROM customer WHERE NOT (c_acctbal < 0 OR c_acctbal > 9000)""")
+def q_action_reject(spark, sf):
+    r = Rule("customer.c_acctbal_reject", "range", ("c_acctbal",), "reject", "high", 0.0, 9000.0)
+    return C.enforce(table(spark, sf, "customer"), [r])
+
+
+@query("action_impute", """
+WITH mm AS (SELECT c_mktsegment AS md FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1
+       ORDER BY count(*) DESC, c_mktsegment ASC LIMIT 1)
+SELECT c_custkey, CASE WHEN c_mktsegment IS NULL OR c_mktsegment NOT IN ('BUILDING','AUTOMOBILE','MACHINERY')
+                  THEN (SELECT md FROM mm) ELSE c_mktsegment END AS c_mktsegment
+FROM customer""")
+def q_action_impute(spark, sf):
+    r = Rule("customer.seg_impute", "enum", ("c_mktsegment",), "impute", values=("BUILDING", "AUTOMOBILE", "MACHINERY"))
+    return C.enforce(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), [r])
+
+
+@query("action_flag", """
+SELECT c_custkey, list_filter([CASE WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN 'customer.bal' END,
+                               CASE WHEN c_nationkey >= 20 THEN 'customer.nat' END], lambda x: x IS NOT NULL) AS _violations
+FROM customer""")
+def q_action_flag(spark, sf):
+    rules = [Rule("customer.bal", "range", ("c_acctbal",), "flag", min_value=0.0, max_value=9000.0),
+             Rule("customer.nat", "expression", ("c_nationkey",), "flag", expression="c_nationkey < 20")]
+    return C.enforce(table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), rules) \
+        .select("c_custkey", "_violations")
+
+
+@query("rule_unique", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                            ORDER BY l_partkey NULLS FIRST, l_suppkey NULLS FIRST, l_quantity NULLS FIRST) AS rn
+  FROM lineitem) WHERE rn > 1""")
+def q_rule_unique(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return C.rule_unique(li, ["l_orderkey", "l_linenumber"])
+
+
+@query("rule_temporal", """
+SELECT l_orderkey, l_linenumber, o_orderdate, l_shipdate
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate""")
+def q_rule_temporal(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey")
+    bad = C.violation(j, Rule("li.ship_after_order", "temporal", ("o_orderdate", "l_shipdate")))
+    return j.where(bad)
+
+
+@query("rule_referential", """
+SELECT o_orderkey, o_custkey FROM orders
+WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')""")
+def q_rule_referential(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf, "customer").where(F.col("c_mktsegment") != "BUILDING")
+    return C.referential_orphans(o, "o_custkey", c, "c_custkey")
+
+
+@query("rule_causal", """
+SELECT count(*) FILTER (WHERE abs(l_extendedprice - l_quantity * 900.0) > 0.5
+                        OR (l_extendedprice IS NULL AND l_quantity IS NOT NULL)) AS violations,
+       count(*) AS n_rows
+FROM lineitem""")
+def q_rule_causal(spark, sf):
+    li = table(spark, sf, "lineitem")
+    r = Rule("lineitem.price_causal", "causal", ("l_extendedprice", "l_quantity"), expression="l_quantity * 900.0",
+             tolerance=0.5)
+    return li.agg(F.count_if(C.violation(li, r)).cast("long").alias("violations"),
+                  F.count(F.lit(1)).cast("long").alias("n_rows"))
+
+
+@query("rules_from_json", """
+WITH raw AS (
+  SELECT e.event_type AS name,
+         CASE WHEN e.value > 50 THEN 'range' WHEN e.value > 20 THEN 'Enum' ELSE 'weird' END AS type,
+         CASE WHEN e.value > 5 THEN [e.event_type] ELSE [] END AS columns,
+         CASE WHEN e.user_id % 3 = 0 THEN 'HIGH' WHEN e.user_id % 3 = 1 THEN 'bogus' ELSE NULL END AS severity
+  FROM events e)
+SELECT name,
+       CASE WHEN lower(trim(type)) IN ('range','enum','unique','not_null','expression','temporal','referential','causal')
+            THEN lower(trim(type)) ELSE 'expression' END AS kind,
+       columns,
+       CASE WHEN lower(trim(severity)) IN ('low','medium','high','critical') THEN lower(trim(severity)) ELSE 'medium' END
+         AS severity
+FROM raw WHERE name IS NOT NULL AND trim(name) <> '' AND columns IS NOT NULL AND len(columns) > 0""")
+def q_rules_from_json(spark, sf):
+    e = table(spark, sf, "events")
+    raw = e.select(
+        F.col("event_type").alias("name"),
+        F.when(F.col("value") > 50, "range").when(F.col("value") > 20, "Enum").otherwise("weird").alias("type"),
+        F.when(F.col("value") > 5, F.array("event_type")).otherwise(F.array().cast("array<string>")).alias("columns"),
+        F.when(F.col("user_id") % 3 == 0, "HIGH").when(F.col("user_id") % 3 == 1, "bogus").alias("severity"),
+    )
+    # the rule items travel as JSON text, as a model or a file would hand them over
+    as_json = raw.select(F.to_json(F.struct("*")).alias("j"))
+    parsed = as_json.select(F.from_json("j", "name string, type string, columns array<string>, severity string")
+                            .alias("r")).select("r.*")
+    return C.rules_from_json_frame(parsed)

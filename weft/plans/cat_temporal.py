@@ -1 +1,204 @@
-"""Registered queries."""
+"""Queries for temporal patterns (T-01..T-06) and scenarios (X-01..X-06) with DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weft.operators import scenario as X
+from weft.operators import temporal as TP
+from weft.plans.registry import query
+from weft.plans.spec import Scenario, SpecialEvent, TemporalPatterns
+from weft.plans.sqlkit import cdf_index_sql, cumulative, u_sql
+from weft.session import table
+
+SEED = 42
+DOW = [1, 1, 1, 1, 1, 0.5, 0.3]
+HOD = [0.2, 0.1, 0.1, 0.1, 0.1, 0.2, 0.5, 1, 2, 3, 3, 3, 2.5, 3, 3, 3, 2.5, 2, 1.5, 1, 0.8, 0.6, 0.4, 0.3]
+MONTHS = {1: 0.9, 2: 0.85, 3: 1.0, 4: 1.0, 5: 1.05, 6: 1.1, 7: 1.1, 8: 1.0, 9: 0.95, 10: 1.05, 11: 1.2, 12: 1.3}
+EVENTS = (SpecialEvent("festival", 11, None, 1.5, ("o_totalprice",)),
+          SpecialEvent("new_year", 1, 1, 2.0, ("o_totalprice",), duration_days=3),
+          SpecialEvent("mid_year", 6, 15, 1.25, ("o_totalprice", "o_custkey")))
+
+
+def _dow_sql(col, key):
+    target = cdf_index_sql(u_sql(SEED, f"dow:{col}", key), cumulative(DOW))
+    return f"({col} + to_days(CAST(((({target}) - (isodow({col}) - 1)) % 7 + 7) % 7 AS INTEGER)))"
+
+
+def _hod_sql(col, key):
+    hour = cdf_index_sql(u_sql(SEED, f"hod:{col}", key), cumulative(HOD))
+    return (f"(date_trunc('day', {col}) + to_hours(CAST({hour} AS BIGINT)) "
+            f"+ to_microseconds(CAST(microsecond({col}) % 1000000 AS BIGINT)))")
+
+
+@query("dow_reweight", f"SELECT o_orderkey, {_dow_sql('o_orderdate', 'o_orderkey')} AS o_orderdate FROM orders")
+def q_dow_reweight(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return TP.weekday_reweight(o, "o_orderdate", DOW, SEED, ["o_orderkey"])
+
+
+@query("hod_reweight", f"SELECT event_id, {_hod_sql('ts', 'event_id')} AS ts FROM events")
+def q_hod_reweight(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts")
+    return TP.hour_reweight(e, "ts", HOD, SEED, ["event_id"])
+
+
+def _month_sql(value, ts):
+    cases = " ".join(f"WHEN {k} THEN {v}" for k, v in sorted(MONTHS.items()))
+    return f"({value} * coalesce(CASE month({ts}) {cases} END, 1.0))"
+
+
+@query("monthly_seasonality", f"""
+SELECT o_orderkey, round({_month_sql('o_totalprice', 'o_orderdate')}, 6) AS o_totalprice FROM orders""")
+def q_monthly(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    out = TP.monthly_seasonality(o, MONTHS, "o_orderdate", ["o_totalprice"])
+    return out.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+def _event_factor_sql(col, ts):
+    fs = []
+    for e in EVENTS:
+        if col not in e.columns:
+            continue
+        hit = f"month({ts}) = {e.month}"
+        if e.day is not None:
+            hit += f" AND day({ts}) >= {e.day} AND day({ts}) < {e.day + e.duration_days}"
+        fs.append(f"(CASE WHEN {hit} THEN {e.multiplier} ELSE 1.0 END)")
+    return " * ".join(fs) if fs else "1.0"
+
+
+@query("special_events", f"""
+SELECT o_orderkey, round(o_totalprice * {_event_factor_sql('o_totalprice', 'o_orderdate')}, 6) AS o_totalprice,
+       CAST(round(o_custkey * {_event_factor_sql('o_custkey', 'o_orderdate')}) AS BIGINT) AS o_custkey
+FROM orders""")
+def q_special_events(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_custkey")
+    out = TP.special_events(o, EVENTS, "o_orderdate")
+    return out.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"), "o_custkey")
+
+
+PATTERNS = TemporalPatterns(tuple(DOW), tuple(HOD), MONTHS,
+                            (SpecialEvent("spike", 3, 10, 3.0, ("value",), duration_days=2),))
+
+
+def _patterns_sql():
+    ts1 = _dow_sql("ts", "event_id")
+    ts2 = _hod_sql("ts1", "event_id").replace("hod:ts1", "hod:ts")
+    ev = "(CASE WHEN month(ts2) = 3 AND day(ts2) >= 10 AND day(ts2) < 12 THEN 3.0 ELSE 1.0 END)"
+    return f"""
+WITH a AS (SELECT event_id, {ts1} AS ts1, user_id, value FROM events),
+b AS (SELECT event_id, {ts2} AS ts2, user_id, value FROM a)
+SELECT event_id, ts2 AS ts, CAST(round({_month_sql('user_id', 'ts2')}) AS BIGINT) AS user_id,
+       round({_month_sql('value', 'ts2')} * {ev}, 6) AS value FROM b"""
+
+
+@query("temporal_patterns", _patterns_sql())
+def q_temporal_patterns(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    out = TP.temporal_patterns(e, PATTERNS, SEED, ["event_id"])
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("autocorrelation", """
+SELECT 'value' AS col, CAST(count(value) AS BIGINT) AS n, round(sum(value), 6) AS total, min(value) AS lo, max(value) AS hi
+FROM events
+UNION ALL
+SELECT 'user_id', CAST(count(user_id) AS BIGINT), round(sum(user_id), 6), min(user_id), max(user_id) FROM events""")
+def q_autocorrelation(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
+    out = TP.autocorrelation(e, 0.8, "ts", ["event_id"], SEED, columns=["value", "user_id"])
+    return out.select(
+        F.explode(F.array(
+            F.struct(F.lit("value").alias("col"), F.col("value").cast("double").alias("x")),
+            F.struct(F.lit("user_id").alias("col"), F.col("user_id").cast("double").alias("x")))).alias("s")
+    ).groupBy("s.col").agg(F.count("s.x").alias("n"), F.round(F.sum("s.x"), 6).alias("total"),
+                           F.min("s.x").alias("lo"), F.max("s.x").alias("hi"))
+
+
+# ------------------------------------------------------------------ scenarios
+
+
+def _scenario_base(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("revenue"),
+                    (F.col("o_totalprice") / 10).alias("consumer_spending_usd"),
+                    F.col("o_custkey").alias("unemployment_rate_x100"), F.col("o_orderstatus"))
+
+
+_BASE_SQL = ("SELECT o_orderkey, o_orderpriority, o_totalprice AS revenue, o_totalprice / 10 AS consumer_spending_usd, "
+             "o_custkey AS unemployment_rate_x100, o_orderstatus FROM orders")
+
+
+@query("scenario_apply", f"""
+WITH b AS ({_BASE_SQL})
+SELECT o_orderkey, round(revenue * 0.78, 6) AS revenue, round(consumer_spending_usd * 0.72, 6) AS consumer_spending_usd,
+       CAST(round(unemployment_rate_x100 * 0.92 + 3.5) AS BIGINT) AS unemployment_rate_x100
+FROM b""")
+def q_scenario_apply(spark, sf):
+    out = X.apply(_scenario_base(spark, sf), X.template("recession"))
+    return out.select("o_orderkey", F.round("revenue", 6).alias("revenue"),
+                      F.round("consumer_spending_usd", 6).alias("consumer_spending_usd"), "unemployment_rate_x100")
+
+
+def _tpl_sql():
+    parts = []
+    for name, s in X.TEMPLATES.items():
+        rev = "revenue"
+        csp = "consumer_spending_usd"
+        une = "unemployment_rate_x100"
+        if "revenue" in s.multipliers:
+            rev = f"revenue * {s.multipliers['revenue']}"
+        if "consumer_spending" in s.multipliers:
+            csp = f"consumer_spending_usd * {s.multipliers['consumer_spending']}"
+        if "employment" in s.multipliers:  # 'employment' is contained in the column name too
+            une = f"{une} * {s.multipliers['employment']}"
+        if "unemployment_rate" in s.shifts:
+            une = f"{une} + {s.shifts['unemployment_rate']}"
+        une = f"round({une})"
+        parts.append(f"SELECT '{name}' AS scenario, round(sum({rev}), 4) AS sum_revenue, "
+                     f"round(sum({csp}), 4) AS sum_consumer_spending_usd, CAST(sum({une}) AS BIGINT) AS sum_unemployment_rate_x100 "
+                     f"FROM b")
+    return "WITH b AS (" + _BASE_SQL + ") " + " UNION ALL ".join(parts)
+
+
+@query("scenario_templates", _tpl_sql())
+def q_scenario_templates(spark, sf):
+    base = _scenario_base(spark, sf)
+    out = None
+    for name, s in X.TEMPLATES.items():
+        part = X.apply(base, s).agg(F.lit(name).alias("scenario"),
+                                    F.round(F.sum("revenue"), 4).alias("sum_revenue"),
+                                    F.round(F.sum("consumer_spending_usd"), 4).alias("sum_consumer_spending_usd"),
+                                    F.sum("unemployment_rate_x100").cast("long").alias("sum_unemployment_rate_x100"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_KW_SQL = " ".join(f"WHEN contains(lower(trim(text)), '{k}') THEN '{v}'" for k, v in X.KEYWORDS)
+_EXACT_SQL = " ".join(f"WHEN lower(trim(text)) = '{n}' THEN '{n}'" for n in X.TEMPLATES)
+
+
+@query("scenario_match", f"""
+SELECT conv_id, turn, coalesce(CASE {_EXACT_SQL} END, CASE {_KW_SQL} END) AS scenario FROM conversations""")
+def q_scenario_match(spark, sf):
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", X.match_scenario(F.col("text")).alias("scenario"))
+
+
+@query("scenario_compare", f"""
+WITH b AS ({_BASE_SQL}),
+u AS (SELECT 'baseline' AS scenario, o_orderpriority, revenue, consumer_spending_usd FROM b
+      UNION ALL SELECT 'recession', o_orderpriority, revenue * 0.78, consumer_spending_usd * 0.72 FROM b
+      UNION ALL SELECT 'boom', o_orderpriority, revenue * 1.35, consumer_spending_usd * 1.25 FROM b
+      UNION ALL SELECT 'custom', o_orderpriority, revenue * 1.1 - 100.0, consumer_spending_usd FROM b)
+SELECT scenario, o_orderpriority, round(sum(revenue), 4) AS sum_revenue,
+       round(sum(consumer_spending_usd), 4) AS sum_consumer_spending_usd, CAST(count(*) AS BIGINT) AS n_rows
+FROM u GROUP BY ALL""")
+def q_scenario_compare(spark, sf):
+    base = _scenario_base(spark, sf)
+    custom = Scenario("custom", {"revenue": 1.1}, {"revenue": -100.0})
+    out = X.compare(base, [X.template("recession"), X.template("boom"), custom],
+                    ["revenue", "consumer_spending_usd"], ["o_orderpriority"])
+    return out.select("scenario", "o_orderpriority", F.round("sum_revenue", 4).alias("sum_revenue"),
+                      F.round("sum_consumer_spending_usd", 4).alias("sum_consumer_spending_usd"), "n_rows")

@@ -29,7 +29,7 @@ def normal_sql(seed, tag, keys, mean=0.0, std=1.0) -> str:
 
 def cdf_index_sql(u: str, cdf) -> str:
     arr = "[" + ", ".join(repr(float(c)) for c in cdf) + "]"
-    return f"len(list_filter({arr}, c -> c <= {u}))"
+    return f"len(list_filter({arr}, lambda c: c <= {u}))"
 
 
 def cumulative(weights):
