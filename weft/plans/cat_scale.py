@@ -1 +1,215 @@
-"""Registered queries."""
+"""Queries for scaling (G-26..G-33) and rank correlation (R-01..R-05) with DuckDB oracles."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from weft.functions import rand as R
+from weft.operators import correlate as CR
+from weft.operators import scale as S
+from weft.plans.registry import query
+from weft.plans.spec import ColumnSpec, CorrelationTarget, TableSpec
+from weft.plans.sqlkit import normal_sql, u_sql
+from weft.session import table
+
+SEED = 42
+
+
+def _h_sql(key):
+    return f"CAST(('0x' || substr(sha256(CAST({key} AS VARCHAR)), 1, 13)) AS BIGINT)"
+
+
+@query("scale_down", f"""
+SELECT * FROM customer ORDER BY {u_sql(SEED, 'sample', 'c_custkey')}, c_custkey LIMIT 500""")
+def q_scale_down(spark, sf):
+    return S.scale_down(table(spark, sf, "customer"), 500, SEED, ["c_custkey"])
+
+
+def _spine10(spark, sf, name, factor=10):
+    n = table(spark, sf, name).count()
+    return spark.range(n * factor).withColumnRenamed("id", "_row"), n
+
+
+@query("scale_numeric", f"""
+WITH m AS (SELECT avg(c_acctbal) ma, greatest(stddev_samp(c_acctbal), 1e-9) sa,
+                  avg(c_nationkey) mn, greatest(stddev_samp(c_nationkey), 1e-9) sn, count(*) n FROM customer)
+SELECT range AS _row, round(ma + sa * {normal_sql(SEED, 'scale:c_acctbal', ['range'])}, 4) AS c_acctbal,
+       CAST(round(least(greatest(mn + sn * {normal_sql(SEED, 'scale:c_nationkey', ['range'])}, 0.0), 24.0)) AS INTEGER)
+         AS c_nationkey
+FROM m, range((SELECT n * 10 FROM m))""")
+def q_scale_numeric(spark, sf):
+    c = table(spark, sf, "customer")
+    spine, _ = _spine10(spark, sf, "customer")
+    kinds = {"c_acctbal": "numerical", "c_nationkey": "numerical"}
+    m = S.fit(c, kinds)
+    keys = [F.col("_row")]
+    return spine.select("_row",
+                        F.round(S.numeric_column("c_acctbal", m, SEED, keys, c.schema["c_acctbal"].dataType), 4)
+                        .alias("c_acctbal"),
+                        S.numeric_column("c_nationkey", m, SEED, keys, c.schema["c_nationkey"].dataType, 0, 24)
+                        .alias("c_nationkey"))
+
+
+@query("scale_datetime", f"""
+WITH m AS (SELECT min(o_orderdate) lo, max(o_orderdate) hi, count(*) n FROM orders)
+SELECT range AS _row,
+       lo + to_microseconds(CAST(floor({u_sql(SEED, 'scale:o_orderdate', 'range')}
+            * (CAST(epoch_us(hi) - epoch_us(lo) AS DOUBLE) * 10.0)) AS BIGINT)) AS o_orderdate
+FROM m, range((SELECT n * 10 FROM m))""")
+def q_scale_datetime(spark, sf):
+    o = table(spark, sf, "orders")
+    spine, n = _spine10(spark, sf, "orders")
+    m = S.fit(o.select("o_orderdate"), {"o_orderdate": "datetime"})
+    return spine.select("_row", S.datetime_column("o_orderdate", m, 10.0, SEED, [F.col("_row")],
+                                                  o.schema["o_orderdate"].dataType).alias("o_orderdate"))
+
+
+@query("scale_categorical", f"""
+WITH g AS (SELECT c_mktsegment AS v, count(*) cnt, {_h_sql('c_mktsegment')} AS h FROM customer
+           WHERE c_mktsegment IS NOT NULL GROUP BY ALL),
+c AS (SELECT v, h, sum(cnt) OVER (ORDER BY h, v) AS cum FROM g),
+a AS (SELECT list(cum ORDER BY h, v) AS cums, list(v ORDER BY h, v) AS vals, max(cum) AS total FROM c)
+SELECT range AS _row,
+       vals[len(list_filter(cums, lambda x: x <= floor({u_sql(SEED, 'scale:c_mktsegment', 'range')} * total))) + 1]
+         AS c_mktsegment
+FROM a, range((SELECT count(*) * 10 FROM customer))""")
+def q_scale_categorical(spark, sf):
+    c = table(spark, sf, "customer")
+    spine, _ = _spine10(spark, sf, "customer")
+    return S.categorical_draws(spine, "_row", c, "c_mktsegment", SEED).select("_row", "c_mktsegment")
+
+
+@query("scale_bootstrap", f"""
+WITH ix AS (SELECT p_name, p_brand, row_number() OVER (ORDER BY {_h_sql('p_partkey')}, p_partkey) - 1 AS _idx FROM part),
+d AS (SELECT range AS _row, CAST(floor({u_sql(SEED, 'scale:boot', 'range')} * (SELECT count(*) FROM part)) AS BIGINT) AS _idx
+      FROM range((SELECT count(*) * 3 FROM part)))
+SELECT _row, p_name, p_brand FROM d JOIN ix USING (_idx)""")
+def q_scale_bootstrap(spark, sf):
+    p = table(spark, sf, "part")
+    spine, n = _spine10(spark, sf, "part", 3)
+    return S.bootstrap(spine, "_row", p, ["p_name", "p_brand"], ["p_partkey"], SEED, n)
+
+
+@query("scale_pk", """
+SELECT CAST(count(*) * 10 AS BIGINT) AS n_rows, CAST(count(*) * 10 AS BIGINT) AS n_distinct_ids FROM customer""")
+def q_scale_pk(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.col("c_custkey").cast("string").alias("cid"))
+    n = c.count()
+    spec = TableSpec("customer", (ColumnSpec("cid", "string", primary_key=True),))
+    out = S.scale(c.select("cid", "c_mktsegment"), n * 10, SEED, ["cid"], spec)
+    return out.agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
+                   F.countDistinct("cid").cast("long").alias("n_distinct_ids"))
+
+
+RECLIP = TableSpec("customer", (ColumnSpec("c_acctbal", "float", min_value=0.0, max_value=5000.0),))
+
+
+@query("scale_reclip", f"""
+WITH m AS (SELECT avg(c_acctbal) ma, greatest(stddev_samp(c_acctbal), 1e-9) sa, count(*) n FROM customer)
+SELECT range AS _row, round(least(greatest(ma + sa * {normal_sql(SEED, 'scale:c_acctbal', ['range'])}, 0.0), 5000.0), 4)
+       AS c_acctbal
+FROM m, range((SELECT n * 10 FROM m))""")
+def q_scale_reclip(spark, sf):
+    c = table(spark, sf, "customer")
+    spine, _ = _spine10(spark, sf, "customer")
+    m = S.fit(c, {"c_acctbal": "numerical"})
+    raw = spine.select("_row", S.numeric_column("c_acctbal", m, SEED, [F.col("_row")], c.schema["c_acctbal"].dataType)
+                       .alias("c_acctbal"))
+    return S.reclip(raw, RECLIP).withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
+@query("scale_copula", """
+SELECT CAST(count(*) * 10 AS BIGINT) AS n_rows, CAST(count(*) * 10 AS BIGINT) AS n_size, CAST(count(*) * 10 AS BIGINT) AS n_price
+FROM part""")
+def q_scale_copula(spark, sf):
+    p = table(spark, sf, "part")
+    n = p.count()
+    out = S.scale_copula(p, ["p_size", "p_retailprice"], ["p_partkey"], n * 10, SEED)
+    return out.agg(F.count(F.lit(1)).cast("long").alias("n_rows"), F.count("p_size").cast("long").alias("n_size"),
+                   F.count("p_retailprice").cast("long").alias("n_price"))
+
+
+# ------------------------------------------------------------ correlation
+
+LI_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _rho_sql(src, a, b):
+    return (f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(ra, rb), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM ("
+            f"SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra, "
+            f"rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb "
+            f"FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)")
+
+
+@query("spearman_matrix", " UNION ALL ".join(_rho_sql("lineitem", a, b) for i, a in enumerate(LI_COLS)
+                                              for b in LI_COLS[i + 1:]))
+def q_spearman_matrix(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return CR.spearman_matrix(li, LI_COLS).withColumn("rho", F.round("rho", 6))
+
+
+TARGETS = [CorrelationTarget("l_quantity", "l_extendedprice", 0.9), CorrelationTarget("l_tax", "l_discount", 0.5),
+           CorrelationTarget("l_quantity", "l_tax", 0.05)]
+
+
+@query("correlation_drift", f"""
+WITH a AS ({_rho_sql('lineitem', 'l_quantity', 'l_extendedprice')} UNION ALL {_rho_sql('lineitem', 'l_tax', 'l_discount')}
+           UNION ALL {_rho_sql('lineitem', 'l_quantity', 'l_tax')}),
+t AS (SELECT * FROM (VALUES ('l_quantity', 'l_extendedprice', 0.9), ('l_tax', 'l_discount', 0.5),
+                            ('l_quantity', 'l_tax', 0.05)) AS t(t_a, t_b, target))
+SELECT t_a AS col_a, t_b AS col_b, round(rho, 6) AS actual, CAST(target AS DOUBLE) AS target,
+       round(abs(rho - target), 6) AS delta
+FROM t JOIN a ON least(t_a, t_b) = least(a.col_a, a.col_b) AND greatest(t_a, t_b) = greatest(a.col_a, a.col_b)
+WHERE abs(rho - target) > 0.15""")
+def q_correlation_drift(spark, sf):
+    li = table(spark, sf, "lineitem")
+    actual = CR.spearman_pairs(li, [(t.col_a, t.col_b) for t in TARGETS])
+    d = CR.drift(actual, CR.targets_frame(spark, TARGETS), 0.15)
+    return d.select("col_a", "col_b", F.round("actual", 6).alias("actual"), "target", F.round("delta", 6).alias("delta"))
+
+
+_W = repr(1.0 - 0.3)
+
+
+@query("rank_nudge", f"""
+WITH b AS (SELECT p_partkey, p_size, p_retailprice, {_h_sql('p_partkey')} AS h FROM part
+           WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL),
+r AS (SELECT *, row_number() OVER (ORDER BY p_size, h, p_partkey) - 1 AS ra,
+                row_number() OVER (ORDER BY p_retailprice, h, p_partkey) - 1 AS rb FROM b),
+bl AS (SELECT *, CAST({_W} AS DOUBLE) * rb + CAST(0.3 AS DOUBLE) * ra AS blend FROM r),
+p AS (SELECT p_partkey, row_number() OVER (ORDER BY blend, h, p_partkey) - 1 AS pos FROM bl),
+s AS (SELECT p_retailprice, row_number() OVER (ORDER BY p_retailprice, h, p_partkey) - 1 AS pos FROM b)
+SELECT p_partkey, p_retailprice FROM p JOIN s USING (pos)""")
+def q_rank_nudge(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    return CR.nudge(p, "p_size", "p_retailprice", 0.8, 0, ["p_partkey"]).select("p_partkey", "p_retailprice")
+
+
+def _multiset_sql(col, src="part"):
+    return (f"SELECT '{col}' AS col, CAST(count({col}) AS BIGINT) AS n, round(sum({col}), 4) AS total, "
+            f"CAST(min({col}) AS DOUBLE) AS lo, CAST(max({col}) AS DOUBLE) AS hi FROM {src}")
+
+
+def _multiset(df, cols):
+    out = None
+    for c in cols:
+        part = df.agg(F.lit(c).alias("col"), F.count(c).cast("long").alias("n"),
+                      F.round(F.sum(c), 4).alias("total"), F.min(c).cast("double").alias("lo"),
+                      F.max(c).cast("double").alias("hi"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("drift_repair", _multiset_sql("p_retailprice") + " UNION ALL " + _multiset_sql("p_size"))
+def q_drift_repair(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    fixed = CR.repair(p, [CorrelationTarget("p_size", "p_retailprice", 0.6)], ["p_partkey"], max_iter=3)
+    return _multiset(fixed, ["p_retailprice", "p_size"])
+
+
+@query("iman_conover", _multiset_sql("p_retailprice") + " UNION ALL " + _multiset_sql("p_size"))
+def q_iman_conover(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    out = S.iman_conover(p, ["p_size", "p_retailprice"], np.array([[1.0, 0.7], [0.7, 1.0]]), ["p_partkey"], SEED)
+    return _multiset(out, ["p_retailprice", "p_size"])
