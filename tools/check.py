@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def norm(v, digits):
+def norm(v, digits):  # noqa: C901
     if v is None:
         return "∅"
     if isinstance(v, float):

@@ -197,10 +197,11 @@ def q_check_correlation(spark, sf):
     return _one(A.audit(table(spark, sf, "lineitem"), None, correlations=LI_TARGETS), "correlation_consistency")
 
 
-def _audit_report_sql():
+def _audit_report_sql(extra: str = "", src: str = "dc"):
+    """The 10 check rows as CTE ``r``; ``extra`` CTEs may derive ``src`` from ``dc`` first."""
     return f"""
-WITH {_dirty_customer_sql()},
-dcx AS (SELECT *, c_acctbal AS balance_amount FROM dc),
+WITH {_dirty_customer_sql()},{extra}
+dcx AS (SELECT *, c_acctbal AS balance_amount FROM {src}),
 a AS (SELECT count(*) n,
   count(*) FILTER (WHERE c_custkey IS NULL) + count(*) FILTER (WHERE c_name IS NULL)
     + count(*) FILTER (WHERE c_mktsegment IS NULL) AS v_null,

@@ -33,6 +33,7 @@ def load_all() -> None:
         cat_constraints,
         cat_dirty,
         cat_generate,
+        cat_io,
         cat_privacy,
         cat_reports,
         cat_scale,
