@@ -82,11 +82,6 @@ def add_vectors(path: str, docs: DataFrame) -> None:
 # cell; each query is copied to the 3**n_pivots neighbouring cells and equi-joined.  Candidates
 # are then tested exactly.  No pair is lost, and only pairs within w on every pivot are scored.
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                       lambda s, x: s + x)
-
-
 def _norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0),
                               lambda s, x: s + x))
@@ -96,34 +91,73 @@ def _cells(unit: Column, n_pivots: int, width: float) -> list[Column]:
     return [F.floor(F.element_at(unit, j + 1) / F.lit(width)).cast("int") for j in range(n_pivots)]
 
 
+def _block_best(threshold: float, exclude_self: bool):
+    """Best match above ``threshold`` per query inside one (cell, query block, store block) group."""
+    import numpy as np
+    import pandas as pd
+
+    empty = pd.DataFrame({"_q": pd.Series([], dtype="int64"), "_s": pd.Series([], dtype="int64"),
+                          "_sim": pd.Series([], dtype="float64")})
+
+    def fn(qdf, sdf):
+        if len(qdf) == 0 or len(sdf) == 0:
+            return empty
+        sdf = sdf.sort_values("_s", kind="stable")  # argmax keeps the first: smaller id wins ties
+        qv = np.stack(qdf["_q_u"].to_numpy())
+        sv = np.stack(sdf["_s_u"].to_numpy())
+        sim = qv @ sv.T
+        qid = qdf["_q"].to_numpy()
+        sid = sdf["_s"].to_numpy()
+        if exclude_self:
+            sim[qid[:, None] == sid[None, :]] = -np.inf
+        j = sim.argmax(axis=1)
+        best = sim[np.arange(len(qid)), j]
+        keep = best > threshold
+        return pd.DataFrame({"_q": qid[keep].astype("int64"), "_s": sid[j[keep]].astype("int64"),
+                             "_sim": best[keep].astype("float64")})
+
+    return fn
+
+
 def nearest_vector(queries: DataFrame, store: DataFrame, q_id: str, s_id: str, vec_col: str,
-                   threshold: float = 0.92, n_pivots: int = 3, exclude_self: bool = False) -> DataFrame:
+                   threshold: float = 0.92, n_pivots: int = 3, exclude_self: bool = False,
+                   block_rows: int = 20_000, broadcast_cells: int = 1_000_000) -> DataFrame:
     """For each query the most similar stored vector with cosine > ``threshold`` (ties: smaller id).
 
     Queries with no such vector are absent.  Returns (``q_id``, ``match_id``, ``similarity``).
+    Candidates meet in cells (see above); inside a cell, queries and stored vectors are cut into
+    blocks of at most ``block_rows`` rows each, and every (query block, store block) pair is one
+    group scored by a dense matrix product in Arrow batches.  A hot cell therefore becomes many
+    bounded groups rather than one huge task.  Ids must be integers.
     """
     width = math.sqrt(max(2.0 - 2.0 * threshold, 0.0)) + 1e-9
 
     def prep(df, id_col, id_out):
         n = _norm(F.col(vec_col))
-        return df.select(F.col(id_col).alias(id_out), F.col(vec_col).alias(id_out + "_v"),
-                         n.alias(id_out + "_n"),
+        return df.select(F.col(id_col).cast("long").alias(id_out),
                          F.transform(F.col(vec_col), lambda x: x.cast("double") / n).alias(id_out + "_u"))
 
+    keys = [f"_c{j}" for j in range(n_pivots)]
     s = prep(store, s_id, "_s")
-    s = s.select("*", *[c.alias(f"_c{j}") for j, c in enumerate(_cells(F.col("_s_u"), n_pivots, width))])
+    s = s.select("*", *[c.alias(k) for k, c in zip(keys, _cells(F.col("_s_u"), n_pivots, width))])
     q = prep(queries, q_id, "_q")
-    for j, c in enumerate(_cells(F.col("_q_u"), n_pivots, width)):
-        q = q.withColumn(f"_c{j}", F.explode(F.array(c - 1, c, c + 1)))
-    keys = [f"_c{j}" for j in range(n_pivots)]
-    cand = q.join(s, keys)
-    if exclude_self:
-        cand = cand.where(F.col("_q") != F.col("_s"))
-    near = F.lit(True)
-    for j in range(n_pivots, 0, -1):
-        near = near & (F.abs(F.element_at("_q_u", j) - F.element_at("_s_u", j)) <= F.lit(width))
-    sim = _dot(F.col("_q_v"), F.col("_s_v")) / (F.col("_q_n") * F.col("_s_n"))
-    scored = cand.where(near).select("_q", "_s", sim.alias("_sim")).where(F.col("_sim") > F.lit(threshold))
+    for k, c in zip(keys, _cells(F.col("_q_u"), n_pivots, width)):
+        q = q.withColumn(k, F.explode(F.array(c - 1, c, c + 1)))
+    # block counts per cell: one small aggregate per side (rows = occupied cells)
+    sizes = (s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ns"))
+             .join(q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq")), keys)
+             .select(*keys, F.ceil(F.col("_ns") / F.lit(block_rows)).cast("int").alias("_ms"),
+                     F.ceil(F.col("_nq") / F.lit(block_rows)).cast("int").alias("_mq"))).persist()
+    n_cells = sizes.count()
+    sz = F.broadcast(sizes) if n_cells <= broadcast_cells else sizes
+    s2 = (s.join(sz, keys).withColumn("_ss", F.pmod(F.xxhash64("_s"), F.col("_ms")).cast("int"))
+          .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_mq") - 1))))
+    q2 = (q.join(sz, keys).withColumn("_qs", F.pmod(F.xxhash64("_q"), F.col("_mq")).cast("int"))
+          .withColumn("_ss", F.explode(F.sequence(F.lit(0), F.col("_ms") - 1))))
+    g = keys + ["_qs", "_ss"]
+    scored = (q2.select(*g, "_q", "_q_u").groupBy(*g)
+              .cogroup(s2.select(*g, "_s", "_s_u").groupBy(*g))
+              .applyInPandas(_block_best(threshold, exclude_self), "_q long, _s long, _sim double"))
     best = scored.groupBy("_q").agg(F.max(F.struct(F.col("_sim"), (-F.col("_s")).alias("_neg"))).alias("_b"))
     return best.select(F.col("_q").alias(q_id), (-F.col("_b._neg")).alias("match_id"),
                        F.col("_b._sim").alias("similarity"))
