@@ -78,3 +78,26 @@ def test_distributed_rank_equals_window_rank(spark):
     plain = df.selectExpr("x", "rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as r").distinct()
     for r in plain.collect():
         assert abs(ours[r["x"]] - float(r["r"])) < 1e-9
+
+
+def test_priors_and_cities_from_json_seeds(spark, tmp_path):
+    from weft.operators import lookup as LK
+
+    (tmp_path / "priors.json").write_text(json.dumps({"priors": [
+        {"semantic_type": "age", "distribution_type": "truncnorm", "params": {"mean": 40, "std": 15},
+         "clip_min": 0, "clip_max": 120},
+        {"semantic_type": "salary", "distribution_type": "lognormal", "params": {"mean": 10.5, "sigma": 0.8}}]}))
+    pri = FS.load_json_table(spark, str(tmp_path / "priors.json"), "priors",
+                             "semantic_type string, distribution_type string, params map<string,double>, "
+                             "clip_min double, clip_max double")
+    cols = spark.createDataFrame([("age_col", "Age"), ("x", "unknown")], "column_name string, semantic_type string")
+    got = {r["column_name"]: r for r in LK.distribution_priors(cols, "semantic_type", pri).collect()}
+    assert got["age_col"]["distribution_type"] == "truncnorm" and got["age_col"]["params"]["mean"] == 40.0
+    assert got["x"]["distribution_type"] is None
+    cities = spark.createDataFrame([(f"c{i}", "India" if i % 2 else "Nepal", 1000 * i) for i in range(60)],
+                                   "city string, country string, population long")
+    top = LK.cities_of(cities, "india").collect()
+    assert len(top) == 20 and top[0]["city"] == "c59"
+    per = LK.cities_of(cities, None, 3).collect()
+    assert sorted((r["country"], r["city"]) for r in per) == [
+        ("India", "c55"), ("India", "c57"), ("India", "c59"), ("Nepal", "c54"), ("Nepal", "c56"), ("Nepal", "c58")]

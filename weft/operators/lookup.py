@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions import rand as R
 from weft.functions import text as TX
@@ -54,3 +55,28 @@ def parse_requests(df: DataFrame, text_col: str) -> DataFrame:
         TX.extract_row_count(F.col(text_col)).alias("row_count"),
         R.seed_of_text(F.col(text_col)).alias("seed"),
     )
+
+
+def distribution_priors(columns: DataFrame, sem_col: str, priors: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
+    """Attach the prior distribution of each column's semantic type (left join; unknown types keep nulls).
+
+    ``priors``: semantic_type, distribution_type, params (map or JSON text), clip_min, clip_max.
+    The priors table is broadcast only when its row count is within ``max_broadcast``.
+    """
+    p = priors
+    if "params" in p.columns and not isinstance(p.schema["params"].dataType, T.MapType):
+        p = p.withColumn("params", F.from_json(F.col("params").cast("string"), "map<string,double>"))
+    p = p.withColumnRenamed("semantic_type", "_sem")
+    if p.count() <= max_broadcast:
+        p = F.broadcast(p)
+    return columns.join(p, F.lower(columns[sem_col]) == F.lower(p["_sem"]), "left").drop("_sem")
+
+
+def cities_of(cities: DataFrame, country: str | None = None, limit: int = 20,
+              country_col: str = "country", order: list[Column] | None = None) -> DataFrame:
+    """Up to ``limit`` cities of one country (most populous first), or of every country when
+    ``country`` is None (a per-group top-k)."""
+    order = order or [F.col("population").desc_nulls_last(), F.col("city")]
+    if country is not None:
+        return cities.where(F.lower(F.col(country_col)) == F.lit(country.lower())).orderBy(*order).limit(limit)
+    return top_k_per_group(cities, [country_col], order, limit, tie_cols=["city"])
