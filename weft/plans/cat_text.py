@@ -21,7 +21,7 @@ def prompts(spark, sf):
     c = table(spark, sf, "conversations").select(F.lit("conv").alias("src"),
                                                   (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     p = table(spark, sf, "part")
-    n = table(spark, sf, "nation")
+    n = table(spark, sf, "nation")  # 25 rows at every scale factor: safe to broadcast
     req = p.join(F.broadcast(n), F.pmod(p.p_partkey, F.lit(25)) == n.n_nationkey).select(
         F.lit("req").alias("src"), F.col("p_partkey").alias("id"),
         F.concat(F.lit("Generate "), F.format_number(F.col("p_size") * 1000, 0), F.lit(" rows of "), F.col("p_type"),
@@ -185,7 +185,7 @@ SELECT c_custkey, CASE WHEN n_name = 'INDIA' THEN {_indian_sql('c_acctbal * 100'
 FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def q_format_money(spark, sf):
     c = table(spark, sf, "customer")
-    n = table(spark, sf, "nation")
+    n = table(spark, sf, "nation")  # 25 rows at every scale factor: safe to broadcast
     j = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
     style = F.when(F.col("n_name") == "INDIA", F.lit("indian")).otherwise(F.lit("western"))
     return j.select("c_custkey", TX.format_money(F.col("c_acctbal") * 100, style).alias("amount"))

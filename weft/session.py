@@ -42,7 +42,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
-    local = tempfile.mkdtemp(prefix="weft-ckpt-")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) for lineage cuts and scratch output")
+    local = tempfile.mkdtemp(prefix="weft-ckpt-")  # local mode only (tests, single machine)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
