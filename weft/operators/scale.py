@@ -46,7 +46,7 @@ def column_kinds(df: DataFrame, spec: TableSpec | None = None, key_cols=()) -> d
     return out
 
 
-def scale_down(df: DataFrame, n: int, seed: int, key_cols: list[str], literal_limit: int = 1_000_000) -> DataFrame:
+def scale_down(df: DataFrame, n: int, seed: int, key_cols: list[str], literal_limit: int = 100_000) -> DataFrame:
     """Exactly n rows without replacement: the n smallest keyed uniforms.
 
     Small n: a top-k (``TakeOrderedAndProject``).  Large n: rows are pre-filtered on a
