@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import pii as P
 from weft.plans.spec import cols_of
+from weft.session import spread
 
 BROADCAST_GROUPS = 1_000_000
 
@@ -24,21 +25,23 @@ def scan_and_mask(df: DataFrame, columns: list[str] | None = None, seed: int = 0
     """Every string column (or ``columns``) masked; shape and types unchanged."""
     cols = columns if columns is not None else cols_of(df, "string")
     sel = {c: P.mask_text(F.col(c), seed) for c in cols if c in df.columns}
-    return df.withColumns(sel) if sel else df
+    return spread(df).withColumns(sel) if sel else df
 
 
 def entity_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows (entity, cells): number of cells holding at least one span of each type, over all
     scanned columns; one aggregate pass. Null cells count for nothing."""
-    cols = columns if columns is not None else cols_of(df, "string")
+    cols = [c for c in (columns if columns is not None else cols_of(df, "string")) if c in df.columns]
+    # each column is scanned once (one projection), then all counts are one aggregate
+    typed = spread(df).select(*[P.span_types(F.col(c)).alias(f"_t{i}") for i, c in enumerate(cols)])
     aggs = []
     for t in P.TYPES:
         acc = None
-        for c in cols:
-            hit = F.count_if(F.coalesce(F.array_contains(P.span_types(F.col(c)), F.lit(t)), F.lit(False)))
+        for i in range(len(cols)):
+            hit = F.count_if(F.coalesce(F.array_contains(F.col(f"_t{i}"), F.lit(t)), F.lit(False)))
             acc = hit if acc is None else acc + hit
         aggs.append(F.struct(F.lit(t).alias("entity"), (acc if acc is not None else F.lit(0)).cast("long").alias("cells")))
-    return df.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return typed.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def default_quasi_ids(df: DataFrame, limit: int = 5) -> list[str]:

@@ -55,5 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over all cores when it has fewer partitions than the cluster has cores.
+
+    For CPU-heavy row-local work (regex scans of long texts) read from few large row groups.
+    At scale the input already has many splits and this is a no-op (no shuffle is added).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
