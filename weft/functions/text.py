@@ -6,9 +6,11 @@ string functions), so they stay inside whole-stage codegen; no Python runs per r
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.session import spread
+
 # ------------------------------------------------------------------- keyboard
 
 # fixed values: the three letter rows of a QWERTY keyboard
@@ -241,12 +243,24 @@ def extract_row_count(text: Column) -> Column:
     return out
 
 
+def country_of(low: Column) -> Column:
+    """First country keyword in list order that occurs as a whole word in the lower-cased text.
+
+    One regex pass collects every whole-word keyword occurrence (look-arounds, so adjacent
+    keywords are all found); the keyword with the smallest list position wins.
+    """
+    kws = [k for k, _ in COUNTRY_KEYWORDS]
+    alt = "|".join(sorted(kws, key=len, reverse=True))
+    found = F.regexp_extract_all(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])({alt})(?![\p{{L}}\p{{N}}_])"), F.lit(1))
+    pos = F.array_min(F.transform(found, lambda m: F.array_position(F.array(*[F.lit(k) for k in kws]), m)))
+    names = F.array(*[F.lit(c) for _, c in COUNTRY_KEYWORDS])
+    return F.when(pos > 0, F.element_at(names, pos.cast("int")))
+
+
 def extract_region(text: Column) -> Column:
     """struct(country, state): first state keyword (substring), else first whole-word country keyword."""
     low = F.lower(text)
-    country = F.lit(None).cast("string")
-    for kw, c in reversed(COUNTRY_KEYWORDS):
-        country = F.when(low.rlike(WORD_EDGE_L + kw + WORD_EDGE_R), F.lit(c)).otherwise(country)
+    country = country_of(low)
     st_state = F.lit(None).cast("string")
     st_country = F.lit(None).cast("string")
     for kw, s, c in reversed(STATE_KEYWORDS):
@@ -256,5 +270,19 @@ def extract_region(text: Column) -> Column:
     return F.struct(F.coalesce(st_country, country).alias("country"), st_state.alias("state"))
 
 
+def with_domain(df: DataFrame, text_col: str, out: str = "domain") -> DataFrame:
+    """``classify_domain`` staged as projections: each keyword test runs once per row, and the
+    arg-max works on small integer columns (Catalyst does not re-inline the costly hit counts)."""
+    hits = domain_hits(F.col(text_col))
+    names = list(hits)
+    tmp = {f"_dh{i}": hits[d] for i, d in enumerate(names)}
+    staged = spread(df).withColumns(tmp)
+    best = F.greatest(*[F.col(c) for c in tmp])
+    pick = F.lit("general")
+    for i in reversed(range(len(names))):
+        pick = F.when((F.col(f"_dh{i}") == best) & (best > 0), F.lit(names[i])).otherwise(pick)
+    return staged.withColumn(out, pick).drop(*tmp)
+
+
 def text_md5(text: Column) -> Column:
     return F.md5(text)

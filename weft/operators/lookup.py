@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from weft.functions import rand as R
 from weft.functions import text as TX
+from weft.session import spread
 
 BROADCAST_CODES = 1_000_000
 
@@ -45,11 +46,14 @@ def code_guard(df: DataFrame, code_col: str, valid: DataFrame, valid_col: str, f
 
 
 def parse_requests(df: DataFrame, text_col: str) -> DataFrame:
-    """Request row per text without a model: domain, country, state, row count and seed."""
+    """Request row per text without a model: domain, country, state, row count and seed.
+
+    Few large input splits are spread over all cores first (long texts make this CPU-bound)."""
     region = TX.extract_region(F.col(text_col))
-    return df.select(
-        "*",
-        TX.classify_domain(F.col(text_col)).alias("domain"),
+    staged = TX.with_domain(spread(df), text_col, "domain")
+    return staged.select(
+        *df.columns,
+        "domain",
         region["country"].alias("country"),
         region["state"].alias("state"),
         TX.extract_row_count(F.col(text_col)).alias("row_count"),

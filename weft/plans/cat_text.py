@@ -8,7 +8,7 @@ from weft.functions import rand as R
 from weft.functions import text as TX
 from weft.operators import lookup as LK
 from weft.plans.registry import query
-from weft.session import table
+from weft.session import spread, table
 
 
 def _sqlstr(s):
@@ -26,7 +26,7 @@ def prompts(spark, sf):
         F.lit("req").alias("src"), F.col("p_partkey").alias("id"),
         F.concat(F.lit("Generate "), F.format_number(F.col("p_size") * 1000, 0), F.lit(" rows of "), F.col("p_type"),
                  F.lit(" "), F.col("p_name"), F.lit(" sales data for a store in "), F.initcap("n_name")).alias("text"))
-    return d.unionByName(c).unionByName(req)
+    return spread(d.unionByName(c).unionByName(req))
 
 
 PROMPTS_SQL = ("SELECT 'doc' AS src, doc_id AS id, text FROM documents UNION ALL "
@@ -76,7 +76,7 @@ def q_seed_of_text(spark, sf):
 
 @query("classify_domain", f"SELECT src, id, {_domain_sql('text')} AS domain FROM ({PROMPTS_SQL})")
 def q_classify_domain(spark, sf):
-    return prompts(spark, sf).select("src", "id", TX.classify_domain(F.col("text")).alias("domain"))
+    return TX.with_domain(prompts(spark, sf), "text").select("src", "id", "domain")
 
 
 @query("extract_row_count", f"SELECT src, id, {_rowcount_sql('text')} AS row_count FROM ({PROMPTS_SQL})")
