@@ -95,10 +95,10 @@ def nudge(df: DataFrame, col_a: str, col_b: str, direction: float, iteration: in
     so b's multiset of values is unchanged.  Rows with a null in a or b are left as they are.
     """
     step = step0 * decay**iteration
-    both = df.where(F.col(col_a).isNotNull() & F.col(col_b).isNotNull())
+    both = df.where(F.col(col_a).isNotNull() & F.col(col_b).isNotNull()).persist()  # ranked three times
     rest = df.where(F.col(col_a).isNull() | F.col(col_b).isNull())
     ra = ordinal(both, col_a, key_cols, "_ra", n_buckets)
-    rab = ordinal(ra, col_b, key_cols, "_rb", n_buckets)
+    rab = ordinal(ra, col_b, key_cols, "_rb", n_buckets).persist()
     n = both.count()
     other = F.col("_ra") if direction > 0 else F.lit(n - 1) - F.col("_ra")
     blended = rab.withColumn("_blend", F.lit(1.0 - step) * F.col("_rb") + F.lit(step) * other)

@@ -140,15 +140,18 @@ def autocorrelation(df: DataFrame, rho: float, ts_col: str, key_cols: list[str],
     base = ordinal(df, ts_col, key_cols, "_ti", n_buckets).persist()
     n = base.count()
     out = base
+    # each column is re-ordered independently of the others (same time ranks, own noise),
+    # so the columns are separate rank jobs joined back on the key, not a growing chain
     for c in cols:
         tag = "ac:shared" if shared else f"ac:{c}"
         noise = R.std_normal(seed, tag, key_cols)
-        scored = out.where(F.col(c).isNotNull()).withColumn(
+        have = base.where(F.col(c).isNotNull()).select(*key_cols, "_ti", c)
+        scored = have.withColumn(
             "_score", F.lit(rho) * F.col("_ti") / F.lit(float(n)) + F.lit(math.sqrt(max(0.0, 1 - rho * rho))) * noise)
-        pos = ordinal(scored, "_score", key_cols, "_p", n_buckets).drop("_score")
-        vals = ordinal(out.where(F.col(c).isNotNull()).select(*key_cols, c), c, key_cols, "_p", n_buckets) \
-            .select("_p", F.col(c).alias("_nv"))
-        moved = pos.join(vals, "_p").withColumn(c, F.col("_nv")).drop("_p", "_nv")
-        out = moved.unionByName(out.where(F.col(c).isNull()))
+        pos = ordinal(scored.select(*key_cols, "_score"), "_score", key_cols, "_p", n_buckets).select(*key_cols, "_p")
+        vals = ordinal(have.select(*key_cols, c), c, key_cols, "_p", n_buckets).select("_p", F.col(c).alias(f"_nv_{c}"))
+        moved = pos.join(vals, "_p").drop("_p")
+        out = out.join(moved, key_cols, "left").withColumn(c, F.coalesce(F.col(f"_nv_{c}"), F.col(c))) \
+            .drop(f"_nv_{c}")
     rest = df.where(F.col(ts_col).isNull())
     return out.drop("_ti").select(*df.columns).unionByName(rest)
