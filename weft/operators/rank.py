@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.rand import hex52
+from weft.functions.rand import hex52, index_by_cdf
 
 BROADCAST_ROWS = 2_000_000  # rank tables up to this many distinct values are broadcast in joins
 
@@ -192,8 +192,7 @@ def multi_value_ranks(df: DataFrame, cols: list[str], n_buckets: int | None = No
     bucket = F.lit(0)
     for r in fit:
         cuts = sorted(set(float(x) for x in (r["cuts"] or [])))
-        arr = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<double>")
-        bucket = F.when(F.col("col") == F.lit(r["col"]), F.size(F.filter(arr, lambda x: x < F.col("v")))).otherwise(bucket)
+        bucket = F.when(F.col("col") == F.lit(r["col"]), index_by_cdf(F.col("v"), cuts, inclusive=False)).otherwise(bucket)
     b = vc.withColumn("_bkt", bucket)
     totals = b.groupBy("col", "_bkt").agg(F.sum("n").alias("_tot"))  # <= columns x buckets rows
     offsets = totals.select(

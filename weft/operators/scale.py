@@ -133,7 +133,7 @@ def categorical_draws(spine: DataFrame, key: str, df: DataFrame, c: str, seed) -
     if rows is not None:
         total = rows[-1]["_cum"]
         r = F.floor(R.uniform01(seed, f"scale:{c}", [F.col(key)]) * F.lit(float(total)))
-        idx = F.size(F.filter(F.array(*[F.lit(int(x["_cum"])) for x in rows]), lambda cum: cum <= r))
+        idx = R.index_by_cdf(r, [int(x["_cum"]) for x in rows])
         vals = F.array(*[F.lit(x["_v"]) for x in rows])
         return spine.withColumn(c, F.element_at(vals, idx + 1))
     total = cats.agg(F.max("_cum")).first()[0]
