@@ -25,15 +25,22 @@ def _is_num(t) -> bool:
     return isinstance(t, T.NumericType) and not isinstance(t, T.BooleanType)
 
 
-def profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def profile(df: DataFrame, cols: list[str] | None = None, exact_distinct: bool = True,
+            rsd: float = 0.01) -> DataFrame:
     """One row per column: column_name, data_type, n_rows, n_null, n_distinct, min/max/mean/std
-    (numeric columns; null otherwise).  All columns are measured in a single aggregate job."""
+    (numeric columns; null otherwise).  All columns are measured in a single aggregate job.
+
+    Exact distinct counts of k columns make Spark expand every row k times before the shuffle;
+    on very large tables pass ``exact_distinct=False`` for HyperLogLog++ counts (relative
+    error ``rsd``), which aggregate map-side without the expansion.
+    """
     cols = cols or df.columns
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         x = F.col(c)
         num = _is_num(df.schema[c].dataType)
-        aggs += [F.count(x).alias(f"_nn{i}"), F.count_distinct(x).alias(f"_nd{i}")]
+        nd = F.count_distinct(x) if exact_distinct else F.approx_count_distinct(x, rsd)
+        aggs += [F.count(x).alias(f"_nn{i}"), nd.alias(f"_nd{i}")]
         if num:
             d = x.cast("double")
             # the sum is exact (decimal), so the mean does not depend on partitioning or task order
