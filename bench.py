@@ -16,7 +16,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-HEADLINE = ["pipeline", "audit_report", "scan_and_mask", "spearman_matrix", "scale_numeric", "dirty_profile",
+HEADLINE = ["table_pipeline", "audit_report", "scan_and_mask", "spearman_matrix", "scale_numeric", "dirty_profile",
             "quality_score", "profile", "upsert_latest", "nearest_vector", "typos", "k_anonymity"]
 
 

@@ -280,9 +280,9 @@ _PIPE_EXTRA = """
 dc2 AS (SELECT c_custkey, c_name, c_nationkey, least(greatest(c_acctbal, 0.0), 9000.0) AS c_acctbal, c_mktsegment FROM dc),"""
 
 
-@query("pipeline", _audit_report_sql(_PIPE_EXTRA, "dc2") + """
+@query("table_pipeline", _audit_report_sql(_PIPE_EXTRA, "dc2") + """
 SELECT check_id, check_name, CAST(weight AS DOUBLE) AS weight, round(score, 6) AS score, CAST(violations AS BIGINT) AS violations,
        CASE WHEN violations > 0 THEN sev ELSE 'low' END AS severity, violations = 0 AS passed FROM r""")
-def q_pipeline(spark, sf):
+def q_table_pipeline(spark, sf):
     _, report = pipeline(spark, sf)
     return report.withColumn("score", F.round("score", 6))
