@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import table
 from weft.llm.quality import quality_measures
+from weft.llm.sharding import minimax_shards
 from weft.llm.simhash import simhash_components
-from weft.llm.sql import QUALITY_SQL, URL_SQL
+from weft.llm.sql import QUALITY_SQL, TOPK_SQL, URL_SQL
+from weft.llm.topk import top_k
 from weft.llm.url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +32,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op3_sharding")
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimax_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
+@query("op5_exact_top_k", TOPK_SQL)
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 @query("op6_url_filter", URL_SQL)
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS t(host, path, verdict)")
