@@ -12,6 +12,7 @@ from weft.llm.quality import quality_measures
 from weft.llm.sharding import minimax_shards
 from weft.llm.simhash import simhash_components
 from weft.llm.sql import QUALITY_SQL, TOPK_SQL, URL_SQL
+from weft.llm.tokens import token_files
 from weft.llm.topk import top_k
 from weft.llm.url_filter import url_filter
 
@@ -32,6 +33,18 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file that is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
 @query("op3_sharding")
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), shards=16)
