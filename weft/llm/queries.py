@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import table
+from weft.llm.line_dedup import line_dedup
 from weft.llm.quality import quality_measures
 from weft.llm.sharding import minimax_shards
 from weft.llm.simhash import simhash_components
-from weft.llm.sql import QUALITY_SQL, TOPK_SQL, URL_SQL
+from weft.llm.sql import LINES_SQL, QUALITY_SQL, TOPK_SQL, URL_SQL
 from weft.llm.tokens import token_files
 from weft.llm.topk import top_k
 from weft.llm.url_filter import url_filter
@@ -45,6 +46,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+@query("op2_line_dedup", LINES_SQL)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 @query("op3_sharding")
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), shards=16)

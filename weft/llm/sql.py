@@ -63,3 +63,19 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+LINES_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
+w AS (SELECT doc_id, i, line AS a, lead(line, 1) OVER p AS b, lead(line, 2) OVER p AS c, lead(i, 2) OVER p AS e
+      FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS nth FROM w WHERE e IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM n WHERE nth > 1),
+k AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone,
+             coalesce(lag(g.i IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.i), false) AS before
+      FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i),
+s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE gone AND NOT before) AS n_runs,
+             coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+       md5(coalesce(kept, '')) AS kept_md5 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
+"""
