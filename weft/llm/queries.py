@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import table
 from weft.llm.line_dedup import line_dedup
+from weft.llm.packing import best_fit
 from weft.llm.quality import quality_measures
 from weft.llm.sharding import minimax_shards
 from weft.llm.simhash import simhash_components
@@ -57,6 +58,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(table(spark, sf_dir, "documents"), shards=16)
 
 
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op5_exact_top_k", TOPK_SQL)
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
