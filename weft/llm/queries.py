@@ -14,6 +14,7 @@ from weft.llm.quality import quality_measures
 from weft.llm.sharding import minimax_shards
 from weft.llm.simhash import simhash_components
 from weft.llm.sql import LINES_SQL, QUALITY_SQL, TOPK_SQL, URL_SQL
+from weft.llm.suffix_dedup import repeated_bytes
 from weft.llm.tokens import token_files
 from weft.llm.topk import top_k
 from weft.llm.url_filter import url_filter
@@ -80,6 +81,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_measures(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+@query("op9_suffix_array_dedup")
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
