@@ -8,10 +8,14 @@ that is written and read again as the next one's ``docs``. All but the last retu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weft.llm.common import stored, table
+from weft.llm.line_dedup import line_dedup
+from weft.llm.packing import best_fit
 from weft.llm.quality import quality_measures
 from weft.llm.simhash import one_per_component
+from weft.llm.suffix_dedup import suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,12 +25,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_measures(docs.select(*COLUMNS), keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of three or more lines that stand earlier in the corpus are cut out; n_chars follows the text."""
+    return _counted(line_dedup(docs.select(*COLUMNS)))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the smallest doc_id."""
     return one_per_component(docs.select(*COLUMNS), shingle=3, max_bits=2)
 
 
-STAGES = [("quality", quality_stage), ("simhash", simhash_stage)]
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 50-byte string of a smaller doc_id are cut out (whole characters only); n_chars follows the text."""
+    return _counted(suffix_dedup(docs.select(*COLUMNS)))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece: its sequence (group, bin), offset, the sequence's length and fill."""
+    return best_fit(docs.select(*COLUMNS))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+STAGES = [("quality", quality_stage), ("lines", line_stage), ("simhash", simhash_stage), ("suffix", suffix_stage), ("packing", packing_stage)]
 
 #: The stages use fingerprints and suffix order, which SQL over ``documents`` cannot state.
 ORACLE_SQL = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import table
 from weft.llm.line_dedup import line_dedup
 from weft.llm.packing import best_fit
+from weft.llm.pieces import piece_digests
 from weft.llm.quality import quality_measures
 from weft.llm.sharding import minimax_shards
 from weft.llm.simhash import simhash_components
@@ -76,6 +77,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 @query("op8_quality_rules", QUALITY_SQL)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_measures(table(spark, sf_dir, "documents"), keep=["doc_id"])

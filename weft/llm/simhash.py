@@ -193,7 +193,7 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """
     comp = simhash_components(docs, id_col, text, shingle, max_bits)
     gone = comp.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    first = Window.partitionBy(id_col).orderBy(F.col(text).asc_nulls_last())
-    ranked = left.where(F.col(id_col).isNotNull()).withColumn("_nth", F.row_number().over(first))
-    return ranked.where("_nth = 1").drop("_nth").unionByName(left.where(F.col(id_col).isNull()))
+    apart = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # null ids spread instead of meeting
+    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti").withColumn("_apart", apart)
+    nth = F.row_number().over(Window.partitionBy(id_col, "_apart").orderBy(F.col(text).asc_nulls_last()))
+    return left.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_apart")
