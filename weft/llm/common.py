@@ -32,6 +32,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_row(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``row``, so that its column names cannot clash with an operator's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def md5_bytes(col: Column) -> Column:
     return F.unhex(F.md5(col))
 

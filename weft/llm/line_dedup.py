@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import stored
+from weft.llm.common import as_row, stored
 
 
 def line_hashes(text: Column) -> Column:
@@ -64,22 +64,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram
     places of one text.
     """
     run = gram + window - 1
-    own = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")])
-    tied = own.withColumn("_tie", F.xxhash64(F.col(text)))
-    src = tied.select(F.col(id_col).alias("id"), F.col("_tie").alias("tie"), F.col(text).alias("text"))
-    gone = repeated_windows(src, gram, window).groupBy("id", "tie").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    gone = gone.select(F.col("id").alias("_id"), F.col("tie").alias("_gtie"), F.col("at").alias("_at"))
-    out = tied.join(gone, tied[id_col].eqNullSafe(gone["_id"]) & (tied["_tie"] == gone["_gtie"]), "left")
-    at, lines = F.col("_at"), F.split(F.col(text), "\n")
+    own = docs.drop("n_lines", "n_removed", "n_runs")
+    body = F.col("row")[text]
+    tied = as_row(own).withColumn("tie", F.xxhash64(body))
+    gone = repeated_windows(tied.select(F.col("row")[id_col].alias("id"), "tie", body.alias("text")), gram, window)
+    gone = gone.groupBy("id", "tie").agg(F.sort_array(F.collect_set("at")).alias("at")).withColumnRenamed("tie", "own_tie")
+    out = tied.join(gone, F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.col("tie") == F.col("own_tie")), "left").select("row", "at")
+    at, lines = F.col("at"), F.split(body, "\n")
     n = F.size(at)
     # windows that touch make one run: where each begins, and where the lines after it resume
     begins = F.filter(at, lambda x, i: (i == 0) | (x > F.get(at, i - 1) + run))
     resumes = F.transform(F.filter(at, lambda x, i: (i == n - 1) | (F.get(at, i + 1) > x + run)), lambda x: x + run)
-    out = out.withColumns({"_from": F.concat(F.array(F.lit(1)), resumes), "_to": F.concat(begins, F.array(F.size(lines) + 1))})
-    kept = F.flatten(F.transform(F.arrays_zip("_from", "_to"), lambda s: F.slice(lines, s["_from"], F.greatest(s["_to"] - s["_from"], F.lit(0)))))
+    out = out.withColumns({"starts": F.concat(F.array(F.lit(1)), resumes), "stops": F.concat(begins, F.array(F.size(lines) + 1))})
+    kept = F.flatten(F.transform(F.arrays_zip("starts", "stops"), lambda s: F.slice(lines, s["starts"], F.greatest(s["stops"] - s["starts"], F.lit(0)))))
     hit = at.isNotNull()
-    n_lines = F.when(F.col(text).isNotNull(), F.size(lines)).otherwise(0).cast("long")
-    removed = F.when(hit, F.aggregate(F.arrays_zip("_from", "_to"), F.size(lines), lambda a, s: a - (s["_to"] - s["_from"]))).otherwise(0).cast("long")
+    n_lines = F.when(body.isNotNull(), F.size(lines)).otherwise(0).cast("long")
+    removed = F.when(hit, F.aggregate(F.arrays_zip("starts", "stops"), F.size(lines), lambda a, s: a - (s["stops"] - s["starts"]))).otherwise(0).cast("long")
     runs = F.when(hit, F.size(begins)).otherwise(0).cast("long")
-    out = out.withColumns({"n_lines": n_lines, "n_removed": removed, "n_runs": runs, "_text": F.when(hit, F.array_join(kept, "\n")).otherwise(F.col(text))})
-    return out.select(*[F.col("_text").alias(text) if c == text else F.col(c) for c in own.columns], "n_lines", "n_removed", "n_runs")
+    new = F.when(hit, F.array_join(kept, "\n")).otherwise(body)
+    return out.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in own.columns],
+                      n_lines.alias("n_lines"), removed.alias("n_removed"), runs.alias("n_runs"))

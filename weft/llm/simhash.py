@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import connected_components, n_parts, stored
+from weft.llm.common import as_row, connected_components, n_parts, stored
 
 SEED = 42
 N_PIVOTS = 16
@@ -192,8 +192,9 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     with the smallest text stays.
     """
     comp = simhash_components(docs, id_col, text, shingle, max_bits)
-    gone = comp.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    apart = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # null ids spread instead of meeting
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti").withColumn("_apart", apart)
-    nth = F.row_number().over(Window.partitionBy(id_col, "_apart").orderBy(F.col(text).asc_nulls_last()))
-    return left.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_apart")
+    gone = comp.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct()
+    own = as_row(docs).withColumn("id", F.col("row")[id_col])
+    apart = F.when(F.col("id").isNull(), F.monotonically_increasing_id())  # null ids spread instead of meeting
+    left = own.join(gone, F.col("id") == F.col("gone"), "left_anti").withColumn("apart", apart)
+    nth = F.row_number().over(Window.partitionBy("id", "apart").orderBy(F.col("row")[text].asc_nulls_last()))
+    return left.withColumn("nth", nth).where("nth = 1").select("row.*")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import ASCII_LOWER, ASCII_UPPER
+from weft.llm.common import ASCII_LOWER, ASCII_UPPER, as_row
 
 SHORT_HEX = 8  # 4 bytes of the SHA-256 digest
 
@@ -49,9 +49,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     and joined back. Expressions deeper than the deepest rule cannot match and are not made; the two
     depths are the only figures read by the driver.
     """
-    host, path = url_parts(F.col(url))
-    own = pages.drop("host", "path", "rule", "verdict") if url not in ("host", "path", "rule", "verdict") else pages
-    own = own.withColumns({"host": host, "path": path})
+    columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    host, path = url_parts(F.col("row")[url])
+    own = as_row(pages).select("row", host.alias("host"), path.alias("path"))
     ready = prepare_rules(rules)
     labels, depth = ready.agg(F.coalesce(F.max(F.size(F.split("r_host", r"\."))), F.lit(0)),
                               F.coalesce(F.max(F.length("r_path") - F.length(F.replace("r_path", F.lit("/")))), F.lit(0))).first()
@@ -70,5 +70,5 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         (F.col("digest") == F.col("r_digest")) & F.startswith(F.col("path"), F.col("r_path")))
     best = hit.groupBy("host", "path").agg(F.max(F.struct(
         (F.length("r_host") + F.length("r_path")).alias("n"), F.col("r_verdict").alias("v"), F.concat("r_host", "r_path").alias("rule"))).alias("best"))
-    out = own.join(best, ["host", "path"], "left").select(*own.columns, "best")
-    return out.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.v"), F.lit(default))}).drop("best")
+    out = own.join(best, ["host", "path"], "left")
+    return out.select(*[F.col("row")[c].alias(c) for c in columns], "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.v"), F.lit(default)).alias("verdict"))
