@@ -96,7 +96,7 @@ def test_priors_and_cities_from_json_seeds(spark, tmp_path):
     assert got["x"]["distribution_type"] is None
     cities = spark.createDataFrame([(f"c{i}", "India" if i % 2 else "Nepal", 1000 * i) for i in range(60)],
                                    "city string, country string, population long")
-    top = LK.cities_of(cities, "india").collect()
+    top = LK.cities_of(cities, "india", 20).collect()
     assert len(top) == 20 and top[0]["city"] == "c59"
     per = LK.cities_of(cities, None, 3).collect()
     assert sorted((r["country"], r["city"]) for r in per) == [

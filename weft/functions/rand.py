@@ -114,24 +114,52 @@ def categorical(seed, tag, keys, values: Sequence, weights: Sequence[float] | No
     return F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
 
 
-def poisson_cdf(mu: float, tail: float = 1e-12) -> list[float]:
-    """Driver-side CDF of Poisson(mu) up to the point where the tail is negligible."""
-    out, p, acc, k = [], math.exp(-mu), 0.0, 0
-    while True:
-        acc += p
-        if 1.0 - acc < tail or k > mu + 40 * math.sqrt(mu) + 50:
-            break
-        out.append(acc)
-        k += 1
-        p = p * mu / k
-    return out
+TREE_POINTS = 256  # cut points that still compile well as a tree of tests
+
+
+def poisson_cdf(mu: float) -> tuple[int, list[float]]:
+    """(first k, CDF at first k, first k + 1, ...) of Poisson(mu): all k whose term is above 1e-18.
+
+    Terms are taken in log space from the mode outward, so no mu underflows; what is left out is
+    far below the 2^-52 step of the uniform draws.
+    """
+    if not 0 < mu <= 1e7:
+        raise ValueError("Poisson needs 0 < mu <= 10,000,000")
+    mode = int(mu)
+    top = math.exp(mode * math.log(mu) - mu - math.lgamma(mode + 1))
+    down, k, p = [], mode, top
+    while k > 0 and p > 1e-18:
+        p *= k / mu
+        k -= 1
+        down.append(p)
+    up, j, p = [], mode, top
+    while p > 1e-18 or j < mu:
+        j += 1
+        p *= mu / j
+        up.append(p)
+    terms = [*reversed(down), top, *up]
+    total = math.fsum(terms)
+    out, acc = [], 0.0
+    for t in terms[:-1]:
+        acc += t / total
+        out.append(min(acc, 1.0))
+    return k, out
+
+
+def _index_by_search(u: Column, cdf: Sequence[float]) -> Column:
+    """As ``index_by_cdf`` for long tables: a binary search of log2 n steps over one array literal."""
+    table = F.lit([float(c) for c in cdf])
+    steps = F.lit([1 << b for b in reversed(range(len(cdf).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= F.lit(len(cdf))) & (F.get(table, at + step - 1) <= u), at + step).otherwise(at))
 
 
 def poisson(seed, tag, keys, mu=10.0) -> Column:
-    """Poisson(mu) as a double. Exact inverse CDF up to mu=1000, normal approximation above."""
-    if mu > 1000:
-        return F.greatest(F.round(normal(seed, tag, keys, mu, math.sqrt(mu))), F.lit(0.0))
-    return index_by_cdf(uniform01(seed, tag, keys), poisson_cdf(mu)).cast("double")
+    """Poisson(mu) as a double: exact inverse CDF for every mu (the two lookups give the same index)."""
+    first, cdf = poisson_cdf(mu)
+    u = uniform01(seed, tag, keys)
+    index = index_by_cdf(u, cdf) if len(cdf) <= TREE_POINTS else _index_by_search(u, cdf)
+    return (index + F.lit(first)).cast("double")
 
 
 def _gamma_ge1(seed, tag, keys, shape: float, n_candidates: int = 12) -> Column:

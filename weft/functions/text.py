@@ -204,7 +204,6 @@ ROW_COUNT_PATTERNS = [
     r"\b(\d[\d,]*)\s*(?:rows?|records?)\b",
 ]
 ROW_COUNT_DEFAULT = 1000
-ROW_COUNT_MAX = 10_000_000
 
 WORD_EDGE_L = r"(^|[^\p{L}\p{N}_])"
 WORD_EDGE_R = r"([^\p{L}\p{N}_]|$)"
@@ -233,12 +232,12 @@ def classify_domain(text: Column) -> Column:
 
 
 def extract_row_count(text: Column) -> Column:
-    """First pattern whose first match is a number in 1..10,000,000; else 1000."""
+    """First pattern whose first match is a number of 1 or more; else 1000. Large requests come back as asked."""
     out = F.lit(ROW_COUNT_DEFAULT).cast("long")
     for pat in reversed(ROW_COUNT_PATTERNS):
         raw = F.regexp_extract(text, "(?i)" + pat, 1)
         val = F.regexp_replace(raw, ",", "").try_cast("long")
-        ok = val.isNotNull() & (val >= 1) & (val <= ROW_COUNT_MAX)
+        ok = val.isNotNull() & (val >= 1)
         out = F.when(ok, val).otherwise(out)
     return out
 

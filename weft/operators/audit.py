@@ -79,8 +79,7 @@ def temporal_pairs(df: DataFrame, rules: list[Rule]) -> list[tuple[str, str]]:
 
 
 def audit_parts(df: DataFrame, spec: TableSpec | None, rules: list[Rule] = (), dag: list[DagRule] = (),
-                stats_k: float = 10.0, stats_share: float = 0.05, min_stat_rows: int = 10,
-                max_dag_rules: int | None = None):
+                stats_k: float = 10.0, stats_share: float = 0.05, min_stat_rows: int = 10):
     """Compute the per-check (score, violations) numbers; returns a list of 10 tuples."""
     cols = {c.name: c for c in (spec.columns if spec else ())}
     present = [c for c in cols.values() if c.name in df.columns]
@@ -137,7 +136,7 @@ def audit_parts(df: DataFrame, spec: TableSpec | None, rules: list[Rule] = (), d
         temp_keys.append(k)
     # V-08 causal physics: negative values in children named like age / salary / amount / income
     phys_keys = []
-    for d in list(dag)[: max_dag_rules or len(dag)]:
+    for d in dag:
         if d.child not in df.columns or any(p not in df.columns for p in d.all_parents):
             continue
         if not _is_numeric(schema[d.child]):
@@ -211,14 +210,13 @@ def audit_parts(df: DataFrame, spec: TableSpec | None, rules: list[Rule] = (), d
     return results
 
 
-def correlation_check(df: DataFrame, targets: list[CorrelationTarget], tolerance: float = 0.3,
-                      max_targets: int | None = None):
+def correlation_check(df: DataFrame, targets: list[CorrelationTarget], tolerance: float = 0.3):
     """V-10: targets whose pairwise-complete Spearman differs from the target by more than tolerance."""
     if not targets:
         return (1.0, 0)
     from weft.operators.correlate import spearman_pairs
 
-    tg = list(targets)[: max_targets or len(targets)]
+    tg = list(targets)
     numeric = {f.name for f in df.schema.fields if _is_numeric(f.dataType)}
     pairs = [(t.col_a, t.col_b) for t in tg if t.col_a in numeric and t.col_b in numeric]
     rho = {}

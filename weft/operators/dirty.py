@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from weft.functions import rand as R
 from weft.functions.text import apply_typo, typo_kind_count
-from weft.operators.rank import dense_index
+from weft.operators.rank import dense_index, value_ranks
 from weft.plans.spec import DirtyProfile, cols_of
 
 # fixed values: the four alternative date layouts (day/month/year, month-day-year,
@@ -57,22 +57,18 @@ def null_mar(df: DataFrame, col: str, rate: float, condition_col: str, condition
     return df.withColumn(col, F.when(hit, F.lit(None)).otherwise(F.col(col)))
 
 
-def null_mnar(df: DataFrame, col: str, rate: float, seed: int, key_cols: list[str],
-              low: float | None = None, high: float | None = None) -> DataFrame:
-    """Missing-not-at-random: a value's null probability grows with the value itself,
-    ``2 * rate * (x - min) / (max - min)`` (mean rate ~ ``rate`` for a uniform spread).
-    ``low``/``high`` default to the column's min/max from one aggregate."""
-    if low is None or high is None:
-        r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-        low = r["lo"] if low is None else low
-        high = r["hi"] if high is None else high
-    if low is None or high is None:
+def null_mnar(df: DataFrame, col: str, rate: float, seed: int, key_cols: list[str]) -> DataFrame:
+    """Missing-not-at-random: a value's null probability is ``2 * rate`` times its percentile (average
+    rank, ties shared, over the number of non-null values), so the mean rate is about ``rate`` whatever
+    the values' spread. Nulls stay null."""
+    if col not in df.columns:
         return df
-    span = float(high) - float(low)
-    share = F.lit(0.5) if span == 0 else (F.col(col).cast("double") - F.lit(float(low))) / F.lit(span)
-    p = F.least(F.lit(1.0), F.lit(2.0 * _clamp(rate)) * share)
-    hit = R.uniform01(seed, f"mnar:{col}", key_cols) < p
-    return df.withColumn(col, F.when(F.coalesce(hit, F.lit(False)), F.lit(None)).otherwise(F.col(col)))
+    ranks = value_ranks(df, col, rank_col="_rank")
+    n = df.agg(F.count(col)).first()[0]
+    share = F.col("_rank") / F.lit(float(max(1, n)))
+    j = df.join(ranks.select(F.col("v").alias("_v"), "_rank"), df[col] == F.col("_v"), "left")
+    hit = R.uniform01(seed, f"mnar:{col}", key_cols) < F.least(F.lit(1.0), F.lit(2.0 * _clamp(rate)) * share)
+    return j.withColumn(col, F.when(F.coalesce(hit, F.lit(False)), F.lit(None)).otherwise(F.col(col))).drop("_v", "_rank")
 
 
 def date_format_mix_col(c: str, rate: float, seed, keys) -> Column:
@@ -186,9 +182,15 @@ def _append(df: DataFrame, extra: DataFrame, mark: str | None) -> DataFrame:
 
 
 def shuffle_rows(df: DataFrame, seed: int, cols: list[str] | None = None) -> DataFrame:
-    """A keyed random order (for writing); Spark rows have no order otherwise."""
+    """A keyed random order (for writing); Spark rows have no order otherwise.
+
+    Copies of one row are numbered and keyed apart, so they do not end up next to each other.
+    """
     cols = cols or df.columns
-    return df.orderBy(R.uniform01(seed, "shuffle", [F.to_json(F.struct(*cols))]), *cols)
+    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    each = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
+    key = R.uniform01(seed, "shuffle", [F.to_json(F.struct(*cols)), F.col("_copy")])
+    return each.withColumn("_key", key).orderBy("_key", *cols, "_copy").drop("_copy", "_key")
 
 
 def dirty_profile(df: DataFrame, profile: DirtyProfile, seed: int, key_cols: list[str],

@@ -7,7 +7,9 @@ table or a ``spark.range``); generation is one narrow stage -- no shuffle, no Py
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,13 +108,13 @@ def distribution_override(specs: DataFrame, sem_col: str, dist_col: str, rules:
 
 
 def default_column(c: ColumnSpec, table: str, seed, idx: Column, keys: Sequence) -> Column:
-    """Typed default generator: PK uuid; enum choice (first 20); integer 1..999; float N(50, 15);
+    """Typed default generator: PK uuid; enum choice; integer 1..999; float N(50, 15);
     boolean; consecutive days from 2020-01-01; text ``name_i``."""
     t = (c.data_type or "string").lower()
     if c.primary_key:
         return R.uuid_like(F.concat_ws(":", F.lit(str(seed)), F.lit(table), F.lit(c.name), idx.cast("string")))
     if c.enum_values:
-        return R.categorical(seed, c.name, keys, list(c.enum_values)[:20])
+        return R.categorical(seed, c.name, keys, list(c.enum_values))
     if t == "integer":
         return (F.lit(1) + F.floor(R.uniform01(seed, c.name, keys) * F.lit(999))).cast("long")
     if t == "float":
@@ -177,16 +179,33 @@ def topological_order(rules: list[DagRule]) -> list[DagRule]:
 
 def causal_derive(df: DataFrame, rules: list[DagRule]) -> DataFrame:
     """Apply rules in topological order: child := expr, skipped when a parent column is missing;
-    a row where the expression fails or gives null keeps its old child value (if any)."""
+    a row where the expression fails or gives null keeps its old child value (if any), and a rule
+    that cannot be analysed at all changes nothing."""
     out = df
     for r in topological_order(rules):
         if any(p not in out.columns for p in r.all_parents):
             continue
         new = F.expr(r.expression)
-        out = out.withColumn(r.child, F.coalesce(new, F.col(r.child)) if r.child in out.columns else new)
+        with _failing_as_null(df.sparkSession):
+            try:
+                out = out.withColumn(r.child, F.coalesce(new, F.col(r.child)) if r.child in out.columns else new)
+            except (AnalysisException, ParseException):
+                continue
     return out
 
 
+@contextmanager
+def _failing_as_null(spark):
+    """Expressions analysed inside give null where they would fail (division by zero, bad casts)."""
+    key = "spark.sql.ansi.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def conditional(conditions: list[tuple[str, object, int]], default) -> Column:
     """First true condition by priority (highest first; equal priorities keep list order), else default."""
     ordered = sorted(enumerate(conditions), key=lambda t: (-t[1][2], t[0]))

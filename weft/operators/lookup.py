@@ -76,7 +76,7 @@ def distribution_priors(columns: DataFrame, sem_col: str, priors: DataFrame, max
     return columns.join(p, F.lower(columns[sem_col]) == F.lower(p["_sem"]), "left").drop("_sem")
 
 
-def cities_of(cities: DataFrame, country: str | None = None, limit: int = 20,
+def cities_of(cities: DataFrame, country: str | None, limit: int,
               country_col: str = "country", order: list[Column] | None = None) -> DataFrame:
     """Up to ``limit`` cities of one country (most populous first), or of every country when
     ``country`` is None (a per-group top-k)."""

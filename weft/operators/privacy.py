@@ -44,8 +44,8 @@ def entity_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return typed.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def default_quasi_ids(df: DataFrame, limit: int = 5) -> list[str]:
-    return [c for c in cols_of(df, "string") if c not in ID_NAMES][:limit]
+def default_quasi_ids(df: DataFrame) -> list[str]:
+    return [c for c in cols_of(df, "string") if c not in ID_NAMES]
 
 
 def group_sizes(df: DataFrame, quasi_ids: list[str]) -> DataFrame:
@@ -67,12 +67,9 @@ def l_diversity(df: DataFrame, quasi_ids: list[str], sensitive: str) -> DataFram
     if not q or sensitive not in df.columns:
         return df.sparkSession.range(1).select(F.lit(1.0).alias("l"))
     # distinct (group, value) pairs first: partial aggregation keeps hot groups cheap
-    pairs = df.where(F.col(sensitive).isNotNull()).select(*q, sensitive).distinct()
-    per_group = pairs.groupBy(*q).agg(F.count(F.lit(1)).alias("_d"))
-    all_groups = df.select(*q).distinct()
-    joined = all_groups.join(per_group, [all_groups[c].eqNullSafe(per_group[c]) for c in q], "left") \
-        .select(F.coalesce(per_group["_d"], F.lit(0)).alias("_d"))
-    return joined.agg(F.min("_d").cast("double").alias("l"))
+    pairs = df.select(*q, sensitive).distinct()
+    per_group = pairs.groupBy(*q).agg(F.count(sensitive).alias("_d"))
+    return per_group.agg(F.min("_d").cast("double").alias("l"))
 
 
 def privacy_score(k: int | F.Column, l_div, pii_cells, total_cells, k_mode: str = "synthetic") -> F.Column:

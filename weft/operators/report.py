@@ -43,9 +43,8 @@ def profile(df: DataFrame, cols: list[str] | None = None, exact_distinct: bool =
         aggs += [F.count(x).alias(f"_nn{i}"), nd.alias(f"_nd{i}")]
         if num:
             d = x.cast("double")
-            # the sum is exact (decimal), so the mean does not depend on partitioning or task order
-            exact = F.sum(x.cast("decimal(38,10)")).cast("double") / F.count(x)
-            aggs += [F.min(d).alias(f"_mi{i}"), F.max(d).alias(f"_ma{i}"), exact.alias(f"_av{i}"),
+            d = F.when(~F.isnan(d), d)  # NaN is no number: left out of the four measures, as null is
+            aggs += [F.min(d).alias(f"_mi{i}"), F.max(d).alias(f"_ma{i}"), F.avg(d).alias(f"_av{i}"),
                      F.stddev_samp(d).alias(f"_sd{i}")]
     wide = df.agg(*aggs)
     none = F.lit(None).cast("double")

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,22 +46,36 @@ def column_kinds(df: DataFrame, spec: TableSpec | None = None, key_cols=()) -> d
     return out
 
 
-def scale_down(df: DataFrame, n: int, seed: int, key_cols: list[str], literal_limit: int = 100_000) -> DataFrame:
-    """Exactly n rows without replacement: the n smallest keyed uniforms.
+SAMPLE_BINS = 1 << 20
 
-    Small n: a top-k (``TakeOrderedAndProject``).  Large n: rows are pre-filtered on a
-    uniform threshold with a safety margin, then cut exactly with the distributed ordinal.
+
+def scale_down(df: DataFrame, n: int, seed: int, key_cols: list[str]) -> DataFrame:
+    """Exactly n rows without replacement: the n smallest keyed uniforms (ties by key).
+
+    Rows are counted per bin of the uniform (SAMPLE_BINS equal bins, map-side combined); whole bins
+    below the boundary bin stay, and only the rows of the boundary bin are ranked. A table of
+    fewer than n rows stays whole.
     """
     u = R.uniform01(seed, "sample", key_cols)
-    if n <= literal_limit:
-        return df.withColumn("_u", u).orderBy("_u", *key_cols).limit(n).drop("_u")
-    total = df.count()
-    if n >= total:
+    binned = df.withColumn("_u", u).withColumn("_bin", F.floor(F.col("_u") * F.lit(float(SAMPLE_BINS))).cast("int"))
+    groups = binned.groupBy(F.shiftright("_bin", 10).alias("g"), "_bin").agg(F.count(F.lit(1)).alias("c"))
+    coarse = groups.groupBy("g").agg(F.sum("c")).collect()  # at most 1,024 rows
+    before, g = _boundary(coarse, n)
+    if g is None:
         return df
-    p = n / total
-    thr = min(1.0, p + 6.0 * math.sqrt(p * (1 - p) / total) + 1.0 / total)
-    kept = df.withColumn("_u", u).where(F.col("_u") < F.lit(thr))
-    return ordinal(kept, "_u", key_cols, "_pos").where(F.col("_pos") < n).drop("_u", "_pos")
+    before, edge = _boundary(groups.where(F.col("g") == g).groupBy("_bin").agg(F.sum("c")).collect(), n, before)
+    inside = binned.where(F.col("_bin") == edge).withColumn("_nth", F.row_number().over(
+        Window.partitionBy("_bin").orderBy("_u", *key_cols))).where(F.col("_nth") <= n - before).drop("_nth")
+    return binned.where(F.col("_bin") < edge).unionByName(inside).drop("_u", "_bin")
+
+
+def _boundary(counts, n: int, before: int = 0):
+    """(rows before, bin) of the bin that holds the n-th row; bin None if there are fewer."""
+    for b, c in sorted(map(tuple, counts)):
+        if before + c >= n:
+            return before, b
+        before += c
+    return before, None
 
 
 def fit(df: DataFrame, kinds: dict[str, str]) -> dict:

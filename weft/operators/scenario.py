@@ -77,15 +77,6 @@ def template(name: str) -> Scenario | None:
     return TEMPLATES.get(name.lower())
 
 
-def templates_frame(spark) -> DataFrame:
-    """Packaged templates as rows (scenario, column, op, value)."""
-    rows = []
-    for name, s in TEMPLATES.items():
-        rows += [(name, c, "multiply", float(v)) for c, v in s.multipliers.items()]
-        rows += [(name, c, "shift", float(v)) for c, v in s.shifts.items()]
-    return spark.createDataFrame(rows, "scenario string, column string, op string, value double")
-
-
 def match_scenario(text: Column) -> Column:
     """Template name for a free text: exact name, else first keyword contained, else null (identity)."""
     low = F.lower(F.trim(text))
@@ -101,15 +92,14 @@ def match_scenario(text: Column) -> Column:
 def compare(df: DataFrame, scenarios: list[Scenario], measures: list[str], group_cols: list[str] = ()) -> DataFrame:
     """Each scenario applied to the same base table, then summed per scenario (and group).
 
-    Each scenario is a projection of the base rows; the union is aggregated once with
-    map-side partial sums, so the base table is scanned once per scenario and never joined.
+    Every row of the base table carries all scenarios as an array, so the base is scanned once; the
+    sums are map-side combined.
     """
-    parts = []
     base = df.select(*group_cols, *measures)
+    each = []
     for s in [Scenario("baseline")] + list(scenarios):
-        parts.append(apply(base, s).withColumn("scenario", F.lit(s.name)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+        new = scenario_exprs(base, s, None)
+        each.append(F.struct(F.lit(s.name).alias("scenario"), *[new.get(m, F.col(m)).alias(m) for m in measures]))
+    u = base.select(*group_cols, F.explode(F.array(*each)).alias("_s")).select(*group_cols, "_s.*")
     return u.groupBy("scenario", *group_cols).agg(*[F.sum(m).alias(f"sum_{m}") for m in measures],
                                                   F.count(F.lit(1)).alias("n_rows"))

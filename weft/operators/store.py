@@ -35,16 +35,15 @@ def within_ttl(df: DataFrame, ts_col: str, ttl_days: int = 7, now: Column | None
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key_cols: list[str],
-                     order_cols: list[str] | None = None) -> DataFrame:
+                     order_cols: list[str] = ()) -> DataFrame:
     """Existing rows stay; an incoming row is added only when its key is new.
 
-    Among incoming rows sharing a new key the first by ``order_cols`` is kept (insert order).
+    Among incoming rows sharing a new key the first by ``order_cols``, then by the other columns, is kept.
     """
     new = incoming.join(existing.select(*key_cols), key_cols, "left_anti")
-    if order_cols:
-        payload = [c for c in new.columns if c not in key_cols]
-        first = new.groupBy(*key_cols).agg(F.min(_struct_of(new.select(*payload), order_cols)).alias("_f"))
-        new = first.select(*key_cols, *[F.col("_f")[c].alias(c) for c in payload])
+    payload = [c for c in new.columns if c not in key_cols]
+    first = new.groupBy(*key_cols).agg(F.min(_struct_of(new.select(*payload), list(order_cols))).alias("_f")) if payload else new.distinct()
+    new = first.select(*key_cols, *[F.col("_f")[c].alias(c) for c in payload])
     return existing.unionByName(new.select(*existing.columns))
 
 

@@ -39,11 +39,11 @@ def q_null_mar(spark, sf):
 
 
 @query("null_mnar", f"""
-WITH b AS (SELECT min(c_acctbal) lo, max(c_acctbal) hi FROM customer)
-SELECT c_custkey,
-  CASE WHEN {_u('mnar:c_acctbal', 'c_custkey')} < least(1.0, 0.2 * (c_acctbal - lo) / (hi - lo)) THEN NULL
-       ELSE c_acctbal END AS c_acctbal
-FROM customer, b""")
+WITH r AS (SELECT c_custkey, c_acctbal, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS rk,
+                  count(c_acctbal) OVER () AS n FROM customer WHERE c_acctbal IS NOT NULL)
+SELECT c_custkey, CASE WHEN {_u('mnar:c_acctbal', 'c_custkey')} < least(1.0, 0.2 * (rk / CAST(n AS DOUBLE))) THEN NULL
+       ELSE c_acctbal END AS c_acctbal FROM r
+UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal IS NULL""")
 def q_null_mnar(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     return D.null_mnar(c, "c_acctbal", 0.1, SEED, ["c_custkey"])

@@ -100,7 +100,11 @@ def _gamma_sql(tag, shape, scale):
 
 
 def _poisson_sql(tag, mu):
-    return f"CAST({cdf_index_sql(_u(tag), R.poisson_cdf(mu))} AS DOUBLE)"
+    # the CDF is DuckDB's own, from lgamma
+    lo, hi = max(0, int(mu - 12 * math.sqrt(mu) - 20)), int(mu + 12 * math.sqrt(mu) + 40)
+    cdf = (f"(SELECT list(c ORDER BY k) FROM (SELECT k, sum(exp(k * ln({float(mu)!r}) - {float(mu)!r} - lgamma(k + 1))) "
+           f"OVER (ORDER BY k) AS c FROM range({lo}, {hi}) t(k)) WHERE c < 1.0 - 1e-13)")
+    return f"CAST({lo} + len(list_filter({cdf}, lambda c: c <= {_u(tag)})) AS DOUBLE)"
 
 
 def _categorical_sql(tag, values, weights=None):
@@ -129,6 +133,8 @@ _one("dist_truncnorm", _truncnorm_sql("tn", 40.0, 15.0, 0.0, 120.0),
 _one("dist_uniform", f"(10.0 + 10.0 * {_u('un')})", lambda k: R.uniform(SEED, "un", k, 10.0, 20.0))
 _one("dist_exponential", f"(-2.0 * ln(1.0 - {_u('ex')}))", lambda k: R.exponential(SEED, "ex", k, 2.0))
 _one("dist_poisson", _poisson_sql("po", 4.5), lambda k: R.poisson(SEED, "po", k, 4.5), digits=None)
+_one("dist_poisson_800", _poisson_sql("po8", 800.0), lambda k: R.poisson(SEED, "po8", k, 800.0), digits=None)
+_one("dist_poisson_5000", _poisson_sql("po5", 5000.0), lambda k: R.poisson(SEED, "po5", k, 5000.0), digits=None)
 _one("dist_bernoulli", f"(CASE WHEN {_u('be')} < 0.3 THEN 1.0 ELSE 0.0 END)", lambda k: R.bernoulli(SEED, "be", k, 0.3),
      digits=None)
 _one("dist_gamma", _gamma_sql("ga", 2.5, 2.0), lambda k: R.gamma(SEED, "ga", k, 2.5, 2.0))

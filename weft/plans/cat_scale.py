@@ -26,6 +26,17 @@ def q_scale_down(spark, sf):
     return S.scale_down(table(spark, sf, "customer"), 500, SEED, ["c_custkey"])
 
 
+@query("scale_down_large", f"""
+WITH n AS (SELECT count(*) // 2 AS n FROM lineitem),
+r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+             row_number() OVER (ORDER BY {u_sql(SEED, 'sample', 'l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')},
+                                l_orderkey, l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM r, n WHERE nth <= n""")
+def q_scale_down_large(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return S.scale_down(li, li.count() // 2, SEED, li.columns)
+
+
 def _spine10(spark, sf, name, factor=10):
     n = table(spark, sf, name).count()
     return spark.range(n * factor).withColumnRenamed("id", "_row"), n

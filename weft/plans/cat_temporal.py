@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from weft.operators import scenario as X
@@ -165,14 +167,12 @@ def _tpl_sql():
 @query("scenario_templates", _tpl_sql())
 def q_scenario_templates(spark, sf):
     base = _scenario_base(spark, sf)
-    out = None
-    for name, s in X.TEMPLATES.items():
-        part = X.apply(base, s).agg(F.lit(name).alias("scenario"),
-                                    F.round(F.sum("revenue"), 4).alias("sum_revenue"),
-                                    F.round(F.sum("consumer_spending_usd"), 4).alias("sum_consumer_spending_usd"),
-                                    F.sum("unemployment_rate_x100").cast("long").alias("sum_unemployment_rate_x100"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    out = X.compare(base, [dataclasses.replace(s, name=n) for n, s in X.TEMPLATES.items()],
+                    ["revenue", "consumer_spending_usd", "unemployment_rate_x100"])
+    return out.where("scenario <> 'baseline'").select(
+        "scenario", F.round("sum_revenue", 4).alias("sum_revenue"),
+        F.round("sum_consumer_spending_usd", 4).alias("sum_consumer_spending_usd"),
+        F.col("sum_unemployment_rate_x100").cast("long").alias("sum_unemployment_rate_x100"))
 
 
 _KW_SQL = " ".join(f"WHEN contains(lower(trim(text)), '{k}') THEN '{v}'" for k, v in X.KEYWORDS)

@@ -50,7 +50,7 @@ def _rowcount_sql(t):
     for pat in reversed(TX.ROW_COUNT_PATTERNS):
         raw = f"regexp_extract({t}, {_sqlstr('(?i)' + pat)}, 1)"
         val = f"try_cast(replace({raw}, ',', '') AS BIGINT)"
-        out = f"(CASE WHEN {val} IS NOT NULL AND {val} >= 1 AND {val} <= {TX.ROW_COUNT_MAX} THEN {val} ELSE {out} END)"
+        out = f"(CASE WHEN {val} IS NOT NULL AND {val} >= 1 THEN {val} ELSE {out} END)"
     return out
 
 
