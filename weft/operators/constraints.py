@@ -2,17 +2,16 @@
 
 Kinds: range, enum, not_null, expression, unique, temporal, referential, causal.
 Actions: clip (range only rewrites), reject (drop violating rows), impute (replace by the
-column median / mode), flag (array column of violated rule names).
+column's median / mode), flag (array column of violated rule names).
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.operators.rank import exact_median
 from weft.plans.spec import DagRule, Rule, TableSpec
 
 SEVERITIES = ("low", "medium", "high", "critical")
@@ -69,25 +68,71 @@ def violation(df: DataFrame, rule: Rule) -> Column | None:
     return None
 
 
-def enforce(df: DataFrame, rules: list[Rule], kinds=("range", "enum", "expression")) -> DataFrame:
-    """Rule effects applied to the rows (the reference's enforce_batch handles range/enum/expression).
+def with_violations(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame] | None = None):
+    """(df plus one boolean column per applicable rule, [(rule, column)]), all judged on the incoming values.
+
+    unique: every row of a key but the first by the remaining columns; keys with a null are not judged.
+    referential: a non-null key without a row in ``tables[rule.ref_table]``.
+    """
+    out, judged = df, []
+    for r in rules:
+        name = f"_b{len(judged)}"
+        if r.kind == "unique":
+            if not r.columns or any(c not in df.columns for c in r.columns):
+                continue
+            out = mark_repeats(out, list(r.columns), df.columns, name)
+        elif r.kind == "referential":
+            if not r.columns or r.columns[0] not in df.columns:
+                continue
+            if r.ref_table not in (tables or {}):
+                raise ValueError(f"rule {r.name}: table {r.ref_table} is not given")
+            parent = tables[r.ref_table].select(F.col(r.ref_column or r.columns[0]).alias("_pk")).distinct().withColumn("_has", F.lit(True))
+            fk = F.col(r.columns[0])
+            out = out.join(parent, fk == F.col("_pk"), "left").withColumn(name, fk.isNotNull() & F.col("_has").isNull()).drop("_pk", "_has")
+        else:
+            bad = violation(df, r)
+            if bad is None:
+                continue
+            out = out.withColumn(name, bad)
+        judged.append((r, name))
+    return out, judged
+
+
+def mark_repeats(df: DataFrame, cols: list[str], order: list[str], mark: str) -> DataFrame:
+    """Boolean ``mark``: true for every row of a non-null key but the first by the other columns of ``order``.
+
+    Equal rows are counted once and the first of a key is a map-side combined ``min``; the join back on
+    the key is an equi-join that adaptive execution splits, so a hot key is never gathered.
+    """
+    others = [c for c in order if c not in cols]
+    first = F.struct(*others) if others else F.lit(1)
+    same = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    firsts = same.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)]).agg(F.min(first).alias("_first"))
+    whole = F.lit(True)
+    meet = F.lit(True)
+    for i, c in enumerate(cols):
+        meet = meet & (F.col(c) == F.col(f"_k{i}"))
+        whole = whole & F.col(c).isNotNull()
+    j = same.join(firsts, meet, "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    is_first = first.eqNullSafe(F.col("_first")) & (F.col("_copy") == 1)
+    return j.withColumn(mark, whole & ~is_first).select(*df.columns, mark)
+
+
+def enforce(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Rule effects of all eight kinds applied to the rows.
 
     Every rule is judged on the incoming values, then:
     * clip (range): value coerced to double and clipped; unparseable text becomes null.
     * reject: violating rows removed.
-    * impute: violating cells replaced by the column's approximate median (numeric) or mode (text).
+    * impute: violating cells replaced by the median (numeric) or mode (others) of the cells that
+      break no impute rule of their column.
     * flag: ``_violations`` array column names the rules a row breaks.
+
+    ``tables`` holds the parents of referential rules.
     """
-    judged = []
-    for r in rules:
-        if r.kind not in kinds:
-            continue
-        bad = violation(df, r)
-        if bad is not None:
-            judged.append((r, f"_b{len(judged)}", bad))
-    out = df.withColumns({name: bad for _, name, bad in judged}) if judged else df
+    out, judged = with_violations(df, rules, tables)
     rewrites, flags, rejects = {}, [], []
-    for r, name, _ in judged:
+    for r, name in judged:
         c = r.columns[0]
         cur = rewrites.get(c, F.col(c))
         if r.action == "clip" and r.kind == "range":
@@ -100,7 +145,8 @@ def enforce(df: DataFrame, rules: list[Rule], kinds=("range", "enum", "expressio
         elif r.action == "reject":
             rejects.append(F.col(name))
         elif r.action == "impute":
-            fill = _impute_value(df, c)
+            bad = [n for q, n in judged if q.action == "impute" and q.columns[0] == c]
+            fill = _impute_value(out.where(~F.greatest(*[F.col(n) for n in bad], F.lit(False))), c)
             rewrites[c] = F.when(F.col(name), F.lit(fill).cast(df.schema[c].dataType)).otherwise(cur)
         elif r.action == "flag":
             flags.append(F.when(F.col(name), F.lit(r.name)))
@@ -110,44 +156,31 @@ def enforce(df: DataFrame, rules: list[Rule], kinds=("range", "enum", "expressio
         out = out.withColumns(rewrites)
     if flags:
         out = out.withColumn("_violations", F.array_compact(F.array(*flags)))
-    return out.drop(*[name for _, name, _ in judged])
+    return out.drop(*[name for _, name in judged])
 
 
 def _impute_value(df: DataFrame, c: str):
-    t = df.schema[c].dataType
-    if isinstance(t, T.NumericType):
-        row = df.agg(F.percentile_approx(F.col(c), 0.5, 10000).alias("m")).first()
-        return row["m"]
+    if isinstance(df.schema[c].dataType, T.NumericType):
+        return exact_median(df, c)
     row = (df.where(F.col(c).isNotNull()).groupBy(c).count()
            .orderBy(F.desc("count"), F.asc(c)).limit(1).first())
     return row[c] if row else None
 
 
-def violation_log(df: DataFrame, rules: list[Rule], kinds=("range", "enum", "expression")) -> DataFrame:
-    """One aggregate pass counting every rule; rows (rule, column, count, action) for count > 0."""
-    items = []
-    for r in rules:
-        if r.kind not in kinds:
-            continue
-        bad = violation(df, r)
-        if bad is None:
-            continue
-        items.append((r, bad))
-    schema = "rule string, column string, count bigint, action string"
-    if not items:
-        return df.sparkSession.createDataFrame([], schema)
-    agg = df.agg(*[F.count_if(b).cast("long").alias(f"_v{i}") for i, (_, b) in enumerate(items)])
+def violation_log(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One aggregate over all rules; rows (rule, column, count, action) for count > 0."""
+    marked, judged = with_violations(df, rules, tables)
+    if not judged:
+        return df.sparkSession.createDataFrame([], "rule string, column string, count bigint, action string")
+    agg = marked.agg(*[F.count_if(F.col(n)).cast("long").alias(n) for _, n in judged])
     structs = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.columns[0]).alias("column"),
-                        F.col(f"_v{i}").alias("count"), F.lit(r.action).alias("action"))
-               for i, (r, _) in enumerate(items)]
+                        F.col(n).alias("count"), F.lit(r.action).alias("action")) for r, n in judged]
     return (agg.select(F.explode(F.array(*structs)).alias("x")).select("x.*").where(F.col("count") > 0))
 
 
 def rule_unique(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows whose key appears more than once (all copies after the first by the remaining columns)."""
-    others = [c for c in df.columns if c not in cols]
-    w = Window.partitionBy(*cols).orderBy(*[F.col(c).asc_nulls_first() for c in others])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn > 1").drop("_rn")
+    return mark_repeats(df, cols, df.columns, "_rep").where("_rep").drop("_rep")
 
 
 def unique_violations(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -216,24 +249,3 @@ def rules_from_json_frame(raw: DataFrame) -> DataFrame:
                 F.col("columns"),
                 F.when(F.array_contains(sev, s), s).otherwise(F.lit("medium")).alias("severity"),
             ))
-
-
-def rules_from_json_text(spark, text: str) -> list[Rule]:
-    """Driver-side: parse a small JSON list of rule items into Rule objects (same cleaning rules)."""
-    items = json.loads(text)
-    if isinstance(items, dict):
-        items = items.get("rules", items.get("constraints", []))
-    out = []
-    for it in items or []:
-        name = (it.get("name") or "").strip()
-        cols = it.get("columns") or []
-        if not name or not cols:
-            continue
-        kind = str(it.get("type", "")).lower().strip()
-        kind = kind if kind in KINDS else "expression"
-        sev = str(it.get("severity", "")).lower().strip()
-        sev = sev if sev in SEVERITIES else "medium"
-        p = it.get("parameters") or {}
-        out.append(Rule(name, kind, tuple(cols), it.get("action", "flag"), sev,
-                        p.get("min"), p.get("max"), tuple(p.get("values", ())), it.get("expression")))
-    return out

@@ -6,6 +6,7 @@ table or a ``spark.range``); generation is one narrow stage -- no shuffle, no Py
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 from contextlib import contextmanager
 
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import rand as R
-from weft.plans.spec import ColumnSpec, DagRule, Dist, TableSpec
+from weft.operators.rank import dense_index
+from weft.plans.spec import ColumnSpec, DagRule, Dist, Relationship, TableSpec
 
 # fixed values: default parameters per distribution
 DEFAULT_PARAMS = {
@@ -129,7 +131,7 @@ def default_column(c: ColumnSpec, table: str, seed, idx: Column, keys: Sequence)
 
 def spec_column(c: ColumnSpec, table: str, seed, idx: Column, keys: Sequence) -> Column:
     """Column from a spec: distribution if given, enum -> uniform choice, boolean -> p=0.5,
-    numeric -> Poisson(10) (integer) or N(0, 1) (float); integers rounded; clipped to min/max."""
+    numeric -> chosen from its meaning, name and type; integers rounded; clipped to min/max."""
     t = (c.data_type or "string").lower()
     if c.primary_key or (t not in ("integer", "float", "boolean") and not c.enum_values and not c.distribution):
         return default_column(c, table, seed, idx, keys)
@@ -142,7 +144,7 @@ def spec_column(c: ColumnSpec, table: str, seed, idx: Column, keys: Sequence) ->
         d = Dist(required_distribution(c.semantic_type, d.kind), d.params, d.clip_min, d.clip_max, d.values,
                  d.weights, d.components)
     else:
-        d = Dist("poisson", {"mu": 10.0}) if t == "integer" else Dist("normal", {"mean": 0.0, "std": 1.0})
+        d = meant_distribution(c) or (Dist("poisson", {"mu": 10.0}) if t == "integer" else Dist("normal", {"mean": 0.0, "std": 1.0}))
     x = sample(d, seed, c.name, keys)
     if c.min_value is not None or c.max_value is not None:
         x = R.clip(x, c.min_value, c.max_value)
@@ -245,3 +247,102 @@ def fk_child(child_spine: DataFrame, child_key: str, parent_indexed: DataFrame,
         "_pidx", F.floor(R.uniform01(seed, f"fk:{fk_name}", [F.col(child_key)]) * F.lit(n_parent)).cast("long"))
     p = parent_indexed.select(F.col(parent_idx).alias("_pidx"), F.col(parent_pk).alias(fk_name))
     return draws.join(p, "_pidx").drop("_pidx")
+
+
+def one_to_one(child: DataFrame, child_keys: list[str], parent: DataFrame, parent_pk: str, fk_name: str) -> DataFrame:
+    """Every child row gets a parent key of its own: child and parent rows are numbered densely in the order of
+    their keys' hashes and joined by number. Needs at least as many parents as children; children beyond
+    that get a null key."""
+    c = dense_index(child, child_keys, "_i")
+    p = dense_index(parent.select(F.col(parent_pk).alias(fk_name)), [fk_name], "_j")
+    return c.join(p, F.col("_i") == F.col("_j"), "left").drop("_i", "_j")
+
+
+def many_to_many(left_indexed: DataFrame, left_pk: str, n_left: int, right_indexed: DataFrame, right_pk: str, n_right: int,
+                 n_links: int, seed: int, name: str, idx: str = "_idx") -> DataFrame:
+    """Link table (left key, right key): ``n_links`` draws of both keys, repeated pairs kept once.
+
+    Both sides come with a dense index ``idx`` (0..n-1), so every key exists in its table.
+    """
+    spark = left_indexed.sparkSession
+    draw = lambda side, n: F.floor(R.uniform01(seed, f"link:{name}:{side}", [F.col("id")]) * F.lit(n)).cast("long")
+    pairs = spark.range(n_links).select(draw("a", n_left).alias("_a"), draw("b", n_right).alias("_b")).distinct()
+    a = left_indexed.select(F.col(idx).alias("_a"), F.col(left_pk))
+    b = right_indexed.select(F.col(idx).alias("_b"), F.col(right_pk))
+    return pairs.join(a, "_a").join(b, "_b").select(left_pk, right_pk)
+
+
+def related(child: DataFrame, child_keys: list[str], parent: DataFrame, rel: Relationship, seed: int) -> DataFrame:
+    """The child table with its foreign key by the relationship's kind; for N:M the link table."""
+    if rel.kind == "1:1":
+        return one_to_one(child, child_keys, parent, rel.parent_column, rel.child_column)
+    p = dense_index(parent.select(rel.parent_column), [rel.parent_column], "_idx")
+    n = parent.count()
+    if rel.kind == "1:N":
+        return fk_child(child, child_keys[0], p, "_idx", rel.parent_column, n, seed, rel.child_column)
+    if rel.kind == "N:M":
+        c = dense_index(child.select(*child_keys), child_keys, "_idx")
+        m = child.count()
+        return many_to_many(c, child_keys[0], m, p, rel.parent_column, n, m, seed, f"{rel.child_table}:{rel.parent_table}")
+    raise ValueError(f"unknown relationship {rel.kind}")
+
+
+# fixed values: column-name keywords and the semantic type they stand for, in order
+NAME_KEYWORDS = [
+    ("salary", "salary"), ("pay", "salary"), ("wage", "salary"), ("income", "income"), ("revenue", "salary"), ("amount", "salary"),
+    ("age", "age"), ("years", "years"), ("score", "score"), ("rating", "score"), ("count", "count"), ("qty", "count"),
+    ("quantity", "count"), ("probability", "probability"), ("rate", "rate"), ("duration", "duration"), ("tenure", "duration"),
+    ("is_", "boolean"), ("has_", "boolean"),
+]
+
+# fixed values: distribution of a data type that nothing else decides
+TYPE_DISTRIBUTIONS = [("integer", "poisson"), ("float", "normal"), ("string", "categorical"), ("datetime", "uniform"),
+                      ("date", "uniform"), ("boolean", "bernoulli")]
+
+
+def choose_distribution(name: Column, data_type: Column, semantic_type: Column, has_enum: Column) -> Column:
+    """Distribution kind of a column: enum, boolean, semantic type, name keyword (prefix or suffix), data type."""
+    rules = dict(SEMANTIC_RULES)
+    low, sem = F.lower(name), F.lower(F.coalesce(semantic_type, F.lit("")))
+    out = F.lit("normal")
+    for t, kind in reversed(TYPE_DISTRIBUTIONS):
+        out = F.when(data_type == t, kind).otherwise(out)
+    for kw, meaning in reversed(NAME_KEYWORDS):
+        out = F.when(F.startswith(low, F.lit(kw)) | F.endswith(low, F.lit(kw)), rules[meaning]).otherwise(out)
+    for t, kind in SEMANTIC_RULES:
+        out = F.when(sem == t, kind).otherwise(out)
+    return F.when(has_enum, "categorical").when(data_type == "boolean", "bernoulli").otherwise(out)
+
+
+def meant_distribution(c: ColumnSpec) -> Dist | None:
+    """What a column's semantic type or name asks for, with default parameters and the column's bounds."""
+    rules, low = dict(SEMANTIC_RULES), c.name.lower()
+    kind = rules.get((c.semantic_type or "").lower())
+    if kind is None:
+        kind = next((rules[m] for kw, m in NAME_KEYWORDS if low.startswith(kw) or low.endswith(kw)), None)
+    return Dist(kind, dict(DEFAULT_PARAMS[kind]), c.min_value, c.max_value) if kind else None
+
+
+# fixed values: metadata columns that fill a short schema, in order, and its least size
+FILLERS = [("notes", "string", "notes"), ("category", "string", "category"), ("sub_category", "string", "category"),
+           ("region", "string", "region"), ("source", "string", "source"), ("is_active", "boolean", "flag"),
+           ("priority", "integer", "priority"), ("updated_at", "datetime", "timestamp"), ("external_id", "string", "id"),
+           ("metadata_tags", "string", "tags"), ("confidence_score", "float", "score"), ("version", "integer", "version")]
+MIN_COLUMNS = 12
+
+
+def complete_schema(spec: TableSpec, dag: list[DagRule] = ()) -> TableSpec:
+    """A key column if there is none, fillers up to MIN_COLUMNS; the key first, then
+    columns outside the DAG by name, then the DAG's columns in its order."""
+    cols = list(spec.columns)
+    if not any(c.primary_key for c in cols):
+        cols.insert(0, ColumnSpec(f"{spec.name}_id", "uuid", False, True, True, semantic_type="id"))
+    missing = MIN_COLUMNS - len(cols)
+    for i in range(max(0, missing)):
+        name, kind, meaning = FILLERS[i] if i < len(FILLERS) else (f"field_{i + 1}", "string", None)
+        cols.append(ColumnSpec(name, kind, semantic_type=meaning, null_rate=0.05))
+    nodes = []
+    for r in topological_order(list(dag)):
+        nodes += [n for n in (*r.all_parents, r.child) if n not in nodes]
+    place = {n: i + 1 for i, n in enumerate(nodes)}
+    return dataclasses.replace(spec, columns=tuple(sorted(cols, key=lambda c: (not c.primary_key, place.get(c.name, 0), c.name))))

@@ -94,21 +94,17 @@ def value_ranks(df: DataFrame, col: str, n_buckets: int | None = None, rank_col:
     return ranked
 
 
-def join_ranks(df: DataFrame, col: str, ranks: DataFrame, rank_col: str, n_distinct: int | None = None) -> DataFrame:
-    """Attach ``rank_col`` to each row by its value of ``col``; nulls get null.
-
-    The rank table is broadcast only when its row count is known to be small.
-    """
-    r = ranks.select(F.col("v").alias(f"_{rank_col}_v"), F.col(rank_col))
-    if n_distinct is not None and n_distinct <= BROADCAST_ROWS:
-        r = F.broadcast(r)
-    return df.join(r, df[col] == r[f"_{rank_col}_v"], "left").drop(f"_{rank_col}_v")
-
-
-def with_average_rank(df: DataFrame, col: str, out: str, n_buckets: int | None = None) -> DataFrame:
-    ranks = value_ranks(df, col, n_buckets, rank_col=out).persist()
-    n = ranks.count()
-    return join_ranks(df, col, ranks, out, n)
+def exact_median(df: DataFrame, col: str) -> float | None:
+    """Median of the non-null values (mean of the two middle ones), from distributed ranks; two values reach the driver."""
+    ranks = value_ranks(df, col)
+    n = df.agg(F.count(col)).first()[0]
+    if not n:
+        return None
+    low, high = F.col("rank") - (F.col("n") - 1) / 2, F.col("rank") + (F.col("n") - 1) / 2
+    middle = [(n + 1) // 2, n // 2 + 1]
+    at = ranks.where(" OR ".join(f"({p} BETWEEN rank - (n - 1) / 2 AND rank + (n - 1) / 2)" for p in middle)).select("v", low.alias("a"), high.alias("b")).collect()
+    found = [float(r["v"]) for p in middle for r in at if r["a"] <= p <= r["b"]]
+    return sum(found) / len(found)
 
 
 def dense_index(df: DataFrame, key_cols: list[str], out: str = "_idx", n_buckets: int | None = None) -> DataFrame:

@@ -90,6 +90,76 @@ def q_action_flag(spark, sf):
         .select("c_custkey", "_violations")
 
 
+@query("action_impute_numeric", """
+WITH g AS (SELECT median(c_acctbal) AS md FROM customer WHERE c_acctbal BETWEEN 0 AND 9000)
+SELECT c_custkey, round(CASE WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN (SELECT md FROM g) ELSE c_acctbal END, 6) AS c_acctbal
+FROM customer""")
+def q_action_impute_numeric(spark, sf):
+    r = Rule("customer.bal_impute", "range", ("c_acctbal",), "impute", min_value=0.0, max_value=9000.0)
+    out = C.enforce(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), [r])
+    return out.withColumn("c_acctbal", F.round("c_acctbal", 6))
+
+
+_LI5 = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+@query("enforce_unique", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS rn
+  FROM lineitem) WHERE rn = 1""")
+def q_enforce_unique(spark, sf):
+    r = Rule("lineitem.key_unique", "unique", ("l_orderkey", "l_linenumber"), "reject", "critical")
+    return C.enforce(table(spark, sf, "lineitem").select(*_LI5), [r])
+
+
+@query("enforce_not_null", """
+SELECT event_id, CASE WHEN user_id % 7 = 0 THEN ['events.device_not_null'] ELSE [] END AS _violations FROM events""")
+def q_enforce_not_null(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 7 != 0, F.col("event_type")).alias("device"))
+    r = Rule("events.device_not_null", "not_null", ("device",), "flag", "high")
+    return C.enforce(e, [r]).select("event_id", "_violations")
+
+
+@query("enforce_temporal", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, o_orderdate
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE NOT (l_shipdate < o_orderdate)""")
+def q_enforce_temporal(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).drop("o_orderkey")
+    return C.enforce(j, [Rule("li.ship_after_order", "temporal", ("o_orderdate", "l_shipdate"), "reject", "high")])
+
+
+@query("enforce_referential", """
+SELECT o_orderkey, CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')
+                   THEN ['orders.customer'] ELSE [] END AS _violations FROM orders""")
+def q_enforce_referential(spark, sf):
+    r = Rule("orders.customer", "referential", ("o_custkey",), "flag", "high", ref_table="customer", ref_column="c_custkey")
+    parents = {"customer": table(spark, sf, "customer").where(F.col("c_mktsegment") != "BUILDING")}
+    return C.enforce(table(spark, sf, "orders"), [r], parents).select("o_orderkey", "_violations")
+
+
+@query("enforce_causal", """
+SELECT o_orderkey, CASE WHEN abs(o_totalprice - (o_custkey * 100.0)) > 50000 THEN ['orders.price'] ELSE [] END AS _violations FROM orders""")
+def q_enforce_causal(spark, sf):
+    r = Rule("orders.price", "causal", ("o_totalprice", "o_custkey"), "flag", "high", expression="o_custkey * 100.0", tolerance=50000.0)
+    return C.enforce(table(spark, sf, "orders"), [r]).select("o_orderkey", "_violations")
+
+
+@query("violation_log_all_kinds", """
+SELECT * FROM (
+  SELECT 'u' AS rule, 'o_custkey' AS "column", CAST(count(*) - count(DISTINCT o_custkey) AS BIGINT) AS "count", 'reject' AS action FROM orders
+  UNION ALL SELECT 'r', 'o_custkey', count(*) FILTER (WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)), 'flag' FROM orders
+  UNION ALL SELECT 'g', 'o_totalprice', count(*) FILTER (WHERE o_totalprice > 100000), 'clip' FROM orders
+  UNION ALL SELECT 'n', 'o_orderstatus', count(*) FILTER (WHERE o_orderstatus IS NULL), 'reject' FROM orders) WHERE "count" > 0""")
+def q_violation_log_all_kinds(spark, sf):
+    rules = [Rule("u", "unique", ("o_custkey",), "reject"), Rule("r", "referential", ("o_custkey",), "flag", ref_table="customer", ref_column="c_custkey"),
+             Rule("g", "range", ("o_totalprice",), "clip", max_value=100000.0), Rule("n", "not_null", ("o_orderstatus",), "reject")]
+    parents = {"customer": table(spark, sf, "customer").where("c_nationkey < 12")}
+    return C.violation_log(table(spark, sf, "orders"), rules, parents)
+
+
 @query("rule_unique", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,

@@ -15,7 +15,7 @@ from weft.functions import rand as R
 from weft.operators import generate as G
 from weft.operators.rank import dense_index
 from weft.plans.registry import query
-from weft.plans.spec import ColumnSpec, DagRule, Dist, TableSpec
+from weft.plans.spec import ColumnSpec, DagRule, Dist, Relationship, TableSpec
 from weft.plans.sqlkit import EPS_53, cdf_index_sql, cumulative, normal_sql, u_sql
 from weft.session import table
 
@@ -157,14 +157,16 @@ _one("dist_mixture",
 
 @query("gen_numeric", f"""
 SELECT {K}, CAST(round(least(greatest({_poisson_sql('visits', 10.0)}, 0.0), 30.0)) AS BIGINT) AS visits,
-       round({_n('score')}, 6) AS score
+       round({_gamma_sql('score#x', 2.0, 1.0)} / ({_gamma_sql('score#x', 2.0, 1.0)} + {_gamma_sql('score#y', 5.0, 1.0)}), 6) AS score,
+       round({_n('drift')}, 6) AS drift
 FROM orders""")
 def q_gen_numeric(spark, sf):
     spec_i = ColumnSpec("visits", "integer", min_value=0, max_value=30)
-    spec_f = ColumnSpec("score", "float")
+    spec_f, spec_z = ColumnSpec("score", "float"), ColumnSpec("drift", "float")  # a score is meant to be beta; nothing decides drift
     idx = F.col(K)
     return _spine(spark, sf).select(K, G.spec_column(spec_i, "t", SEED, idx, [idx]).alias("visits"),
-                                    F.round(G.spec_column(spec_f, "t", SEED, idx, [idx]), 6).alias("score"))
+                                    F.round(G.spec_column(spec_f, "t", SEED, idx, [idx]), 6).alias("score"),
+                                    F.round(G.spec_column(spec_z, "t", SEED, idx, [idx]), 6).alias("drift"))
 
 
 DEFAULT_SPEC = TableSpec("patients", (
@@ -233,6 +235,62 @@ def q_gen_fk_child(spark, sf):
     return G.fk_child(_spine(spark, sf), K, idx, "_idx", "c_custkey", n, SEED, "buyer")
 
 
+_DENSE = ("row_number() OVER (ORDER BY CAST(('0x' || substr(sha256(CAST({k} AS VARCHAR)), 1, 13)) AS BIGINT), {k}) - 1")
+
+
+@query("gen_one_to_one", f"""
+WITH s AS (SELECT s_suppkey, {_DENSE.format(k='s_suppkey')} AS i FROM supplier),
+c AS (SELECT c_custkey, {_DENSE.format(k='c_custkey')} AS i FROM customer)
+SELECT s.s_suppkey, c.c_custkey AS contact FROM s LEFT JOIN c USING (i)""")
+def q_gen_one_to_one(spark, sf):
+    rel = Relationship("customer", "c_custkey", "supplier", "contact", "1:1")
+    return G.related(table(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], table(spark, sf, "customer"), rel, SEED)
+
+
+@query("gen_many_to_many", f"""
+WITH p AS (SELECT p_partkey, {_DENSE.format(k='p_partkey')} AS a FROM part), s AS (SELECT s_suppkey, {_DENSE.format(k='s_suppkey')} AS b FROM supplier),
+n AS (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM supplier) AS ns),
+d AS (SELECT DISTINCT CAST(floor({u_sql(SEED, 'link:part:supplier:a', 'id')} * np) AS BIGINT) AS a,
+                      CAST(floor({u_sql(SEED, 'link:part:supplier:b', 'id')} * ns) AS BIGINT) AS b FROM n, range(0, (SELECT count(*) FROM part)) t(id))
+SELECT p_partkey, s_suppkey FROM d JOIN p USING (a) JOIN s USING (b)""")
+def q_gen_many_to_many(spark, sf):
+    rel = Relationship("supplier", "s_suppkey", "part", "s_suppkey", "N:M")
+    return G.related(table(spark, sf, "part").select("p_partkey"), ["p_partkey"], table(spark, sf, "supplier"), rel, SEED)
+
+
+_KW_SQL = " ".join(f"WHEN starts_with(lower(name), '{k}') OR ends_with(lower(name), '{k}') THEN '{dict(G.SEMANTIC_RULES)[m]}'" for k, m in G.NAME_KEYWORDS)
+_SEM_SQL = " ".join(f"WHEN lower(coalesce(semantic_type, '')) = '{k}' THEN '{d}'" for k, d in G.SEMANTIC_RULES)
+_TYPE_SQL = " ".join(f"WHEN data_type = '{k}' THEN '{d}'" for k, d in G.TYPE_DISTRIBUTIONS)
+
+
+@query("distribution_model", f"""
+WITH c AS (SELECT p_partkey, split_part(lower(p_type), ' ', 1) || ['_age', '_rate', '_qty', '_code', ''][p_size % 5 + 1] AS name,
+                  ['integer', 'float', 'string', 'date', 'boolean', 'json'][p_size % 6 + 1] AS data_type,
+                  [NULL, 'Salary', 'duration', 'nothing'][p_partkey % 4 + 1] AS semantic_type, p_partkey % 11 = 0 AS has_enum FROM part)
+SELECT p_partkey, name, CASE WHEN has_enum THEN 'categorical' WHEN data_type = 'boolean' THEN 'bernoulli' {_SEM_SQL} {_KW_SQL} {_TYPE_SQL} ELSE 'normal' END AS distribution
+FROM c""")
+def q_distribution_model(spark, sf):
+    """A distribution for every column description; the descriptions are derived from the part table."""
+    pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i)
+    p = table(spark, sf, "part")
+    name = F.concat(F.split_part(F.lower("p_type"), F.lit(" "), F.lit(1)), pick(["_age", "_rate", "_qty", "_code", ""], F.col("p_size") % 5))
+    kind = pick(["integer", "float", "string", "date", "boolean", "json"], F.col("p_size") % 6)
+    sem = pick([None, "Salary", "duration", "nothing"], (F.col("p_partkey") % 4).cast("int"))
+    return p.select("p_partkey", name.alias("name"), G.choose_distribution(name, kind, sem, F.col("p_partkey") % 11 == 0).alias("distribution"))
+
+
+@query("schema_complete", f"""
+SELECT position, column_name, CAST(n AS BIGINT) AS n_rows FROM (SELECT count(*) AS n FROM customer),
+  (VALUES (1, 't_id'), (2, 'category'), (3, 'external_id'), (4, 'is_active'), (5, 'notes'), (6, 'priority'), (7, 'region'),
+          (8, 'source'), (9, 'sub_category'), (10, 'updated_at'), (11, 'c_acctbal'), (12, 'c_balance_x')) v(position, column_name)""")
+def q_schema_complete(spark, sf):
+    """A two-column spec completed to twelve, generated over the customers; the result's columns and row count."""
+    spec = G.complete_schema(TableSpec("t", (ColumnSpec("c_balance_x", "float"), ColumnSpec("c_acctbal", "float"))), [DagRule("c_acctbal", "c_balance_x", "c_acctbal * 2")])
+    made = G.generate_table(table(spark, sf, "customer").select("c_custkey"), "c_custkey", spec, SEED)
+    rows = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("column_name")) for i, c in enumerate(made.columns)]))
+    return made.agg(F.count(F.lit(1)).alias("n_rows")).select(rows.alias("x"), "n_rows").select("x.*", "n_rows")
+
+
 CAUSAL_RULES = [DagRule("age", "is_senior", "age >= 60"), DagRule("age", "age_months", "age * 12"),
                 DagRule("c_nationkey", "age", "20 + c_nationkey * 2"),
                 DagRule("c_acctbal", "bal_k", "try_divide(c_acctbal, c_nationkey)"),

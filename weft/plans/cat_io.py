@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from weft.plans.registry import query
 from weft.session import table
 from weft.sources import files as FS
@@ -29,3 +31,30 @@ def q_schema_detect(spark, sf):
     path = FS.scratch_path(spark, "upload")
     FS.write(table(spark, sf, "orders"), path, "csv")
     return FS.detect_schema(FS.read(spark, path, "csv"))
+
+
+@query("json_table", "SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def q_json_table(spark, sf):
+    """The nations as one JSON document under a root key, read back as a typed table (25 rows, nested region as JSON)."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "n_regionkey", F.struct("r_name").alias("region"))
+    doc = rows.agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("nations"))).alias("value"))
+    path = FS.scratch_path(spark, "nations")
+    doc.write.text(path)
+    got = FS.load_json_table(spark, path, "nations", "n_nationkey int, n_name string, n_regionkey int, region string")
+    return got.select("n_nationkey", "n_name", "n_regionkey", F.get_json_object("region", "$.r_name").alias("r_name"))
+
+
+@query("output_formats", """
+SELECT f.fmt, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS keys, round(sum(o_totalprice), 4) AS total
+FROM orders, (VALUES ('csv'), ('json'), ('parquet')) f(fmt) GROUP BY f.fmt""")
+def q_output_formats(spark, sf):
+    """Orders written in every output format and read back."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    parts = []
+    for fmt in FS.FORMATS:
+        path = FS.scratch_path(spark, fmt)
+        FS.write(orders, path, fmt)
+        back = FS.read(spark, path, fmt, orders.schema)
+        parts.append(back.agg(F.lit(fmt).alias("fmt"), F.count(F.lit(1)).alias("n_rows"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 4).alias("total")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

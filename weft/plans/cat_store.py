@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.operators import constraints as C
 from weft.operators import store as ST
 from weft.plans.registry import query
+from weft.plans.spec import Rule
 from weft.session import table
+from weft.sources import files as FS
 
 EV = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 EV_SQL = ", ".join(EV)
@@ -94,3 +97,28 @@ def q_nearest_vector(spark, sf):
 def q_nearest_vector_t30(spark, sf):
     """Same lookup at threshold 0.3, where the random vectors do have neighbours."""
     return _nearest(spark, sf, 0.3)
+
+
+@query("event_log", """
+SELECT 's1' AS session_id, 'violation' AS kind, 'price' AS rule, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_totalprice > 50000 HAVING count(*) > 0
+UNION ALL SELECT 's1', 'violation', 'status', count(*) FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('O', 'F') HAVING count(*) > 0
+UNION ALL SELECT 's2', 'heal', o_orderstatus, count(*) FROM orders GROUP BY o_orderstatus""")
+def q_event_log(spark, sf):
+    """Two reports appended to one event log and read back."""
+    o = table(spark, sf, "orders")
+    path = FS.scratch_path(spark, "event-log")
+    rules = [Rule("price", "range", ("o_totalprice",), "flag", max_value=50000.0), Rule("status", "enum", ("o_orderstatus",), "flag", values=("O", "F"))]
+    ST.append_log(path, C.violation_log(o, rules), "s1", "violation")
+    ST.append_log(path, o.groupBy(F.col("o_orderstatus").alias("rule")).count(), "s2", "heal")
+    log = spark.read.parquet(path)
+    return log.select("session_id", "kind", F.get_json_object("payload", "$.rule").alias("rule"), F.get_json_object("payload", "$.count").cast("long").alias("n"))
+
+
+@query("vector_store_add", "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings")
+def q_vector_store_add(spark, sf):
+    """Vectors added to the store in two appends."""
+    v = table(spark, sf, "embeddings")
+    path = FS.scratch_path(spark, "vectors")
+    ST.add_vectors(path, v.where("vec_id % 2 = 0"))
+    ST.add_vectors(path, v.where("vec_id % 2 <> 0"))
+    return spark.read.parquet(path).select("vec_id", "label", F.size("embedding").alias("dim"))

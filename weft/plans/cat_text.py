@@ -223,3 +223,30 @@ def q_code_guard(spark, sf):
     valid = c.where(F.col("c_mktsegment") != "FURNITURE")
     fallback = F.when(F.col("c_nationkey") == 8, F.lit("HOUSEHOLD")).otherwise(F.lit("BUILDING"))
     return LK.code_guard(t, "seg", valid, "c_mktsegment", fallback).select("c_custkey", "seg")
+
+
+@query("distribution_priors", """
+WITH p AS (SELECT c_mktsegment AS sem, round(avg(c_acctbal), 4) AS mean, round(stddev_samp(c_acctbal), 4) AS sd, min(c_acctbal) AS lo FROM customer
+           WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') GROUP BY 1)
+SELECT c_custkey, p.sem IS NOT NULL AS known, mean, sd, lo AS clip_min FROM customer LEFT JOIN p ON p.sem = c_mktsegment""")
+def q_distribution_priors(spark, sf):
+    """Priors fitted per market segment, attached to every customer by its segment; params travel as JSON text."""
+    c = table(spark, sf, "customer")
+    fit = c.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD")).groupBy("c_mktsegment").agg(
+        F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.stddev_samp("c_acctbal"), 4).alias("sd"), F.min("c_acctbal").alias("clip_min"))
+    priors = fit.select(F.lower("c_mktsegment").alias("semantic_type"), F.lit("normal").alias("distribution_type"),
+                        F.to_json(F.struct("mean", "sd")).alias("params"), "clip_min")
+    got = LK.distribution_priors(c.select("c_custkey", "c_mktsegment"), "c_mktsegment", priors)
+    return got.select("c_custkey", F.col("distribution_type").isNotNull().alias("known"), F.col("params")["mean"].alias("mean"), F.col("params")["sd"].alias("sd"), "clip_min")
+
+
+@query("cities_of_country", """
+SELECT country, city, population FROM (
+  SELECT n_name AS country, c_name AS city, CAST(floor(c_acctbal) AS BIGINT) AS population,
+         row_number() OVER (PARTITION BY n_name ORDER BY floor(c_acctbal) DESC, c_name) AS nth
+  FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE nth <= 20""")
+def q_cities_of_country(spark, sf):
+    """The twenty largest "cities" (customers by balance) of every country: the limit is the feature."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    cities = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("country"), F.col("c_name").alias("city"), F.floor("c_acctbal").alias("population"))
+    return LK.cities_of(cities, None, 20).select("country", "city", "population")

@@ -101,6 +101,8 @@ class Rule:
     values: tuple = ()
     expression: str | None = None
     tolerance: float = 1e-9
+    ref_table: str | None = None  # referential: parent table and its key column
+    ref_column: str | None = None
 
 
 @dataclass(frozen=True)
