@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in the file
 UNIGRAM, BPE = 1, 2  # kinds of models
-CACHE_WORDS = 600_000  # words a Python worker remembers; older ones are encoded again
+CACHE_WORDS = 1_300_000  # words a Python worker remembers; older ones are encoded again
 CACHE_PAIRS = 500_000
 
 
@@ -79,8 +80,11 @@ class PieceTransducer:
         self.unknown = self.kind.index(UNKNOWN)
         self.ids = {p: k for k, p in enumerate(self.pieces) if self.kind[k] in (NORMAL, USER)}
         self.worst = 10.0 - min(self.score, default=0.0)  # a fallback costs more than any piece
-        self.longest = max(map(len, self.ids), default=1)
+        self.reach: dict[str, int] = {}  # longest piece by its first two characters
+        for p in self.ids:
+            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
         self.chars = set("".join(self.ids))
+        self.joined = {p[k: k + 2] for p in self.ids for k in range(len(p) - 1)}  # neighbours within some piece
         space = SPACE if self.escape else " "
         # a word can be encoded alone where no piece holds a space after another character
         alone = not any(space in p.lstrip(space) for p in self.ids)
@@ -162,51 +166,104 @@ class PieceTransducer:
 
     def shortest_path(self, text: str) -> list[int]:
         """Ids of the best path through the lattice of ``text`` (normalised)."""
-        n, ids, bpe = len(text), self.ids, self.model == BPE
-        inf = float("inf")
-        cost: list[float] = [0.0] + [inf] * n
-        back: list[tuple[int, int]] = [(-1, -1)] * (n + 1)  # (place before, piece); piece -1: fallback or start
-        for end in range(1, n + 1):
-            for at in range(max(0, end - self.longest), end):
-                if cost[at] == inf:
-                    continue
-                piece = ids.get(text[at:end])
-                if piece is None:
-                    continue
-                if bpe:
-                    if self._may_follow(back[at][1], piece):
-                        cost[end], back[end] = cost[at], (at, piece)
-                        break  # all other arcs into this place have infinite weight
-                elif cost[at] - self.score[piece] < cost[end]:
-                    cost[end], back[end] = cost[at] - self.score[piece], (at, piece)
-            if text[end - 1] not in ids and cost[end - 1] + self.worst < cost[end]:
-                cost[end], back[end] = cost[end - 1] + self.worst, (end - 1, -1)
-        out, at = [], n
-        while at > 0:
-            before, piece = back[at]
+        path = self._finite_path(text) if self.model == BPE else self._cheapest_path(text)
+        if all(piece >= 0 for _, piece in path):
+            return [piece for _, piece in path]
+        out = []
+        for at, piece in path:
             if piece >= 0:
                 out.append(piece)
             elif self.byte:
-                out.extend(self.byte[x] for x in reversed(text[before:at].encode()))
+                out.extend(self.byte[x] for x in text[at].encode())
             else:
                 out.append(self.unknown)
-            at = before
-        return out[::-1]
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        known, parts = self.words, []
-        for unit in self.units.findall(self.normalise(text)):
-            ids = known.get(unit)
+    def _finite_path(self, text: str) -> list[tuple[int, int]]:
+        """(place, piece) of the one path without an infinite arc; piece -1 is the fallback.
+
+        Depth first, the longest pieces first. Whatever path of finite arcs reaches a place is the only
+        one that does, so a place without a way on is never entered again.
+        """
+        n, ids, reach, may_follow = len(text), self.ids, self.reach, self._may_follow
+        path: list[tuple[int, int]] = []
+        dead = bytearray(n + 1)
+        at, last, end = 0, -1, min(n, reach.get(text[:2], 1))
+        while at < n:
+            piece = None
+            while end > at:
+                if not dead[end]:
+                    piece = ids.get(text[at:end])
+                    if piece is not None and may_follow(last, piece):
+                        break
+                    piece = None
+                end -= 1
+            if piece is None and text[at] not in ids and not dead[at + 1]:
+                piece, end = -1, at + 1
+            if piece is None:  # back to the piece before, shorter
+                dead[at] = 1
+                end = at - 1
+                at, _ = path.pop()
+                last = path[-1][1] if path else -1
+            else:
+                path.append((at, piece))
+                at, last = end, piece
+                end = min(n, at + reach.get(text[at: at + 2], 1))
+        return path
+
+    def _cheapest_path(self, text: str) -> list[tuple[int, int]]:
+        """(place, piece) of the path of least weight; the earliest found on ties."""
+        n, inf = len(text), float("inf")
+        cost: list[float] = [0.0] + [inf] * n
+        back: list[tuple[int, int]] = [(-1, -1)] * (n + 1)
+        for at in range(n):
+            for end in range(at + 1, min(n, at + self.reach.get(text[at: at + 2], 1)) + 1):
+                piece = self.ids.get(text[at:end])
+                if piece is not None and cost[at] - self.score[piece] < cost[end]:
+                    cost[end], back[end] = cost[at] - self.score[piece], (at, piece)
+            if text[at] not in self.ids and cost[at] + self.worst < cost[at + 1]:
+                cost[at + 1], back[at + 1] = cost[at] + self.worst, (at, -1)
+        path, at = [], n
+        while at > 0:
+            path.append(back[at])
+            at = back[at][0]
+        return path[::-1]
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit. Where no piece holds the two characters at a border, the sides are encoded apart."""
+        known, joined = self.words, self.joined
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1: k + 1] not in joined]
+        if not cuts:
+            return array("I", self.shortest_path(unit)).tobytes()
+        parts = []
+        for a, z in zip([0, *cuts], [*cuts, len(unit)]):
+            part = unit[a:z]
+            ids = known.get(part)
             if ids is None:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                ids = np.array(self.shortest_path(unit), "<u4").tobytes()
-                if len(unit) < 64:
-                    known[unit] = ids
+                ids = array("I", self.shortest_path(part)).tobytes()
+                if len(part) < 64:
+                    known[part] = ids
             parts.append(ids)
         return b"".join(parts)
 
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        known = self.words
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        units = self.units.findall(self.normalise(text))
+        ids = list(map(known.get, units))
+        if None in ids:
+            for k, unit in enumerate(units):
+                if ids[k] is None:
+                    found = known.get(unit)
+                    if found is None:
+                        found = self._unit(unit)
+                        if len(unit) < 64:
+                            known[unit] = found
+                    ids[k] = found
+        return b"".join(ids)
+
     def decode(self, ids: bytes) -> str:
         """The text that ids stand for; bytes that are no UTF-8 become U+FFFD. Without the dummy prefix."""
         text = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
