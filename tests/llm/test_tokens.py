@@ -61,6 +61,6 @@ def test_another_dictionary_is_refused():
 def test_words_apart_encode_like_whole_texts():
     tok = Tokenizer.from_file(tokenizer_path(NAME))
     enc = K.Encoder(tokenizer_path(NAME), None)
-    texts = ["it's  a\ttest\n\nof <|endoftext|> marks<|startoftext|>x", "don't 12345 naïve é e\u0301 \u0301x ΑΣ ΑΣ. 日本語\u3000字", "a\u00a0b\u2028c \u0301\u0301 İI ﬁ", "  lead and trail  ", ""]
+    texts = ["it's  a\ttest\n\nof <|endoftext|> marks<|startoftext|>x", "don't 12345 naïve é e\u0301 \u0301x ΑΣ ΑΣ. 日本語\u3000字", "a\u00a0b\u2028c \u0301\u0301 İI ﬁ", "  lead and trail  ", "", "Stop. Go, on.. No?. 5. _. x\x1c. (a). b., c,. <|ENDOFTEXT|> D. é. É, ,. . ,", "ends."]
     for t in texts:
         assert np.frombuffer(enc.many([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids

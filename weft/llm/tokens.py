@@ -17,12 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 from weft.llm.common import n_parts, scratch_path
 
 DICT_BYTES = 64 << 10  # size of the dictionary
-SAMPLE_DOCS = 4096  # documents the dictionary is trained on, at most
+SAMPLE_DOCS = 1024  # documents the dictionary is trained on, about; twice as many at most
 SAMPLE_IDS = 512  # ids of each that training sees, at most
 BLOCK_BYTES = 1 << 20
-CACHE_WORDS = 400_000  # words a Python worker remembers; older ones are encoded again
+CACHE_WORDS = 1_200_000  # words a Python worker remembers; older ones are encoded again
+MARKS = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f\x85])[.,] ")
 LEVEL = 3
 
 BLOCK_SCHEMA = ("part int, block int, dict_hash string, data binary, doc_ids array<long>, frame_ends array<long>, "
@@ -48,30 +52,88 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        if suffix:
+            self.closes[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {}  # lives as long as the Python worker
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode ``words``. Words of letters go to the library many at a time and are told apart by the ids that end
+        a word; where these do not come out one for each, and for all other words, each goes alone."""
+        known = self.words
+        plain = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        parts = [plain[lo: lo + 200] for lo in range(0, len(plain), 200)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                rest.extend(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, (4 * ends).tolist()):
+                known[w] = data[at:end]
+                at = end
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _words(self, text: str) -> list[str]:
+        """The parts of a text that can be encoded apart: words, and a full stop or comma that ends one.
+
+        Case goes before only where Python and the library agree on it (ASCII, no special token); a stop or comma
+        after another mark stays with it, as the library takes runs of marks as one.
+        """
+        if text.isascii() and "<|" not in text:
+            text = text.lower()
+        text = text.replace("\n", " ") + " "
+        if not MARKS.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
+
     def many(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        """Ids of every text with the end id, as bytes."""
         known = self.words
-        new = list({w for ws in split for w in ws if w not in known})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo: lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(chain(map(known.__getitem__, ws), (self.end,))) for ws in split]
-
-
-def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text: str, end_id: int | None) -> bytes:
-    """From the SAMPLE_DOCS rows with the smallest hash of (id, text); empty where there is too little to train on."""
-    pick = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.col(text)).alias("h")).where("text <> ''")
-    texts = [r[0] for r in pick.orderBy("h").limit(SAMPLE_DOCS).select(F.substring("text", 1, 8 * SAMPLE_IDS)).collect()]
-    enc = Encoder(tokenizer, end_id)
-    samples = [x[: 4 * SAMPLE_IDS] for x in enc.many(texts)]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        split = [self._words(t) for t in texts]
+        flat = list(chain.from_iterable(split))
+        ids = list(map(known.get, flat))
+        if None in ids:
+            gaps = [k for k, v in enumerate(ids) if v is None]
+            self._learn(list({flat[k] for k in gaps}))
+            for k in gaps:
+                ids[k] = known[flat[k]]
+        out, at = [], 0
+        for ws in split:
+            out.append(b"".join(ids[at: at + len(ws)]) + self.end)
+            at += len(ws)
+        return out
+
+
+def _slices(texts: pa.Array, most: int = 4 << 20):
+    """(offset, length) of runs of texts of about ``most`` bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // most
+    cuts = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), len(texts)]
+    return [(a, z - a) for a, z in zip(cuts, cuts[1:]) if z > a]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int | None) -> Encoder:
+    return Encoder(path, end_id)
+
+
+def train_dictionary(docs: DataFrame, n_docs: int, tokenizer: str, id_col: str, text: str, end_id: int | None) -> bytes:
+    """From about SAMPLE_DOCS of ``n_docs`` rows, those with a small hash of (id, text); raw content where there is too little to train on."""
+    some = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col), F.col(text))), 1, 12), 16, 10).cast("long") <= F.lit(int((1 << 48) * min(1.0, SAMPLE_DOCS / max(1, n_docs))))
+    texts = [r[0] for r in docs.where(F.col(text) != "").where(some).select(F.substring(text, 1, 8 * SAMPLE_IDS)).limit(2 * SAMPLE_DOCS).collect()]
+    samples = [x[: 4 * SAMPLE_IDS] for x in encoder(tokenizer, end_id).many(sorted(texts))]
     if len(samples) < 64 or sum(map(len, samples)) < 4 * DICT_BYTES:
-        return b"".join(samples)[:DICT_BYTES]  # raw content serves as a dictionary
+        return b"".join(samples)[:DICT_BYTES]
     return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
 
 
@@ -84,21 +146,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     parts cut at quantiles of the ids.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer, id_col, text, end_id)
+    n = n_parts(spark)
+    n_docs, cuts = docs.select(F.count("*"), F.percentile_approx(F.col(id_col).cast("long"), [k / n for k in range(1, n)] or [0.5], 10_000)).first()
+    dictionary = train_dictionary(docs, n_docs, tokenizer, id_col, text, end_id)
     dict_hash = hashlib.sha256(dictionary).hexdigest()[:16]
     spark.range(1).select(F.lit(dict_hash).alias("dict_hash"), F.lit(dictionary).alias("dictionary")).write.parquet(f"{path}/dictionary")
 
-    n = n_parts(spark)
-    cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
     part = F.coalesce(F.aggregate(F.lit(cuts), F.lit(0), lambda k, c: k + (F.col(id_col) > c).cast("int")), F.lit(0)) if cuts else F.lit(0)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), part.alias("part"), F.xxhash64(F.col(text)).alias("tie"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer, end_id)
+        enc = encoder(tokenizer, end_id)
         comp = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                sub = b.slice(lo, 512)
+            for lo, size in _slices(b.column("text")):
+                sub = b.slice(lo, size)
                 ids = enc.many([x or "" for x in sub.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([sub.column("part"), sub.column("id"), sub.column("tie"), pa.array([len(x) // 4 for x in ids], pa.int64()),
                                                   pa.array([comp.compress(x) for x in ids], pa.binary())], names=["part", "id", "tie", "n", "frame"])
