@@ -17,7 +17,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = ["table_pipeline", "audit_report", "scan_and_mask", "spearman_matrix", "scale_numeric", "dirty_profile",
-            "quality_score", "profile", "upsert_latest", "nearest_vector", "typos", "k_anonymity"]
+            "quality_score", "profile", "upsert_latest", "nearest_vector", "typos", "k_anonymity",
+            "parse_requests", "drift_repair", "iman_conover", "autocorrelation", "synthetic_twin", "scenario_compare"]
 
 
 def main() -> None:

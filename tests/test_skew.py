@@ -50,8 +50,12 @@ def test_k_anonymity_hot_group(spark):
     assert PV.k_anonymity(df, ["q"]).first()["k"] == 10000  # the hot group is the smaller one
 
 
-def test_spread_only_when_few_partitions(spark):
-    few = spark.range(0, 100, 1, 1)
+def test_spread_only_when_few_files_and_without_a_job(spark, tmp_path):
+    few = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
     assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 64)
-    assert spread(many).rdd.getNumPartitions() == 64
+    path = str(tmp_path / "many")
+    spark.range(0, 100, 1, 16).write.parquet(path)
+    many = spark.read.parquet(path)
+    assert spread(many) is many
+    rows = spark.range(10)
+    assert spread(rows) is rows

@@ -101,3 +101,17 @@ def test_priors_and_cities_from_json_seeds(spark, tmp_path):
     per = LK.cities_of(cities, None, 3).collect()
     assert sorted((r["country"], r["city"]) for r in per) == [
         ("India", "c55"), ("India", "c57"), ("India", "c59"), ("Nepal", "c54"), ("Nepal", "c56"), ("Nepal", "c58")]
+
+
+def test_nearest_vector_over_several_blocks_and_few_candidates(spark):
+    rng = np.random.default_rng(11)
+    vecs = rng.normal(size=(300, 32))
+    asks = vecs[::3] + rng.normal(scale=0.05, size=(100, 32))
+    s = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(900, None), (901, [0.0] * 32)], "id long, v array<double>")
+    q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asks)], "id long, v array<double>")
+    got = {r["id"]: r["match_id"] for r in ST.nearest_vector(q, s, "id", "id", "v", 0.92, block_rows=70).collect()}
+    assert got == {i: 3 * i for i in range(100)}
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    share = ST.best_above(unit(asks), unit(vecs), 0.92, 8)[3]
+    print("candidate share", share)
+    assert share < 0.2

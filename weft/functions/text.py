@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import spread
+
 
 # ------------------------------------------------------------------- keyboard
 
@@ -275,7 +275,7 @@ def with_domain(df: DataFrame, text_col: str, out: str = "domain") -> DataFrame:
     hits = domain_hits(F.col(text_col))
     names = list(hits)
     tmp = {f"_dh{i}": hits[d] for i, d in enumerate(names)}
-    staged = spread(df).withColumns(tmp)
+    staged = df.withColumns(tmp)
     best = F.greatest(*[F.col(c) for c in tmp])
     pick = F.lit("general")
     for i in reversed(range(len(names))):

@@ -23,8 +23,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _ranked(df: DataFrame, cols: list[str], n_buckets=None) -> DataFrame:
-    ranks, nd = multi_value_ranks(df, cols, n_buckets)
-    return attach_ranks(df.select(*cols), cols, ranks.persist(), nd)
+    return attach_ranks(df.select(*cols), cols, multi_value_ranks(df, cols, n_buckets))
 
 
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int | None = None,
@@ -74,13 +73,13 @@ def targets_frame(spark, targets: list[CorrelationTarget]) -> DataFrame:
 def drift(actual: DataFrame, targets: DataFrame, threshold: float = 0.15) -> DataFrame:
     """Pairs whose |actual - target| exceeds the threshold; a pair matches in either order.
 
-    ``targets`` is a small table (t_col_a, t_col_b, target) of declared targets; broadcast.
+    ``targets`` is a small table (t_col_a, t_col_b, target) of declared targets.
     """
     a = actual.select(F.least("col_a", "col_b").alias("_lo"), F.greatest("col_a", "col_b").alias("_hi"),
                       F.col("rho").alias("actual"))
     t = targets.select("t_col_a", "t_col_b", "target",
                        F.least("t_col_a", "t_col_b").alias("_lo"), F.greatest("t_col_a", "t_col_b").alias("_hi"))
-    j = F.broadcast(t).join(a, ["_lo", "_hi"])
+    j = t.join(a, ["_lo", "_hi"])
     return (j.select(F.col("t_col_a").alias("col_a"), F.col("t_col_b").alias("col_b"), "actual", "target",
                      F.abs(F.col("actual") - F.col("target")).alias("delta"))
             .where(F.col("delta") > F.lit(threshold)))
@@ -95,10 +94,10 @@ def nudge(df: DataFrame, col_a: str, col_b: str, direction: float, iteration: in
     so b's multiset of values is unchanged.  Rows with a null in a or b are left as they are.
     """
     step = step0 * decay**iteration
-    both = df.where(F.col(col_a).isNotNull() & F.col(col_b).isNotNull()).persist()  # ranked three times
+    both = df.where(F.col(col_a).isNotNull() & F.col(col_b).isNotNull())
     rest = df.where(F.col(col_a).isNull() | F.col(col_b).isNull())
     ra = ordinal(both, col_a, key_cols, "_ra", n_buckets)
-    rab = ordinal(ra, col_b, key_cols, "_rb", n_buckets).persist()
+    rab = cut_lineage(ordinal(ra, col_b, key_cols, "_rb", n_buckets))
     n = both.count()
     other = F.col("_ra") if direction > 0 else F.lit(n - 1) - F.col("_ra")
     blended = rab.withColumn("_blend", F.lit(1.0 - step) * F.col("_rb") + F.lit(step) * other)

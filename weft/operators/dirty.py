@@ -134,18 +134,23 @@ def duplicate_draws(df: DataFrame, rate: float, seed: int, key_cols: list[str],
                     n_rows: int | None = None, indexed: DataFrame | None = None) -> DataFrame:
     """``int(n * rate)`` rows drawn with replacement (draw j picks index floor(U(j) * n)).
 
-    The draws are a ``spark.range`` joined to the dense row index; columns: the row, plus ``_draw``.
+    Only the (unique) keys are indexed; the few draws meet them by index and fetch their rows by key.
+    Columns: the row, plus ``_draw``.
     """
     n = n_rows if n_rows is not None else df.count()
     m = int(n * rate)
     spark = df.sparkSession
     if m <= 0 or n == 0:
         return spark.createDataFrame([], T.StructType(df.schema.fields + [T.StructField("_draw", T.LongType())]))
-    idx = indexed if indexed is not None else dense_index(df, key_cols, "_idx")
+    idx = indexed if indexed is not None else dense_index(df.select(*key_cols), key_cols, "_idx")
     draws = spark.range(m).select(
         F.col("id").alias("_draw"),
         F.floor(R.uniform01(seed, tag, [F.col("id")]) * F.lit(n)).cast("long").alias("_idx"))
-    return idx.join(draws, "_idx").drop("_idx")
+    keys = idx.select(*[F.col(k).alias(f"_key_{k}") for k in key_cols], "_idx").join(draws, "_idx").drop("_idx")
+    meet = F.lit(True)
+    for k in key_cols:
+        meet = meet & (df[k] == F.col(f"_key_{k}"))
+    return df.join(keys, meet).select(*df.columns, "_draw")
 
 
 def dup_exact(df: DataFrame, rate: float, seed: int, key_cols: list[str], mark: str | None = None) -> DataFrame:
@@ -214,9 +219,8 @@ def dirty_profile(df: DataFrame, profile: DirtyProfile, seed: int, key_cols: lis
     if profile.typo_rate > 0 and strings:
         out = typos(out, strings, profile.typo_rate, seed, key_cols)
     if profile.duplicate_rate > 0 or profile.near_duplicate_rate > 0:
-        out = out.persist()
-        n = out.count()
-        idx = dense_index(out, key_cols, "_idx").persist()
+        n = df.count()
+        idx = dense_index((df if set(key_cols) <= set(protect) else out).select(*key_cols), key_cols, "_idx")
         parts = [out]
         if profile.duplicate_rate > 0:
             parts.append(duplicate_draws(out, profile.duplicate_rate, seed, key_cols, "dup", n, idx).drop("_draw"))

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from weft.functions import rand as R
 from weft.functions import text as TX
-from weft.session import spread
 
 BROADCAST_CODES = 1_000_000
 
@@ -46,11 +45,10 @@ def code_guard(df: DataFrame, code_col: str, valid: DataFrame, valid_col: str, f
 
 
 def parse_requests(df: DataFrame, text_col: str) -> DataFrame:
-    """Request row per text without a model: domain, country, state, row count and seed.
-
-    Few large input splits are spread over all cores first (long texts make this CPU-bound)."""
+    """Request row per text without a model: domain, country, state, row count and seed. Row-local: callers
+    with few large input files can ``spread`` them over all cores first."""
     region = TX.extract_region(F.col(text_col))
-    staged = TX.with_domain(spread(df), text_col, "domain")
+    staged = TX.with_domain(df, text_col, "domain")
     return staged.select(
         *df.columns,
         "domain",

@@ -20,29 +20,27 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.functions.rand import hex52, index_by_cdf
+from weft.functions.rand import hex52
 
-BROADCAST_ROWS = 2_000_000  # rank tables up to this many distinct values are broadcast in joins
+BUCKETS = 256  # buckets of a distributed order; does not follow the shuffle setting
 
 
 def default_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(8, 4 * parts)
+    return BUCKETS
 
 
 def _cut_points(vals: DataFrame, col: str, n_buckets: int) -> list[float]:
+    return _cuts_of(vals, [col], n_buckets)[col]
+
+
+def _cuts_of(df: DataFrame, cols: list[str], n_buckets: int) -> dict[str, list[float]]:
+    """Increasing cut points (as doubles) of several columns from one map-side combined aggregate."""
     if n_buckets <= 1:
-        return []
+        return {c: [] for c in cols}
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = vals.approxQuantile(col, probs, 1.0 / (4 * n_buckets))
-    out = []
-    for c in cuts:
-        if c is None:
-            continue
-        c = float(c)
-        if not out or c > out[-1]:
-            out.append(c)
-    return out
+    aggs = [F.percentile_approx(as_double(c, df.schema[c].dataType), probs, 4 * n_buckets).alias(f"_c{i}") for i, c in enumerate(cols)]
+    row = df.agg(*aggs).first()
+    return {c: sorted({float(x) for x in row[i] or () if x == x}) for i, c in enumerate(cols)}
 
 
 def as_double(c, dtype) -> "F.Column":
@@ -62,6 +60,8 @@ def as_double(c, dtype) -> "F.Column":
 
 
 def _bucketize(vals: DataFrame, col: str, cuts: list[float], out: str = "_bkt") -> DataFrame:
+    if not cuts:
+        return vals.withColumn(out, F.lit(0))
     splits = [float("-inf")] + cuts + [float("inf")]
     dcol = f"{out}_x"
     vals = vals.withColumn(dcol, as_double(col, vals.schema[col].dataType))
@@ -69,16 +69,17 @@ def _bucketize(vals: DataFrame, col: str, cuts: list[float], out: str = "_bkt")
     return b.transform(vals).drop(dcol).withColumn(out, F.col(out).cast("int"))
 
 
-def value_ranks(df: DataFrame, col: str, n_buckets: int | None = None, rank_col: str = "rank") -> DataFrame:
+def value_ranks(df: DataFrame, col: str, n_buckets: int | None = None, rank_col: str = "rank",
+                cuts: list[float] | None = None) -> DataFrame:
     """Distinct non-null values of ``col`` with their average rank (1-based, ties averaged).
 
-    Columns: ``v`` (the value), ``n`` (its multiplicity), ``rank_col``.
+    Columns: ``v`` (the value, in its own type), ``n`` (its multiplicity), ``rank_col``. Cut points
+    are doubles, but values are counted and ordered in their own type, so large integers that share a
+    double still rank apart.
     """
-    n_buckets = n_buckets or default_buckets(df)
+    cuts = cuts if cuts is not None else _cut_points(df, col, n_buckets or BUCKETS)
     vc = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
           .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
-    vc = vc.withColumn("_vd", as_double("v", vc.schema["v"].dataType)).persist()
-    cuts = _cut_points(vc, "_vd", n_buckets)
     b = _bucketize(vc, "v", cuts)
     totals = b.groupBy("_bkt").agg(F.sum("n").alias("_tot"))  # at most n_buckets + 1 rows
     offsets = totals.select(
@@ -113,11 +114,10 @@ def dense_index(df: DataFrame, key_cols: list[str], out: str = "_idx", n_buckets
     ``h`` is the 52-bit SHA-256 prefix of the key text; it spreads rows evenly over the
     buckets whatever the key distribution, and any SQL engine can reproduce the order.
     """
-    n_buckets = n_buckets or default_buckets(df)
+    n_buckets = n_buckets or BUCKETS
     h = "_h"
     x = df.withColumn(h, hex52(F.concat_ws(":", *[F.col(k).cast("string") for k in key_cols])))
-    cuts = _cut_points(x.select(h), h, n_buckets)
-    b = _bucketize(x, h, cuts)
+    b = x.withColumn("_bkt", F.floor(F.col(h) / F.lit(float(1 << 52)) * F.lit(n_buckets)).cast("int"))  # h is uniform
     totals = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_tot"))
     offsets = totals.select(
         "_bkt",
@@ -141,13 +141,11 @@ def ordinal(df: DataFrame, value_col: str, key_cols: list[str], out: str = "_pos
     Equal values are split further by the top ``hash_bits`` bits of the key hash, so a value
     held by a third of all rows is spread over ``2**hash_bits`` window partitions instead of one.
     """
-    n_buckets = n_buckets or default_buckets(df)
+    cuts = _cut_points(df, value_col, n_buckets or BUCKETS)
     x = (df.where(F.col(value_col).isNotNull())
          .withColumn("_h", hex52(F.concat_ws(":", *[F.col(k).cast("string") for k in key_cols])))
          .withColumn("_hb", F.shiftright(F.col("_h"), 52 - hash_bits)))
     g = x.groupBy(F.col(value_col).alias("_v"), "_hb").agg(F.count(F.lit(1)).alias("_c"))
-    g = g.withColumn("_vd", as_double("_v", g.schema["_v"].dataType)).persist()
-    cuts = _cut_points(g, "_vd", n_buckets)
     gb = _bucketize(g, "_v", cuts)
     totals = gb.groupBy("_bkt").agg(F.sum("_c").alias("_tot"))
     boff = totals.select(
@@ -166,49 +164,19 @@ def ordinal(df: DataFrame, value_col: str, key_cols: list[str], out: str = "_pos
             .drop("_v", "_goff", "_h", "_hb"))
 
 
-def multi_value_ranks(df: DataFrame, cols: list[str], n_buckets: int | None = None):
-    """Average ranks of several numeric columns in one pass.
+def multi_value_ranks(df: DataFrame, cols: list[str], n_buckets: int | None = None) -> dict[str, DataFrame]:
+    """Average ranks of several columns: a table (v, n, rank) for each, values in their own type.
 
-    Returns ``(ranks, n_distinct)``: ``ranks`` has columns (col, v, n, rank) -- one row per
-    distinct non-null value of each column (values compared as doubles) -- and
-    ``n_distinct`` maps each column to its number of distinct values (for broadcast decisions).
-    One shuffle collapses equal values, one aggregate finds per-column cut points, and the
-    ranking window is partitioned by (column, bucket).
+    One aggregate finds all cut points; each column is then counted on its own, so no row is expanded.
     """
-    n_buckets = n_buckets or default_buckets(df)
-    items = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])
-    long = df.select(F.explode(items).alias("x")).select("x.col", "x.v").where(F.col("v").isNotNull())
-    vc = long.groupBy("col", "v").agg(F.count(F.lit(1)).alias("n")).persist()
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    fit = vc.groupBy("col").agg(
-        F.count(F.lit(1)).alias("nd"),
-        F.percentile_approx("v", probs, max(10000, 4 * n_buckets)).alias("cuts") if probs else F.array().alias("cuts"),
-    ).collect()  # one row per column, n_buckets numbers each
-    n_distinct = {r["col"]: int(r["nd"]) for r in fit}
-    bucket = F.lit(0)
-    for r in fit:
-        cuts = sorted(set(float(x) for x in (r["cuts"] or [])))
-        bucket = F.when(F.col("col") == F.lit(r["col"]), index_by_cdf(F.col("v"), cuts, inclusive=False)).otherwise(bucket)
-    b = vc.withColumn("_bkt", bucket)
-    totals = b.groupBy("col", "_bkt").agg(F.sum("n").alias("_tot"))  # <= columns x buckets rows
-    offsets = totals.select(
-        "col", "_bkt",
-        F.coalesce(F.sum("_tot").over(Window.partitionBy("col").orderBy("_bkt")
-                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("col", "_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = (b.withColumn("_run", F.sum("n").over(w))
-             .join(F.broadcast(offsets), ["col", "_bkt"])
-             .select("col", "v", "n",
-                     (F.col("_off") + F.col("_run") - F.col("n") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias("rank")))
-    return ranks, n_distinct
-
-
-def attach_ranks(df: DataFrame, cols: list[str], ranks: DataFrame, n_distinct: dict, prefix: str = "_r_") -> DataFrame:
-    """Join each column's rank (``prefix + col``) onto the rows by value; broadcast small rank tables."""
+    cuts = _cuts_of(df, cols, n_buckets or BUCKETS)
+    return {c: value_ranks(df, c, cuts=cuts[c]) for c in cols}
+
+
+def attach_ranks(df: DataFrame, cols: list[str], ranks: dict[str, DataFrame], prefix: str = "_r_") -> DataFrame:
+    """Each column's rank (``prefix + col``) joined onto the rows by value; Spark broadcasts what its size threshold allows."""
     out = df
     for c in cols:
-        r = ranks.where(F.col("col") == F.lit(c)).select(F.col("v").alias("_rv"), F.col("rank").alias(prefix + c))
-        if n_distinct.get(c, 0) <= BROADCAST_ROWS:
-            r = F.broadcast(r)
-        out = out.join(r, out[c].cast("double") == r["_rv"], "left").drop("_rv")
+        r = ranks[c].select(F.col("v").alias("_rv"), F.col("rank").alias(prefix + c))
+        out = out.join(r, out[c] == r["_rv"], "left").drop("_rv")
     return out

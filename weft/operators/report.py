@@ -9,12 +9,14 @@ global running sum over the distinct values, which the bucketed ranking of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators.dirty import ALT_DATE_FORMATS, ISO_DATE
-from weft.operators.rank import _bucketize, _cut_points, as_double, default_buckets
+from weft.operators.rank import _bucketize, _cut_points, default_buckets, value_ranks
 
 # fixed values: weights of the composite quality score (similarity, causal, privacy, temporal, dirty)
 QUALITY_WEIGHTS = {"sdmetrics_score": 0.30, "causal_score": 0.25, "privacy_score": 0.20,
@@ -30,17 +32,18 @@ def profile(df: DataFrame, cols: list[str] | None = None, exact_distinct: bool =
     """One row per column: column_name, data_type, n_rows, n_null, n_distinct, min/max/mean/std
     (numeric columns; null otherwise).  All columns are measured in a single aggregate job.
 
-    Exact distinct counts of k columns make Spark expand every row k times before the shuffle;
-    on very large tables pass ``exact_distinct=False`` for HyperLogLog++ counts (relative
-    error ``rsd``), which aggregate map-side without the expansion.
+    Distinct values are counted by one grouped count per column over that column alone (several
+    exact distinct counts in one aggregate would expand every row once per column). With
+    ``exact_distinct=False`` they are HyperLogLog++ estimates (relative error ``rsd``).
     """
     cols = cols or df.columns
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         x = F.col(c)
         num = _is_num(df.schema[c].dataType)
-        nd = F.count_distinct(x) if exact_distinct else F.approx_count_distinct(x, rsd)
-        aggs += [F.count(x).alias(f"_nn{i}"), nd.alias(f"_nd{i}")]
+        aggs.append(F.count(x).alias(f"_nn{i}"))
+        if not exact_distinct:
+            aggs.append(F.approx_count_distinct(x, rsd).alias(f"_nd{i}"))
         if num:
             d = x.cast("double")
             d = F.when(~F.isnan(d), d)  # NaN is no number: left out of the four measures, as null is
@@ -54,12 +57,45 @@ def profile(df: DataFrame, cols: list[str] | None = None, exact_distinct: bool =
         rows.append(F.struct(
             F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
             F.col("_n").alias("n_rows"), (F.col("_n") - F.col(f"_nn{i}")).alias("n_null"),
-            F.col(f"_nd{i}").alias("n_distinct"),
+            (F.lit(0).cast("long") if exact_distinct else F.col(f"_nd{i}")).alias("n_distinct"),
             (F.col(f"_mi{i}") if num else none).alias("min_value"),
             (F.col(f"_ma{i}") if num else none).alias("max_value"),
             (F.col(f"_av{i}") if num else none).alias("mean"),
             (F.col(f"_sd{i}") if num else none).alias("std")))
-    return wide.select(F.inline(F.array(*rows)))
+    out = wide.select(F.inline(F.array(*rows)))
+    if not exact_distinct:
+        return out
+    return out.drop("n_distinct").join(distinct_counts(df, cols), "column_name").select(*out.columns)
+
+
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, n_distinct): non-null distinct values of each column, one grouped count per column."""
+    each = [df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("n_distinct")) for c in cols]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def percentiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
+    """(column_name, p, value): exact percentiles, the smallest value whose rank reaches p of the non-null rows."""
+    ranks = value_ranks(df, col).withColumn("_to", F.col("rank") + (F.col("n") - 1) / 2)
+    n = df.agg(F.count(col)).first()[0]
+    want = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(float(max(1, math.ceil(p * n)))).alias("_at")) for p in probs])).alias("w")
+    hit = ranks.select("v", "rank", "n", "_to", want).where((F.col("_to") >= F.col("w._at")) & (F.col("_to") - F.col("n") < F.col("w._at")))
+    return hit.select(F.lit(col).alias("column_name"), F.col("w.p").alias("p"), F.col("v").cast("double").alias("value"))
+
+
+def samples(df: DataFrame, cols: list[str], n: int) -> DataFrame:
+    """(column_name, samples): the ``n`` smallest distinct non-null values of each column, as text in the column's order."""
+    each = []
+    for c in cols:
+        top = df.select(F.col(c).alias("v")).where(F.col("v").isNotNull()).distinct().orderBy("v").limit(n)
+        each.append(top.agg(F.lit(c).alias("column_name"), F.transform(F.sort_array(F.collect_list("v")), lambda x: x.cast("string")).alias("samples")))
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
@@ -85,8 +121,7 @@ def grouped_stats(df: DataFrame, by: list[str], col: str) -> DataFrame:
 def _running(counts: DataFrame, weight_cols: list[str], n_buckets: int | None = None) -> DataFrame:
     """Inclusive running sums of ``weight_cols`` over ``v`` order, without a global window."""
     n_buckets = n_buckets or default_buckets(counts)
-    counts = counts.withColumn("_vd", as_double("v", counts.schema["v"].dataType)).persist()
-    b = _bucketize(counts, "v", _cut_points(counts, "_vd", n_buckets))
+    b = _bucketize(counts, "v", _cut_points(counts, "v", n_buckets))
     totals = b.groupBy("_bkt").agg(*[F.sum(w).alias(f"_t_{w}") for w in weight_cols])
     before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bkt", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from weft.functions import rand as R
 from weft.operators.rank import dense_index, ordinal
 from weft.plans.spec import TableSpec
+from weft.session import cut_lineage
 
 LITERAL_CATEGORIES = 1000  # above this, categorical draws use a bucketed range join
 CDF_BUCKETS = 4096
@@ -122,7 +123,7 @@ def category_table(df: DataFrame, c: str) -> DataFrame:
     from weft.operators.rank import _bucketize, _cut_points, default_buckets
 
     g = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_cnt"))
-         .withColumn("_h", R.hex52(F.col("_v").cast("string"))).persist())
+         .withColumn("_h", R.hex52(F.col("_v").cast("string"))))
     cuts = _cut_points(g, "_h", default_buckets(df))
     b = _bucketize(g, "_h", cuts)
     tot = b.groupBy("_bkt").agg(F.sum("_cnt").alias("_t"))
@@ -223,9 +224,9 @@ def normal_scores(df: DataFrame, cols: list[str], key_cols: list[str]) -> DataFr
     """Each numeric column replaced by the normal score of its ordinal rank, (pos + 0.5) / n."""
     from weft.operators.correlate import _ranked  # average ranks, one pass for all columns
 
-    n = df.count()
+    n = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()  # a null has no rank and no score
     rk = _ranked(df.select(*key_cols, *cols), cols)
-    return rk.select(*[R.phi_inv((F.col(f"_r_{c}") - F.lit(0.5)) / F.lit(float(n))).alias(f"z_{c}") for c in cols])
+    return rk.select(*[R.phi_inv((F.col(f"_r_{c}") - F.lit(0.5)) / F.lit(float(max(1, n[c])))).alias(f"z_{c}") for c in cols])
 
 
 def gaussian_copula_fit(df: DataFrame, cols: list[str], key_cols: list[str], n_quantiles: int = 1000):
@@ -290,14 +291,15 @@ def iman_conover(df: DataFrame, cols: list[str], target: np.ndarray, key_cols: l
     chol = np.linalg.cholesky(np.asarray(target, dtype=float))
     zs = [R.std_normal(seed, f"ic:{c}", key_cols) for c in cols]
     out = df
+    # the scores depend on the key alone, so the columns are separate rank jobs joined back on the key
     for i, c in enumerate(cols):
         score = None
         for j in range(i + 1):
             term = F.lit(float(chol[i, j])) * zs[j]
             score = term if score is None else score + term
-        base = out.where(F.col(c).isNotNull())
-        pos = ordinal(base.withColumn("_s", score), "_s", key_cols, "_p", n_buckets).drop("_s")
-        vals = ordinal(base.select(*key_cols, c), c, key_cols, "_p", n_buckets).select("_p", F.col(c).alias("_nv"))
-        moved = pos.join(vals, "_p").withColumn(c, F.col("_nv")).drop("_p", "_nv").select(*out.columns)
-        out = moved.unionByName(out.where(F.col(c).isNull()))
-    return out
+        have = df.where(F.col(c).isNotNull()).select(*key_cols, c)
+        pos = ordinal(have.withColumn("_s", score), "_s", key_cols, "_p", n_buckets).select(*key_cols, "_p")
+        vals = ordinal(have, c, key_cols, "_p", n_buckets).select("_p", F.col(c).alias("_nv"))
+        moved = cut_lineage(pos.join(vals, "_p").select(*key_cols, "_nv"))
+        out = out.join(moved, key_cols, "left").withColumn(c, F.coalesce("_nv", F.col(c))).drop("_nv")
+    return out.select(*df.columns)

@@ -72,91 +72,124 @@ def add_vectors(path: str, docs: DataFrame) -> None:
     docs.write.mode("append").parquet(path)
 
 
-# ---------------------------------------------------------------------------------------------
-# Nearest vector above a cosine threshold, exactly, without comparing all pairs.
-#
-# For unit vectors cos(a, b) >= t  <=>  |a - b| <= w = sqrt(2 - 2t), and every coordinate obeys
-# |a_j - b_j| <= |a - b|.  So a match of ``a`` can only sit in a cell whose coordinates
-# j < n_pivots are within one cell of ``a``'s cell (cell width w).  The store is keyed by its
-# cell; each query is copied to the 3**n_pivots neighbouring cells and equi-joined.  Candidates
-# are then tested exactly.  No pair is lost, and only pairs within w on every pivot are scored.
-
 def _norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(F.transform(a, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0),
                               lambda s, x: s + x))
 
 
-def _cells(unit: Column, n_pivots: int, width: float) -> list[Column]:
-    return [F.floor(F.element_at(unit, j + 1) / F.lit(width)).cast("int") for j in range(n_pivots)]
+BLOCK_ROWS = 16_384  # stored vectors held by a task at once
+TILE = 1 << 20  # similarities computed at once
 
 
-def _block_best(threshold: float, exclude_self: bool):
-    """Best match above ``threshold`` per query inside one (cell, query block, store block) group."""
+def principal_axes(unit: DataFrame, col: str, dim: int):
+    """Orthonormal axes (dim x dim, columns) by falling variance; the driver gets one dim x dim matrix of sums."""
     import numpy as np
     import pandas as pd
 
-    empty = pd.DataFrame({"_q": pd.Series([], dtype="int64"), "_s": pd.Series([], dtype="int64"),
-                          "_sim": pd.Series([], dtype="float64")})
-
-    def fn(qdf, sdf):
-        if len(qdf) == 0 or len(sdf) == 0:
-            return empty
-        sdf = sdf.sort_values("_s", kind="stable")  # argmax keeps the first: smaller id wins ties
-        qv = np.stack(qdf["_q_u"].to_numpy())
-        sv = np.stack(sdf["_s_u"].to_numpy())
-        sim = qv @ sv.T
-        qid = qdf["_q"].to_numpy()
-        sid = sdf["_s"].to_numpy()
-        if exclude_self:
-            sim[qid[:, None] == sid[None, :]] = -np.inf
-        j = sim.argmax(axis=1)
-        best = sim[np.arange(len(qid)), j]
-        keep = best > threshold
-        return pd.DataFrame({"_q": qid[keep].astype("int64"), "_s": sid[j[keep]].astype("int64"),
-                             "_sim": best[keep].astype("float64")})
-
-    return fn
+    def grams(batches):
+        total = np.zeros((dim, dim))
+        for b in batches:
+            if len(b):
+                x = np.stack(b[col].to_numpy())
+                total += x.T @ x
+        yield pd.DataFrame({"i": np.repeat(np.arange(dim), dim), "j": np.tile(np.arange(dim), dim), "g": total.ravel()})
+
+    sums = unit.select(col).mapInPandas(grams, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).collect()
+    gram = np.zeros((dim, dim))
+    for r in sums:
+        gram[r["i"], r["j"]] = r["g"]
+    return np.linalg.eigh(gram)[1][:, ::-1]
+
+
+def best_above(q, x, threshold: float, lead: int, own=None):
+    """(query row, stored row, similarity, candidate share): the best stored row above ``threshold`` per query, the first on ties.
+
+    With unit rows, q.x <= lead part + |rest of q| |rest of x|; only pairs whose bound passes get the
+    rest of their product. ``own``: stored row that a query may not take (-1: none).
+    """
+    import numpy as np
+
+    rest_q, rest_x = np.sqrt(np.maximum(0, 1 - (q[:, :lead] ** 2).sum(axis=1))), np.sqrt(np.maximum(0, 1 - (x[:, :lead] ** 2).sum(axis=1)))
+    best, who, met = np.full(len(q), threshold), np.full(len(q), -1), 0
+    step = max(1, TILE // max(1, len(x)))
+    for lo in range(0, len(q), step):
+        sl = slice(lo, lo + step)
+        part = q[sl, :lead] @ x[:, :lead].T
+        r, c = np.nonzero(part + rest_q[sl, None] * rest_x > threshold - 1e-9)
+        if own is not None:
+            keep = own[sl][r] != c
+            r, c = r[keep], c[keep]
+        met += len(r)
+        for at in range(0, len(r), TILE // 8):
+            rr, cc = r[at: at + TILE // 8], c[at: at + TILE // 8]
+            sim = part[rr, cc] + np.einsum("ij,ij->i", q[sl][rr, lead:], x[cc, lead:])
+            order = np.lexsort((cc, -sim, rr))  # best first within each query
+            first = order[np.r_[True, rr[order][1:] != rr[order][:-1]]] if len(order) else order
+            better = sim[first] > best[lo + rr[first]]
+            k = first[better]
+            best[lo + rr[k]], who[lo + rr[k]] = sim[k], cc[k]
+    hit = np.flatnonzero(who >= 0)
+    return hit, who[hit], best[hit], met / max(1, len(q) * len(x))
 
 
 def nearest_vector(queries: DataFrame, store: DataFrame, q_id: str, s_id: str, vec_col: str,
-                   threshold: float = 0.92, n_pivots: int = 3, exclude_self: bool = False,
-                   block_rows: int = 20_000, broadcast_cells: int = 1_000_000) -> DataFrame:
+                   threshold: float = 0.92, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For each query the most similar stored vector with cosine > ``threshold`` (ties: smaller id).
 
-    Queries with no such vector are absent.  Returns (``q_id``, ``match_id``, ``similarity``).
-    Candidates meet in cells (see above); inside a cell, queries and stored vectors are cut into
-    blocks of at most ``block_rows`` rows each, and every (query block, store block) pair is one
-    group scored by a dense matrix product in Arrow batches.  A hot cell therefore becomes many
-    bounded groups rather than one huge task.  Ids must be integers.
+    Queries with no such vector are absent. Returns (``q_id``, ``match_id``, ``similarity``). Ids must be
+    integers; vectors must have one length; null and zero vectors match nothing.
+
+    The store is read once and never copied: a task holds one block of ``block_rows`` stored vectors and
+    streams all queries past it. All vectors are rotated to the store's principal axes, where the first
+    quarter of the coordinates and the norms of the rest bound a cosine from above; only pairs
+    whose bound passes the threshold are multiplied out.
     """
-    width = math.sqrt(max(2.0 - 2.0 * threshold, 0.0)) + 1e-9
+    import numpy as np
+    import pyarrow as pa
 
-    def prep(df, id_col, id_out):
+    def prep(df, id_col):
         n = _norm(F.col(vec_col))
-        return df.select(F.col(id_col).cast("long").alias(id_out),
-                         F.transform(F.col(vec_col), lambda x: x.cast("double") / n).alias(id_out + "_u"))
-
-    keys = [f"_c{j}" for j in range(n_pivots)]
-    s = prep(store, s_id, "_s")
-    s = s.select("*", *[c.alias(k) for k, c in zip(keys, _cells(F.col("_s_u"), n_pivots, width))])
-    q = prep(queries, q_id, "_q")
-    for k, c in zip(keys, _cells(F.col("_q_u"), n_pivots, width)):
-        q = q.withColumn(k, F.explode(F.array(c - 1, c, c + 1)))
-    # block counts per cell: one small aggregate per side (rows = occupied cells)
-    sizes = (s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ns"))
-             .join(q.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq")), keys)
-             .select(*keys, F.ceil(F.col("_ns") / F.lit(block_rows)).cast("int").alias("_ms"),
-                     F.ceil(F.col("_nq") / F.lit(block_rows)).cast("int").alias("_mq"))).persist()
-    n_cells = sizes.count()
-    sz = F.broadcast(sizes) if n_cells <= broadcast_cells else sizes
-    s2 = (s.join(sz, keys).withColumn("_ss", F.pmod(F.xxhash64("_s"), F.col("_ms")).cast("int"))
-          .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_mq") - 1))))
-    q2 = (q.join(sz, keys).withColumn("_qs", F.pmod(F.xxhash64("_q"), F.col("_mq")).cast("int"))
-          .withColumn("_ss", F.explode(F.sequence(F.lit(0), F.col("_ms") - 1))))
-    g = keys + ["_qs", "_ss"]
-    scored = (q2.select(*g, "_q", "_q_u").groupBy(*g)
-              .cogroup(s2.select(*g, "_s", "_s_u").groupBy(*g))
-              .applyInPandas(_block_best(threshold, exclude_self), "_q long, _s long, _sim double"))
-    best = scored.groupBy("_q").agg(F.max(F.struct(F.col("_sim"), (-F.col("_s")).alias("_neg"))).alias("_b"))
-    return best.select(F.col("_q").alias(q_id), (-F.col("_b._neg")).alias("match_id"),
-                       F.col("_b._sim").alias("similarity"))
+        return df.where(F.col(id_col).isNotNull() & (n > 0)).select(
+            F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double") / n).alias("u"))
+
+    s, q = prep(store, s_id), prep(queries, q_id)
+    dim, rows = s.agg(F.max(F.size("u")), F.count(F.lit(1))).first()
+    out = f"{q_id} long, match_id long, similarity double"
+    if not rows:
+        return queries.sparkSession.createDataFrame([], out)
+    axes, lead = principal_axes(s, "u", dim), max(1, dim // 4)
+    blocks = -(-rows // block_rows)
+    stored = s.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.lit(0).alias("side"), "id", "u")
+    asking = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(1).alias("side"), "id", "u")
+    parts = max(blocks, int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored.unionByName(asking).repartition(parts, "b").sortWithinPartitions("b", "side", "id")
+
+    def run(batches):
+        now, ids, held, x = None, [], [], None
+        for b in batches:
+            block, side, key = (b.column(c).to_numpy(zero_copy_only=False) for c in ("b", "side", "id"))
+            u = b.column("u").flatten().to_numpy(zero_copy_only=False).reshape(len(key), -1) if len(key) else None
+            edge = np.flatnonzero((block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(key)]):
+                if lo == hi:
+                    continue
+                if block[lo] != now:
+                    now, ids, held, x = block[lo], [], [], None
+                if side[lo] == 0:
+                    ids.append(key[lo:hi])
+                    held.append(u[lo:hi] @ axes)
+                    continue
+                if not held:
+                    continue
+                if x is None:
+                    x, names = np.concatenate(held), np.concatenate(ids)
+                own = None
+                if exclude_self:
+                    spot = np.minimum(np.searchsorted(names, key[lo:hi]), len(names) - 1)
+                    own = np.where(names[spot] == key[lo:hi], spot, -1)
+                row, who, sim, _ = best_above(u[lo:hi] @ axes, x, threshold, lead, own)
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi][row]), pa.array(names[who]), pa.array(sim)], names=[q_id, "match_id", "similarity"])
+
+    found = dealt.mapInArrow(run, out)
+    best = found.groupBy(q_id).agg(F.max(F.struct("similarity", (-F.col("match_id")).alias("neg"))).alias("_b"))
+    return best.select(q_id, (-F.col("_b.neg")).alias("match_id"), F.col("_b.similarity").alias("similarity"))

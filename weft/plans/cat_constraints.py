@@ -69,7 +69,7 @@ def q_action_reject(spark, sf):
 
 
 @query("action_impute", """
-WITH mm AS (SELECT c_mktsegment AS md FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1
+WITH mm AS (SELECT c_mktsegment AS md FROM customer WHERE c_mktsegment IN ('BUILDING','AUTOMOBILE','MACHINERY') GROUP BY 1
        ORDER BY count(*) DESC, c_mktsegment ASC LIMIT 1)
 SELECT c_custkey, CASE WHEN c_mktsegment IS NULL OR c_mktsegment NOT IN ('BUILDING','AUTOMOBILE','MACHINERY')
                   THEN (SELECT md FROM mm) ELSE c_mktsegment END AS c_mktsegment

@@ -48,6 +48,20 @@ def q_profile(spark, sf):
     return _r6(RP.profile(li, [c for c, _ in LI_PROFILE]), ["std"])
 
 
+@query("profile_percentiles", " UNION ALL ".join(
+    f"SELECT 'o_totalprice' AS column_name, CAST({p} AS DOUBLE) AS p, quantile_disc(o_totalprice, {p}) AS value FROM orders" for p in (0.25, 0.5, 0.75, 0.99)))
+def q_profile_percentiles(spark, sf):
+    return RP.percentiles(table(spark, sf, "orders"), "o_totalprice", [0.25, 0.5, 0.75, 0.99])
+
+
+@query("profile_samples", """
+SELECT 'o_orderstatus' AS column_name, list(v ORDER BY v) AS samples FROM (SELECT DISTINCT o_orderstatus AS v FROM orders WHERE o_orderstatus IS NOT NULL ORDER BY 1 LIMIT 3)
+UNION ALL SELECT 'o_custkey', list(CAST(v AS VARCHAR) ORDER BY v) FROM (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_custkey IS NOT NULL ORDER BY 1 LIMIT 3)""")
+def q_profile_samples(spark, sf):
+    """Three sample values per column: the number is the feature."""
+    return RP.samples(table(spark, sf, "orders"), ["o_orderstatus", "o_custkey"], 3)
+
+
 @query("histogram", """
 WITH m AS (SELECT min(l_extendedprice) lo, max(l_extendedprice) hi FROM lineitem),
 b AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, lo, hi

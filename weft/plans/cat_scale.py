@@ -219,8 +219,35 @@ def q_drift_repair(spark, sf):
     return _multiset(fixed, ["p_retailprice", "p_size"])
 
 
-@query("iman_conover", _multiset_sql("p_retailprice") + " UNION ALL " + _multiset_sql("p_size"))
+@query("drift_repair_rho", """
+WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS ra,
+                  rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS rb FROM part)
+SELECT round(corr(ra, rb), 6) AS rho_before, true AS closer, true AS same_direction FROM r""")
+def q_drift_repair_rho(spark, sf):
+    """Rank correlation before the repair, and whether the repair moved it towards its target of 0.6."""
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    rho = lambda df: CR.spearman_pairs(df, [("p_size", "p_retailprice")]).select("rho")
+    fixed = CR.repair(p, [CorrelationTarget("p_size", "p_retailprice", 0.6)], ["p_partkey"], max_iter=3)
+    both = rho(p).withColumnRenamed("rho", "a").withColumn("one", F.lit(1)).join(rho(fixed).withColumnRenamed("rho", "b").withColumn("one", F.lit(1)), "one")
+    return both.select(F.round("a", 6).alias("rho_before"), (F.abs(F.col("b") - 0.6) < F.abs(F.col("a") - 0.6) - 0.1).alias("closer"),
+                       (F.signum(F.col("b") - F.col("a")) == F.signum(0.6 - F.col("a"))).alias("same_direction"))
+
+
+def _reorder_sql(col, score):
+    """Each row's new value: the sorted values (value, h(key), key) dealt in the order of the score."""
+    h = _h_sql("p_partkey")
+    return (f"SELECT a.p_partkey, b.{col} FROM (SELECT p_partkey, row_number() OVER (ORDER BY {score}, {h}, p_partkey) AS p FROM part WHERE {col} IS NOT NULL) a "
+            f"JOIN (SELECT {col}, row_number() OVER (ORDER BY {col}, {h}, p_partkey) AS p FROM part WHERE {col} IS NOT NULL) b USING (p)")
+
+
+_IC = np.linalg.cholesky(np.array([[1.0, 0.7], [0.7, 1.0]]))
+_Z = [normal_sql(SEED, f"ic:{c}", ["p_partkey"]) for c in ("p_size", "p_retailprice")]
+
+
+@query("iman_conover", f"""
+WITH s AS ({_reorder_sql('p_size', f"{float(_IC[0, 0])!r} * {_Z[0]}")}),
+r AS ({_reorder_sql('p_retailprice', f"{float(_IC[1, 0])!r} * {_Z[0]} + {float(_IC[1, 1])!r} * {_Z[1]}")})
+SELECT p_partkey, p_size, p_retailprice FROM s JOIN r USING (p_partkey)""")
 def q_iman_conover(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
-    out = S.iman_conover(p, ["p_size", "p_retailprice"], np.array([[1.0, 0.7], [0.7, 1.0]]), ["p_partkey"], SEED)
-    return _multiset(out, ["p_retailprice", "p_size"])
+    return S.iman_conover(p, ["p_size", "p_retailprice"], np.array([[1.0, 0.7], [0.7, 1.0]]), ["p_partkey"], SEED)

@@ -99,6 +99,21 @@ def q_nearest_vector_t30(spark, sf):
     return _nearest(spark, sf, 0.3)
 
 
+@query("nearest_vector_planted", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+q AS (SELECT vec_id + 1000000 AS id, list_transform(e, lambda x, i: x + 0.02 * ((i - 1) % 3)) AS e FROM v),
+p AS (SELECT a.id, b.vec_id AS match_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s
+      FROM q a, v b),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, match_id) AS rn FROM p WHERE s > 0.92)
+SELECT id, match_id, round(s, 6) AS similarity FROM r WHERE rn = 1""")
+def q_nearest_vector_planted(spark, sf):
+    """Queries that are shifted copies of the stored vectors: threshold 0.92 finds their originals."""
+    e = table(spark, sf, "embeddings")
+    q = e.select((F.col("vec_id") + 1000000).alias("id"), F.transform("embedding", lambda x, i: x.cast("double") + 0.02 * (i % 3)).alias("embedding"))
+    out = ST.nearest_vector(q, e, "id", "vec_id", "embedding", threshold=0.92)
+    return out.select("id", "match_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("event_log", """
 SELECT 's1' AS session_id, 'violation' AS kind, 'price' AS rule, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_totalprice > 50000 HAVING count(*) > 0
 UNION ALL SELECT 's1', 'violation', 'status', count(*) FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('O', 'F') HAVING count(*) > 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import math
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from weft.operators import scenario as X
 from weft.operators import temporal as TP
 from weft.plans.registry import query
 from weft.plans.spec import Scenario, SpecialEvent, TemporalPatterns
-from weft.plans.sqlkit import cdf_index_sql, cumulative, u_sql
+from weft.plans.sqlkit import cdf_index_sql, cumulative, normal_sql, u_sql
 from weft.session import table
 
 SEED = 42
@@ -102,20 +103,22 @@ def q_temporal_patterns(spark, sf):
     return out.withColumn("value", F.round("value", 6))
 
 
-@query("autocorrelation", """
-SELECT 'value' AS col, CAST(count(value) AS BIGINT) AS n, round(sum(value), 6) AS total, min(value) AS lo, max(value) AS hi
-FROM events
-UNION ALL
-SELECT 'user_id', CAST(count(user_id) AS BIGINT), round(sum(user_id), 6), min(user_id), max(user_id) FROM events""")
+_H_EV = "CAST(('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 13)) AS BIGINT)"
+
+
+def _ac_sql(c):
+    score = f"0.8 * ti / CAST(n AS DOUBLE) + {math.sqrt(1 - 0.8 * 0.8)!r} * {normal_sql(SEED, f'ac:{c}', ['event_id'])}"
+    return (f"SELECT a.event_id, b.{c} FROM (SELECT event_id, row_number() OVER (ORDER BY {score}, {_H_EV}, event_id) AS p FROM t) a "
+            f"JOIN (SELECT {c}, row_number() OVER (ORDER BY {c}, {_H_EV}, event_id) AS p FROM events) b USING (p)")
+
+
+@query("autocorrelation", f"""
+WITH t AS (SELECT event_id, row_number() OVER (ORDER BY ts, {_H_EV}, event_id) - 1 AS ti, count(*) OVER () AS n FROM events),
+v AS ({_ac_sql('value')}), u AS ({_ac_sql('user_id')})
+SELECT e.event_id, e.ts, u.user_id, v.value FROM events e JOIN v ON v.event_id = e.event_id JOIN u ON u.event_id = e.event_id""")
 def q_autocorrelation(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "user_id", "value")
-    out = TP.autocorrelation(e, 0.8, "ts", ["event_id"], SEED, columns=["value", "user_id"])
-    return out.select(
-        F.explode(F.array(
-            F.struct(F.lit("value").alias("col"), F.col("value").cast("double").alias("x")),
-            F.struct(F.lit("user_id").alias("col"), F.col("user_id").cast("double").alias("x")))).alias("s")
-    ).groupBy("s.col").agg(F.count("s.x").alias("n"), F.round(F.sum("s.x"), 6).alias("total"),
-                           F.min("s.x").alias("lo"), F.max("s.x").alias("hi"))
+    return TP.autocorrelation(e, 0.8, "ts", ["event_id"], SEED, columns=["value", "user_id"])
 
 
 # ------------------------------------------------------------------ scenarios

@@ -32,7 +32,7 @@ def get_spark(master: str | None = None, app: str = "weft", partitions: int | No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when nothing is configured (local tests) do we make our own folder.
+    Only when nothing is configured, and only in local mode (tests), do we make our own folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -56,15 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over all cores when it has fewer partitions than the cluster has cores.
+    """Round-robin ``df`` over all cores when it is read from fewer files than the cluster has cores.
 
-    For CPU-heavy row-local work (regex scans of long texts) read from few large row groups.
-    At scale the input already has many splits and this is a no-op (no shuffle is added).
+    For CPU-heavy row-local work (regex scans of long texts) read from few files. Only the plan's file
+    list is looked at, so nothing runs; at scale there are many files and no shuffle is added.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

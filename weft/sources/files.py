@@ -68,13 +68,12 @@ def load_json_table(spark: SparkSession, path: str, root_key: str, schema: T.Str
 
 
 def detect_schema(df: DataFrame) -> DataFrame:
-    """Detected schema of an uploaded table: name, type, nulls, distinct values (one aggregate job)."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(df.columns):
-        aggs += [F.count(F.col(c)).alias(f"_nn{i}"), F.count_distinct(F.col(c)).alias(f"_nd{i}")]
-    wide = df.agg(*aggs)
+    """Detected schema of an uploaded table: name, type, nulls, distinct values (one grouped count per column)."""
+    from weft.operators.report import distinct_counts
+
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)])
     rows = [F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("column_name"),
                      F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
-                     (F.col("_n") - F.col(f"_nn{i}")).alias("n_null"), F.col(f"_nd{i}").alias("n_distinct"))
+                     (F.col("_n") - F.col(f"_nn{i}")).alias("n_null"))
             for i, c in enumerate(df.columns)]
-    return wide.select(F.inline(F.array(*rows)))
+    return wide.select(F.inline(F.array(*rows))).join(distinct_counts(df, df.columns), "column_name")
