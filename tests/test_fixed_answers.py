@@ -123,3 +123,13 @@ def test_rules_of_all_kinds_act_together(spark):
     assert log == {"u": 1, "n": 1, "r": 1, "g": 1}
     with pytest.raises(ValueError):
         C.enforce(df, rules)
+
+
+def test_masking_keeps_private_use_characters(spark):
+    from weft.functions import pii as P
+
+    text = " mail a.b@example.com and c@example.org "
+    got = spark.createDataFrame([(text,), (text.replace("", "").replace("", ""),)], "t string").select(P.mask_text(F.col("t"), 1).alias("m")).collect()
+    strip = lambda x: x.replace("", "").replace("", "")
+    assert got[0]["m"].count("") == 1 and got[0]["m"].count("") == 2
+    assert "a.b@example.com" not in got[0]["m"] and strip(got[0]["m"]) == got[1]["m"]

@@ -118,22 +118,27 @@ def classify(span: Column) -> Column:
 
 
 def mask_any(span: Column, seed=0) -> Column:
-    t = classify(span)
-    out = span
-    for name in reversed(TYPES):
-        out = F.when(t == F.lit(name), mask_value(span, name, seed)).otherwise(out)
-    return out
+    """The span's mask by its type; the type is found once per span (bound by a one-element array)."""
+    def by_type(t: Column) -> Column:
+        out = span
+        for name in reversed(TYPES):
+            out = F.when(t == F.lit(name), mask_value(span, name, seed)).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(classify(span)), by_type), F.lit(0))
 
 
 def segments(text: Column) -> Column:
     """Text split into alternating plain / span parts (odd positions are spans).
 
     All recognisers run in one left-to-right pass on the original text (leftmost match
-    wins, ties by recogniser order), so a replacement is never scanned again.
+    wins, ties by recogniser order), so a replacement is never scanned again. Texts that hold
+    one of the two private-use marks themselves are split and searched instead, so no character is lost.
     """
-    clean = F.regexp_replace(text, f"[{OPEN}{CLOSE}]", "")
-    tagged = F.regexp_replace(clean, SCAN, f"{OPEN}$0{CLOSE}")
-    return F.split(tagged, f"[{OPEN}{CLOSE}]")
+    marked = F.split(F.regexp_replace(text, SCAN, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]")
+    plain, spans = F.split(text, SCAN), F.regexp_extract_all(text, F.lit(SCAN), F.lit(0))
+    apart = F.flatten(F.transform(plain, lambda x, i: F.when(i < F.size(spans), F.array(x, F.get(spans, i))).otherwise(F.array(x))))
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), apart).otherwise(marked)
 
 
 def span_types(text: Column) -> Column:
