@@ -1,6 +1,5 @@
 """Acceptance bounds carried over from the reference's specified test cases, on small fixtures."""
 
-import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F

@@ -133,3 +133,12 @@ def test_masking_keeps_private_use_characters(spark):
     strip = lambda x: x.replace("", "").replace("", "")
     assert got[0]["m"].count("") == 1 and got[0]["m"].count("") == 2
     assert "a.b@example.com" not in got[0]["m"] and strip(got[0]["m"]) == got[1]["m"]
+
+
+def test_categorical_draws_by_array_and_by_position_agree(spark, monkeypatch):
+    df = spark.range(900).select("id", F.when(F.col("id") % 10 != 0, F.concat(F.lit("v"), F.least(F.col("id"), F.lit(300)).cast("string"))).alias("c"))
+    spine = spark.range(500).withColumnRenamed("id", "_row")
+    few = {r["_row"]: r["c"] for r in S.categorical_draws(spine, "_row", df, "c", 4).collect()}
+    monkeypatch.setattr(S, "LITERAL_CATEGORIES", 3)
+    monkeypatch.setattr(S, "LAYOUT_RUN", 50)
+    assert {r["_row"]: r["c"] for r in S.categorical_draws(spine, "_row", df, "c", 4).collect()} == few and len(few) == 500

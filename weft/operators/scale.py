@@ -9,7 +9,6 @@ correlation matrices.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +20,8 @@ from weft.operators.rank import dense_index, ordinal
 from weft.plans.spec import TableSpec
 from weft.session import cut_lineage
 
-LITERAL_CATEGORIES = 1000  # above this, categorical draws use a bucketed range join
-CDF_BUCKETS = 4096
+LITERAL_CATEGORIES = 1000  # above this, categorical draws are joined by position
+LAYOUT_RUN = 4096
 
 
 def column_kinds(df: DataFrame, spec: TableSpec | None = None, key_cols=()) -> dict[str, str]:
@@ -138,29 +137,25 @@ def category_table(df: DataFrame, c: str) -> DataFrame:
 def categorical_draws(spine: DataFrame, key: str, df: DataFrame, c: str, seed) -> DataFrame:
     """Adds column ``c`` to the spine, resampled by observed frequency (nulls not drawn).
 
-    Few categories: literal cumulative-count array.  Many: bucketed range join on the unit
-    interval (each category is listed in the buckets its interval overlaps)."""
-    cats = category_table(df, c).persist()
-    n_cat = cats.count()
+    A draw is a position ``floor(U * n)`` among the n non-null values in category order. Up to
+    LITERAL_CATEGORIES categories, the position is looked up in a literal array of cumulative counts;
+    beyond, categories are laid out position by position and joined by position. Both give the same value.
+    """
+    cats = category_table(df, c)
+    n_cat, total = cats.agg(F.count(F.lit(1)), F.max("_cum")).first()
     if n_cat == 0:
         return spine.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
-    rows = cats.orderBy("_h", "_v").select("_v", "_cum").collect() if n_cat <= LITERAL_CATEGORIES else None
-    if rows is not None:
-        total = rows[-1]["_cum"]
-        r = F.floor(R.uniform01(seed, f"scale:{c}", [F.col(key)]) * F.lit(float(total)))
+    r = F.floor(R.uniform01(seed, f"scale:{c}", [F.col(key)]) * F.lit(float(total)))
+    if n_cat <= LITERAL_CATEGORIES:
+        rows = cats.orderBy("_h", "_v").select("_v", "_cum").collect()
         idx = R.index_by_cdf(r, [int(x["_cum"]) for x in rows])
         vals = F.array(*[F.lit(x["_v"]) for x in rows])
         return spine.withColumn(c, F.element_at(vals, idx + 1))
-    total = cats.agg(F.max("_cum")).first()[0]
-    b = CDF_BUCKETS
-    iv = cats.select("_v", (F.col("_before") / F.lit(float(total))).alias("_lo"),
-                     (F.col("_cum") / F.lit(float(total))).alias("_hi"))
-    iv = iv.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") * b).cast("int"),
-                                                  F.least(F.floor(F.col("_hi") * b).cast("int"), F.lit(b - 1)))))
-    s = spine.withColumn("_u", R.uniform01(seed, f"scale:{c}", [F.col(key)])).withColumn("_b", F.floor(F.col("_u") * b).cast("int"))
-    j = s.join(F.broadcast(iv) if n_cat + b <= 2_000_000 else iv, "_b")
-    return j.where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_b", "_u", "_lo", "_hi") \
-        .withColumnRenamed("_v", c)
+    # a category's positions in runs of at most LAYOUT_RUN, dealt out before they are laid out one by one
+    runs = cats.select("_v", "_before", "_cum", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_cnt") - 1) / LAYOUT_RUN))).alias("_run"))
+    runs = runs.select("_v", (F.col("_before") + F.col("_run") * LAYOUT_RUN).alias("_from"), "_cum").repartition(F.col("_from"))
+    each = runs.select("_v", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + LAYOUT_RUN, F.col("_cum")) - 1)).alias("_pos"))
+    return spine.withColumn("_pos", r).join(each, "_pos").drop("_pos").withColumnRenamed("_v", c)
 
 
 def bootstrap(spine: DataFrame, key: str, df: DataFrame, cols: list[str], key_cols: list[str], seed,

@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from weft.functions import rand as R
 from weft.operators import correlate as CR
 from weft.operators import scale as S
 from weft.plans.registry import query
