@@ -56,6 +56,27 @@ def test_coarse_grid_finds_the_same(spark):
     assert PrefixGrid(df, "end", run, 5, grid=64).solve() == fine
 
 
+def test_even_cuts_keep_the_capacity_and_share_the_rest(spark):
+    import random
+
+    rnd = random.Random(8)
+    sizes = [rnd.choice([1, 2, 3, 5]) for _ in range(600)]
+    sizes[200] = 900  # one group larger than a third of all
+    ends, run = [], 0
+    for s in sizes:
+        run += s
+        ends.append(run)
+    df = spark.createDataFrame([(e,) for e in ends], "end long").cache()
+    for grid in (64, 100_000):
+        g = PrefixGrid(df, "end", run, 8, grid=grid)
+        capacity, greedy = g.solve()
+        cuts = g.even_cuts(capacity)
+        load = [b - a for a, b in zip([0, *cuts], cuts)]
+        assert capacity == 900 and max(load) <= capacity and set(cuts) <= set(ends)
+        rest = sorted(load)[:-1]
+        assert rest[0] > 0.5 * rest[-1] and min(b - a for a, b in zip([0, *greedy], greedy)) == 0
+
+
 def test_messy_rows(spark, messy, no_docs, clashing):
     for df in (messy, clashing):
         got = minimax_shards(df, 4).collect()
@@ -67,4 +88,5 @@ def test_messy_rows(spark, messy, no_docs, clashing):
         assert len({r["shard"] for r in got if r["text_crc32"] == 0}) == 1  # null and empty texts are equal
     assert minimax_shards(no_docs).collect() == []
     one = spark.createDataFrame([(1, "same")] * 5, "doc_id long, text string")
-    assert {(r["shard"], r["slot"]) for r in minimax_shards(one, 3).collect()} == {(0, k) for k in range(5)}
+    got = minimax_shards(one, 3).collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(5))

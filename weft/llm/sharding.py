@@ -2,7 +2,8 @@
 
 Groups of equal texts are atomic and stand in the order of their smallest id. The smallest shard
 capacity that lets a greedy scan pack all groups into the given number of shards is found by binary
-search; the greedy cuts at that capacity are the shards.
+search. Of the cuts that keep this capacity, the most even ones are taken, so that one very large group
+does not leave later shards empty.
 """
 
 from __future__ import annotations
@@ -52,6 +53,45 @@ class PrefixGrid:
             return high, high
         return low, (low if n <= 2 else min(limit, high - 1))
 
+    def after(self, start: int) -> int:
+        """The smallest end that is at least ``start`` (of an unsettled cell: its largest, and the cell is noted)."""
+        if start <= 0:
+            return 0
+        k = bisect_left(self.high, start)
+        low, high, n = self.cells[k]
+        if low >= start:
+            return low
+        if n > 2:
+            self.unsettled.add((low - 1, high))
+        return high
+
+    def upto(self, limit: int) -> int:
+        """The largest end that is at most ``limit`` (of an unsettled cell: its smallest, and the cell is noted)."""
+        least, most = self.reach(limit)
+        if least != most:
+            low, high, _ = self.cells[bisect_right(self.low, limit) - 1]
+            self.unsettled.add((low - 1, high))
+        return least
+
+    def even_cuts(self, capacity: int) -> list[int]:
+        """Cuts of the most even partition of that capacity: each as close to an equal share of the rest as it allows."""
+        while True:
+            self.unsettled: set[tuple[int, int]] = set()
+            need = [self.total]  # where j shards of the capacity still reach the end from
+            for _ in range(self.shards - 1):
+                need.append(self.after(need[-1] - capacity))
+            cuts, at = [], 0
+            for left in range(self.shards - 1, 0, -1):
+                share = at + (self.total - at) // (left + 1)
+                below, above = self.upto(share), self.after(share)
+                near = below if at < below and share - below <= above - share else above  # no empty shard before a large group
+                at = max(at, min(max(near, need[left]), self.upto(at + capacity)))
+                cuts.append(at)
+            cuts.append(self.total)
+            if not self.unsettled:
+                return cuts
+            self._load(_joined(sorted(self.unsettled), self.grid // 8))
+
     def greedy(self, capacity: int, sure: bool) -> list[int]:
         """Cuts of a greedy scan, by the lower (sure) or the upper bounds."""
         cuts, at = [], 0
@@ -95,12 +135,14 @@ def _joined(ranges: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
 
 
 def shard_groups(sizes: DataFrame, shards: int) -> tuple[DataFrame, int]:
-    """(key, shard) for groups (key, first, size), and the capacity. Empty shards come last if there are fewer groups."""
+    """(key, shard) for groups (key, first, size), and the capacity. Shards may be empty if there are fewer groups."""
     summed, total = prefix_sums(sizes, ["first", "key"], "size", "before", "shard-groups")
     ends = stored(summed.select("key", (F.col("before") + F.col("size")).alias("end")), "shard-ends")
     if not total:
         return ends.select("key", F.lit(0).alias("shard")), 0
-    capacity, cuts = PrefixGrid(ends, "end", total, shards).solve()
+    grid = PrefixGrid(ends, "end", total, shards)
+    capacity, _ = grid.solve()
+    cuts = grid.even_cuts(capacity)
     shard = F.aggregate(F.lit(cuts[:-1] or [total]), F.lit(0), lambda n, cut: n + (F.col("end") > cut).cast("int"))
     return ends.select("key", F.least(shard, F.lit(shards - 1)).alias("shard")), capacity
 
