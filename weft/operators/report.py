@@ -19,7 +19,7 @@ from weft.operators.dirty import ALT_DATE_FORMATS, ISO_DATE
 from weft.operators.rank import _bucketize, _cut_points, default_buckets, value_ranks
 
 # fixed values: weights of the composite quality score (similarity, causal, privacy, temporal, dirty)
-QUALITY_WEIGHTS = {"sdmetrics_score": 0.30, "causal_score": 0.25, "privacy_score": 0.20,
+QUALITY_WEIGHTS = {"similarity_score": 0.30, "causal_score": 0.25, "privacy_score": 0.20,
                    "temporal_score": 0.15, "dirty_score": 0.10}
 
 

@@ -9,7 +9,6 @@ correlation matrices.
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F

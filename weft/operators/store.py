@@ -9,7 +9,6 @@ sorting the whole key.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

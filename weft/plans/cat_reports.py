@@ -243,15 +243,15 @@ pp AS (SELECT count(*) FILTER (WHERE len({_types_sql('c_name')}) > 0)
 pv AS (SELECT least(100.0, (CASE WHEN k = 1 THEN 40.0 ELSE least(40.0, 40.0 / greatest(k, 1)) END) + 10.0
               + 40.0 * greatest(0.0, 1.0 - pii / greatest(cells, 1) * 10.0)) AS p FROM pk, pp),"""
     return _audit_report_sql(extra) + """,
-parts AS (SELECT 100.0 * (SELECT s FROM sim) AS sdmetrics_score,
+parts AS (SELECT 100.0 * (SELECT s FROM sim) AS similarity_score,
                  100.0 * (SELECT score FROM r WHERE check_name = 'causal_physics') AS causal_score,
                  (SELECT p FROM pv) AS privacy_score,
                  100.0 * (SELECT score FROM r WHERE check_name = 'temporal_ordering') AS temporal_score,
                  100.0 * (SELECT score FROM r WHERE check_name = 'null_policy') AS dirty_score)
-SELECT round(sdmetrics_score, 6) AS sdmetrics_score, round(causal_score, 6) AS causal_score,
+SELECT round(similarity_score, 6) AS similarity_score, round(causal_score, 6) AS causal_score,
        round(privacy_score, 6) AS privacy_score, round(temporal_score, 6) AS temporal_score,
        round(dirty_score, 6) AS dirty_score,
-       round(least(greatest(0.30 * sdmetrics_score + 0.25 * causal_score + 0.20 * privacy_score
+       round(least(greatest(0.30 * similarity_score + 0.25 * causal_score + 0.20 * privacy_score
                             + 0.15 * temporal_score + 0.10 * dirty_score, 0.0), 100.0), 6) AS overall_score
 FROM parts"""
 
@@ -266,7 +266,7 @@ def q_quality_score(spark, sf):
            A.audit(full.withColumn("balance_amount", F.col("c_acctbal")), CUST_SPEC, dag=CUST_DAG).collect()}
     pv = PV.privacy_report(full, ["c_nationkey", "c_mktsegment"], None, ["c_name", "c_mktsegment"]).first()
     parts = spark.range(1).select(
-        F.lit(100.0 * sim).alias("sdmetrics_score"), F.lit(100.0 * rep["causal_physics"]).alias("causal_score"),
+        F.lit(100.0 * sim).alias("similarity_score"), F.lit(100.0 * rep["causal_physics"]).alias("causal_score"),
         F.lit(float(pv["privacy_score"])).alias("privacy_score"),
         F.lit(100.0 * rep["temporal_ordering"]).alias("temporal_score"),
         F.lit(100.0 * rep["null_policy"]).alias("dirty_score"))
