@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.operators import audit as A
+from weft.operators import constraints as C
 from weft.operators import dirty as D
 from weft.operators import privacy as PV
 from weft.operators import report as RP
@@ -13,6 +14,7 @@ from weft.plans.cat_audit import CUST_DAG, CUST_SPEC, _audit_report_sql, dirty_c
 from weft.plans.cat_dirty import _date_mix_sql, _dense_sql, _draws_sql
 from weft.plans.cat_privacy import _types_sql
 from weft.plans.registry import query
+from weft.plans.spec import Rule
 from weft.plans.sqlkit import u_sql
 from weft.session import table
 
@@ -284,8 +286,7 @@ def pipeline(spark, sf):
     """
     dc = dirty_customer(spark, sf)
     masked = PV.scan_and_mask(dc, ["c_name", "c_mktsegment"], SEED)
-    fixed = masked.withColumn("c_acctbal", F.least(F.greatest(F.col("c_acctbal"), F.lit(0.0)), F.lit(9000.0)))
-    fixed = fixed.persist()
+    fixed = C.enforce(masked, [Rule("customer.c_acctbal_range", "range", ("c_acctbal",), "clip", "high", 0.0, 9000.0)]).persist()
     report = A.audit(fixed.withColumn("balance_amount", F.col("c_acctbal")), CUST_SPEC, dag=CUST_DAG)
     return fixed, report
 
