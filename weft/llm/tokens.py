@@ -37,7 +37,9 @@ SAMPLE_DOCS = 1024  # documents the dictionary is trained on, about; twice as ma
 SAMPLE_IDS = 512  # ids of each that training sees, at most
 BLOCK_BYTES = 1 << 20
 CACHE_WORDS = 1_200_000  # words a Python worker remembers; older ones are encoded again
-MARKS = re.compile(r"(?:[^\w\s]|[_\x1c-\x1f\x85])[.,] ")
+_MARK = r"(?:[^\w\s]|[_\x1c-\x1f\x85])"
+#: a stop or comma after another mark; the fixed start makes the search fast
+RUNS = [re.compile(rf"\. (?<={_MARK}\. )"), re.compile(rf", (?<={_MARK}, )")]
 LEVEL = 3
 
 BLOCK_SCHEMA = ("part int, block int, dict_hash string, data binary, doc_ids array<long>, frame_ends array<long>, "
@@ -59,15 +61,14 @@ class Encoder:
         self.words: dict[str, bytes] = {}  # lives as long as the Python worker
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode ``words``. Words of letters go to the library many at a time and are told apart by the ids that end
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of ``words``. Words of letters go to the library many at a time and are told apart by the ids that end
         a word; where these do not come out one for each, and for all other words, each goes alone."""
-        known = self.words
-        plain = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
+        out: dict[str, bytes] = {}
+        plain: list[str] = []
+        rest: list[str] = []
+        for w in words:
+            (plain if w.isalpha() else rest).append(w)
         parts = [plain[lo: lo + 200] for lo in range(0, len(plain), 200)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
@@ -77,10 +78,11 @@ class Encoder:
                 continue
             data, at = ids.tobytes(), 0
             for w, end in zip(part, (4 * ends).tolist()):
-                known[w] = data[at:end]
+                out[w] = data[at:end]
                 at = end
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def _words(self, text: str) -> list[str]:
         """The parts of a text that can be encoded apart: words, and a full stop or comma that ends one.
@@ -91,7 +93,7 @@ class Encoder:
         if text.isascii() and "<|" not in text:
             text = text.lower()
         text = text.replace("\n", " ") + " "
-        if not MARKS.search(text):
+        if not any(p.search(text) for p in RUNS):
             text = text.replace(". ", " . ").replace(", ", " , ")
         return text.split(" ")
 
@@ -103,11 +105,18 @@ class Encoder:
         split = [self._words(t) for t in texts]
         flat = list(chain.from_iterable(split))
         ids = list(map(known.get, flat))
-        if None in ids:
-            gaps = [k for k, v in enumerate(ids) if v is None]
-            self._learn(list({flat[k] for k in gaps}))
+        gaps, k = [], -1
+        while True:
+            try:
+                k = ids.index(None, k + 1)
+            except ValueError:
+                break
+            gaps.append(k)
+        if gaps:
+            fresh = self._learn({flat[k] for k in gaps})
             for k in gaps:
-                ids[k] = known[flat[k]]
+                ids[k] = fresh[flat[k]]
+            known.update(fresh)
         out, at = [], 0
         for ws in split:
             out.append(b"".join(ids[at: at + len(ws)]) + self.end)
