@@ -13,10 +13,10 @@ ROOT = Path(__file__).resolve().parents[2]
 
 def test_stages_against_brute_force(spark):
     """Every stage's decisions, taken again from what the stage before it kept."""
-    from test_lines import brute as lines
-    from test_quality import sql_rows
-    from test_simhash import brute as simhash
-    from test_suffix import cover
+    from llm.test_lines import brute as lines
+    from llm.test_quality import sql_rows
+    from llm.test_simhash import brute as simhash
+    from llm.test_suffix import cover
 
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     kept = [docs]
