@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import table
 from weft.llm.line_dedup import line_dedup
+from weft.llm.merkle import verified_manifest
 from weft.llm.packing import best_fit
 from weft.llm.pieces import piece_digests
 from weft.llm.quality import quality_measures
@@ -95,3 +96,8 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+@query("op12_merkle_manifest")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified_manifest(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
