@@ -65,44 +65,43 @@ def slice_pairs(v: np.ndarray, low: float, high: float, want: int, seed: int = 5
     raise ArithmeticError(f"{int(inside.sum())} eigenvalues found in ({low}, {high}), inertia counts {want}")
 
 
+def clear_cut(v: np.ndarray, near: float, width: float, gap: float) -> float | None:
+    """A shift within ``width`` of ``near`` that has no eigenvalue within ``gap``; None if there is none among the tries."""
+    for k in range(12):
+        cut = near + width * (0.0034 + 0.07 * k * (-1) ** k)
+        if above(v, cut - gap) == above(v, cut + gap):
+            return cut
+    return None
+
+
 def leading_pairs(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(values, columns of unit vectors) of the ``k`` largest eigenvalues, falling; fewer if the rank is less.
 
-    Eigenvalues up to ``len(v)`` units of rounding of the trace count as zero. A matrix of zeros, or of no
-    rows, gives none.
+    Eigenvalues within rounding of zero (64 units of the trace for each dimension) count as zero. A
+    matrix of zeros, or of no rows, gives none.
     """
     d = len(v)
     trace = float(np.trace(v)) if d else 0.0
-    floor = max(d, 8) * np.finfo(float).eps * trace
     if not trace > 0:
         return np.zeros(0), np.zeros((d, 0))
-    top = trace * (1 + 1e-9)
-    todo, done = [(floor, top, above(v, floor))], []
-    found = 0
+    unit = np.finfo(float).eps * trace * d
+    floor = clear_cut(v, 64 * unit, 32 * unit, unit) or 64 * unit
+    todo, done, found = [(floor, trace * (1 + 1e-9) + unit, above(v, floor))], [], 0
     while todo and found < k:
         low, high, want = todo.pop()
-        if not want:
-            continue
-        over = d - negatives_cached(v, high)
-        if want > PER_SLICE and high - low > 1e-9 * trace:
-            cut = low + (high - low) * 0.5017
-            upper = above(v, cut) - over
+        steep = high > 16 * low  # values of very different size are filtered apart
+        middle = np.sqrt(low * high) if steep else (low + high) / 2
+        wide = high - low > 1000 * unit and want > (0 if steep else PER_SLICE)
+        cut = clear_cut(v, middle, min(middle - low, high - middle), unit) if wide else None
+        if cut is not None:
+            upper = want - (above(v, low) - above(v, cut))
             todo += [(low, cut, want - upper), (cut, high, upper)]  # the upper one is taken next
-            continue
-        e, q = _slice_or_shift(v, low, high, want, trace)
-        done.append((e, q))
-        found += len(e)
-    if not done:
+        elif want:
+            done.append(slice_pairs(v, low, high, want)[1])
+            found += want
+    if not found:
         return np.zeros(0), np.zeros((d, 0))
-    q = np.linalg.qr(np.hstack([x for _, x in done]))[0]
+    q = np.linalg.qr(np.hstack(done))[0]
     e, u = np.linalg.eigh(q.T @ v @ q)  # one more Ritz step makes vectors of neighbouring slices orthogonal
     order = np.argsort(-e)[:k]
     return e[order], (q @ u)[:, order]
-
-
-def negatives_cached(v: np.ndarray, shift: float) -> int:
-    return negatives(v - shift * np.eye(len(v)))
-
-
-def _slice_or_shift(v: np.ndarray, low: float, high: float, want: int, trace: float) -> tuple[np.ndarray, np.ndarray]:
-    return slice_pairs(v, low, high, want)

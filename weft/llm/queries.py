@@ -20,6 +20,7 @@ from weft.llm.suffix_dedup import repeated_bytes
 from weft.llm.tokens import token_files
 from weft.llm.topk import top_k
 from weft.llm.url_filter import url_filter
+from weft.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +102,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_merkle_manifest")
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
