@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import table
+from weft.llm.jaccard import jaccard_components
 from weft.llm.line_dedup import line_dedup
 from weft.llm.merkle import verified_manifest
 from weft.llm.packing import best_fit
@@ -99,6 +100,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+@query("op11_jaccard")
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 @query("op12_merkle_manifest")
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))

@@ -36,22 +36,25 @@ class Whitening:
     identity_error: float
 
 
-def usable(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(positions, vectors) of the rows without nulls and non-finite entries, of ``dim`` entries if given."""
-    at, out = [], []
-    for k, v in enumerate(column.to_pylist()):
-        if not v or (dim is not None and len(v) != dim) or None in v:
-            continue
-        a = np.array(v, np.float64)
-        if np.isfinite(a).all():
-            at.append(k)
-            out.append(a)
-    return np.array(at, np.int64), out
-
-
-def scaled(vectors: list[np.ndarray] | np.ndarray, scale: int) -> np.ndarray:
+def usable(column: pa.ListArray, dim: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{length: (positions, matrix)} of the vectors without nulls and non-finite entries, of ``dim`` entries if given."""
+    start = column.offsets.to_numpy().astype(np.int64)
+    flat = column.values.slice(start[0], start[-1] - start[0]).to_numpy(zero_copy_only=False).astype(np.float64)  # null entries become nan
+    start = start - start[0]
+    bad = np.r_[0, np.cumsum(~np.isfinite(flat))]
+    size = np.diff(start)
+    ok = column.is_valid().to_numpy(zero_copy_only=False) & (size > 0) & (bad[start[1:]] == bad[start[:-1]])
+    out = {}
+    for length in np.unique(size[ok]).tolist() if dim is None else [dim]:
+        at = np.flatnonzero(ok & (size == length))
+        if len(at):
+            out[length] = at, flat[start[at][:, None] + np.arange(length)]
+    return out
+
+
+def scaled(vectors: np.ndarray, scale: int) -> np.ndarray:
     """floor(scale * c) as 64-bit integers; a value that leaves 62 bits is an error."""
-    x = np.floor(scale * np.asarray(vectors))
+    x = np.floor(scale * vectors)
     if x.size and np.abs(x).max() >= 2.0 ** 62:
         raise ArithmeticError(f"an embedding entry times {scale} leaves the range of 62 bits")
     return x.astype(np.int64)
@@ -75,10 +78,7 @@ def counted(vectors: DataFrame, scale: int) -> tuple[int, int, list[int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in _slices(batches):
-            by_len: dict[int, list[np.ndarray]] = {}
-            for v in usable(b.column("v"))[1]:
-                by_len.setdefault(len(v), []).append(v)
-            for dim, vs in by_len.items():
+            for dim, (_, vs) in usable(b.column("v")).items():
                 x = scaled(vs, scale)
                 own = held.setdefault(dim, [0, np.zeros(dim, np.int64), np.zeros(dim, np.int64)])
                 own[0] += len(x)
@@ -109,8 +109,7 @@ def _gram(vectors: DataFrame, dim: int, size: int, rows_of) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((size, size))
         for b in _slices(batches):
-            vs = usable(b.column("v"), dim)[1]
-            if vs:
+            for _, vs in usable(b.column("v"), dim).values():
                 y = rows_of(vs)
                 gram += y.T @ y
         yield pa.RecordBatch.from_pydict({"g": pa.array([gram.ravel()], pa.list_(pa.float64()))})
@@ -174,17 +173,15 @@ def whitened(embeddings: DataFrame, id_col: str = "vec_id", vec: str = "embeddin
         turn = w.vectors / np.sqrt(w.values)
         share = w.values / w.trace
         for b in _slices(batches):
-            at, vs = usable(b.column("v"), dim)
-            if not len(at):
-                continue
-            x = scaled(vs, scale)
-            dev = [Decimal(d) if d < 10 ** 38 else None for d in deviations(x, w.n, w.sums)]
-            each = pa.array(np.repeat(np.arange(len(at)), k))
-            yield pa.RecordBatch.from_arrays([
-                b.column("id").take(pa.array(at)).take(each), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(at))),
-                pa.array(np.full(len(at) * k, w.n, np.int64)), pa.array(dev, pa.decimal128(38, 0)).take(each),
-                pa.array((_centred(x, whole, part) @ turn).ravel()), pa.array(np.tile(share, len(at))),
-                pa.array(np.full(len(at) * k, w.identity_error))],
-                names=[id_col, "component", "n", "deviation", "whitened", "explained", "identity_error"])
+            for at, vs in usable(b.column("v"), dim).values():
+                x = scaled(vs, scale)
+                dev = [Decimal(d) if d < 10 ** 38 else None for d in deviations(x, w.n, w.sums)]
+                each = pa.array(np.repeat(np.arange(len(at)), k))
+                yield pa.RecordBatch.from_arrays([
+                    b.column("id").take(pa.array(at)).take(each), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(at))),
+                    pa.array(np.full(len(at) * k, w.n, np.int64)), pa.array(dev, pa.decimal128(38, 0)).take(each),
+                    pa.array((_centred(x, whole, part) @ turn).ravel()), pa.array(np.tile(share, len(at))),
+                    pa.array(np.full(len(at) * k, w.identity_error))],
+                    names=[id_col, "component", "n", "deviation", "whitened", "explained", "identity_error"])
 
     return src.mapInArrow(run, schema)
