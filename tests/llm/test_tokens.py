@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -64,3 +65,31 @@ def test_words_apart_encode_like_whole_texts():
     texts = ["it's  a\ttest\n\nof <|endoftext|> marks<|startoftext|>x", "don't 12345 naïve é e\u0301 \u0301x ΑΣ ΑΣ. 日本語\u3000字", "a\u00a0b\u2028c \u0301\u0301 İI ﬁ", "  lead and trail  ", "", "Stop. Go, on.. No?. 5. _. x\x1c. (a). b., c,. <|ENDOFTEXT|> D. é. É, ,. . ,", "ends."]
     for t in texts:
         assert np.frombuffer(enc.many([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def same_ids(texts, path):
+    enc, tok = K.Encoder(path, None), Tokenizer.from_file(path)
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    return [t for t, g, w in zip(texts, enc.many(texts), want) if np.frombuffer(g, "<u4").tolist() != w]
+
+
+def test_every_character_before_a_stop():
+    """Also letters that normalising parts into letter and mark (U+0130, U+0958, U+09DC, ...), and all marks."""
+    chars = [chr(c) for c in range(1, 0x3000)]
+    chars += [chr(c) for c in range(0x3000, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c).lower()) != chr(c)]
+    for form in ("x{}. y", "{}, y", "a{} b", "q {}. {}, {}"):
+        assert same_ids([form.replace("{}", c) for c in chars], tokenizer_path(NAME)) == []
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A file whose parts are not those that allow words to be encoded apart."""
+    import json
+
+    with open(tokenizer_path(NAME), encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"]["normalizers"] = file["normalizer"]["normalizers"][:2]
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    assert not K.Encoder(path, None).apart and K.Encoder(tokenizer_path(NAME), None).apart
+    assert same_ids(["Some Text. Here, there", "", "a\nb  c"], path) == []

@@ -97,10 +97,8 @@ class PieceTransducer:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
         self.never: set[int] = set()
-        order = sorted(range(len(self.pieces)), key=lambda k: -self.score[k])
-        self.rank = [0] * len(order)  # when a piece is merged: the best score first
-        for k, p in enumerate(order):
-            self.rank[p] = k
+        levels = {x: k for k, x in enumerate(sorted(set(self.score), reverse=True))}
+        self.rank = [levels[x] for x in self.score]  # when a piece is merged: the best score first, equal ones by place
         self.out = [b"" if self.kind[k] in (CONTROL, UNUSED) else bytes([int(p[3:5], 16)]) if self.kind[k] == BYTE else
                     " ⁇ ".encode() if self.kind[k] == UNKNOWN else p.replace(SPACE, " ").encode() for k, p in enumerate(self.pieces)]
 

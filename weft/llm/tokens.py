@@ -16,6 +16,7 @@ slice of ``data`` and the dictionary.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -37,17 +38,29 @@ SAMPLE_DOCS = 1024  # documents the dictionary is trained on, about; twice as ma
 SAMPLE_IDS = 512  # ids of each that training sees, at most
 BLOCK_BYTES = 1 << 20
 CACHE_WORDS = 1_200_000  # words a Python worker remembers; older ones are encoded again
-_MARK = r"(?:[^\w\s]|[_\x1c-\x1f\x85])"
-#: a stop or comma after another mark; the fixed start makes the search fast
-RUNS = [re.compile(rf"\. (?<={_MARK}\. )"), re.compile(rf", (?<={_MARK}, )")]
+_MARK = re.compile(r"[^\w\s]|[_\x1c-\x1f\x85]")
+#: a stop or comma after anything but a plain letter or digit; the fixed start makes the search fast
+STOPS = [re.compile(r"\. (?<=[^a-zA-Z0-9]\. )"), re.compile(r", (?<=[^a-zA-Z0-9], )")]
+#: the parts of a tokenizer file under which words, and stops that end them, can be encoded apart
+APART = {"normalizer": ["NFC", "Replace", "Lowercase"], "pre_tokenizer": ["Split", "ByteLevel"], "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 LEVEL = 3
 
 BLOCK_SCHEMA = ("part int, block int, dict_hash string, data binary, doc_ids array<long>, frame_ends array<long>, "
                 "token_starts array<long>, token_counts array<long>")
 
 
+def _parts_of(path: str) -> dict:
+    """The parts of a tokenizer file that APART names."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    norm, pre = ((file[k] or {}).get(n, []) for k, n in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    split = [x["pattern"].get("Regex") for x in pre if x["type"] == "Split"]
+    return {"normalizer": [x["type"] for x in norm], "pre_tokenizer": [x["type"] for x in pre], "split": split[0] if split else None}
+
+
 class Encoder:
-    """Text -> ids as bytes. White space never joins two tokens here, so each distinct word is encoded once."""
+    """Text -> ids as bytes. Where white space never joins two tokens (APART) each distinct word is encoded once; other
+    tokenizers encode whole texts."""
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,6 +71,8 @@ class Encoder:
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         if suffix:
             self.closes[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.apart = bool(suffix) and _parts_of(path) == APART
+        self.marked: dict[str, bool] = {}  # does a character end in a mark once it is normalised
         self.words: dict[str, bytes] = {}  # lives as long as the Python worker
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
 
@@ -84,21 +99,30 @@ class Encoder:
             out[w] = np.array(e.ids, "<u4").tobytes()
         return out
 
+    def _mark(self, char: str) -> bool:
+        known = self.marked.get(char)
+        if known is None:
+            known = self.marked[char] = any(_MARK.search(x) for x in (char, self.tokenizer.normalizer.normalize_str(char)))
+        return known
+
     def _words(self, text: str) -> list[str]:
         """The parts of a text that can be encoded apart: words, and a full stop or comma that ends one.
 
         Case goes before only where Python and the library agree on it (ASCII, no special token); a stop or comma
-        after another mark stays with it, as the library takes runs of marks as one.
+        after another mark, also one that normalising parts from its letter, stays with it, as the library takes runs
+        of marks as one.
         """
         if text.isascii() and "<|" not in text:
             text = text.lower()
         text = text.replace("\n", " ") + " "
-        if not any(p.search(text) for p in RUNS):
+        if not any(self._mark(text[m.start() - 1]) for p in STOPS for m in p.finditer(text)):
             text = text.replace(". ", " . ").replace(", ", " , ")
         return text.split(" ")
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of every text with the end id, as bytes."""
+        if not self.apart:
+            return [np.array(e.ids, "<u4").tobytes() + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         known = self.words
         if len(known) > CACHE_WORDS:
             known.clear()
