@@ -9,6 +9,7 @@ distributed Spearman of ``weft.operators.correlate``.  The report is 10 rows.
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
 
 import re
 
@@ -85,13 +86,19 @@ MEASURES = {"_t": "type_conformance", "_n": "null_policy", "_r": "range_validity
             "_o": "temporal_ordering", "_p": "causal_physics", "_m": "statistical_sanity"}
 
 
-def audit_parts(df: DataFrame, spec: TableSpec | None, rules: list[Rule] = (), dag: list[DagRule] = (),
-                stats_k: float = 10.0, stats_share: float = 0.05, min_stat_rows: int = 10, only: set[str] | None = None):
-    """Compute the per-check (score, violations) numbers; returns a list of 9 tuples.
+@dataclass
+class Measures:
+    """The aggregates of the row-level checks by key, and which keys belong to which check."""
 
-    With ``only``, just the named checks are computed (the others count as clean): a check that needs no
-    rows runs no job, and the aggregate holds no measure of another check.
-    """
+    columns: dict
+    present: list
+    numeric: list
+    aggs: dict
+    keys: dict
+
+
+def audit_measures(df: DataFrame, spec: TableSpec | None, rules: list[Rule] = (), dag: list[DagRule] = ()) -> Measures:
+    """Everything that one pass over ``df`` has to count for V-02 to V-05 and V-07 to V-09."""
     cols = {c.name: c for c in (spec.columns if spec else ())}
     present = [c for c in cols.values() if c.name in df.columns]
     schema = {f.name: f.dataType for f in df.schema.fields}
@@ -165,36 +172,55 @@ def audit_parts(df: DataFrame, spec: TableSpec | None, rules: list[Rule] = (), d
         aggs[f"_mm{i}"] = F.avg(F.col(c).cast("double"))
         aggs[f"_ms{i}"] = F.stddev_samp(F.col(c).cast("double"))
 
+    keys = {"type": type_keys, "null": null_keys, "range": range_keys, "enum": enum_keys, "temporal": temp_keys, "physics": phys_keys}
+    return Measures(cols, present, numeric, aggs, keys)
+
+
+def extreme_measures(m: Measures, row, stats_k: float, min_stat_rows: int) -> dict:
+    """Counts of values far from their column's mean, by the column's place, once ``row`` has the moments."""
+    out = {}
+    for i, c in enumerate(m.numeric):
+        if int(row[f"_mc{i}"] or 0) < min_stat_rows:
+            continue
+        mean = float(row[f"_mm{i}"])
+        std = float(row[f"_ms{i}"] or 0.0) or 1.0
+        out[i] = F.count_if(F.abs(F.col(c).cast("double") - F.lit(mean)) > F.lit(stats_k * std))
+    return out
+
+
+def audit_parts(df: DataFrame, spec: TableSpec | None, rules: list[Rule] = (), dag: list[DagRule] = (),
+                stats_k: float = 10.0, stats_share: float = 0.05, min_stat_rows: int = 10, only: set[str] | None = None):
+    """Compute the per-check (score, violations) numbers; returns a list of 9 tuples.
+
+    With ``only``, just the named checks are computed (the others count as clean): a check that needs no
+    rows runs no job, and the aggregate holds no measure of another check.
+    """
+    m = audit_measures(df, spec, rules, dag)
+    aggs = m.aggs
     asked = lambda name: only is None or name in only
     aggs = {k: v for k, v in aggs.items() if k == "_rows" or asked(MEASURES[k[:2]])}
     if only is not None and not only & {*MEASURES.values()}:
         aggs = {}
     row = defaultdict(int, df.agg(*[v.alias(k) for k, v in aggs.items()]).first().asDict() if aggs else {})
-    n = int(row["_rows"])
+    extreme = extreme_measures(m, row, stats_k, min_stat_rows) if asked("statistical_sanity") else {}
+    far = df.agg(*[v.alias(f"_x{i}") for i, v in extreme.items()]).first().asDict() if extreme else {}
+    repeats = sum(int(unique_violations(df, [c.name]).first()["violations"]) for c in m.present if (c.primary_key or c.unique) and asked("uniqueness"))
+    return audit_scores(m, df.columns, row, far, repeats, stats_share)
 
-    extreme = {}
-    stat_cols = []
-    for i, c in enumerate(numeric):
-        cnt = int(row[f"_mc{i}"] or 0)
-        if cnt < min_stat_rows:
-            continue
-        mean = float(row[f"_mm{i}"])
-        std = float(row[f"_ms{i}"] or 0.0) or 1.0
-        stat_cols.append((i, c, cnt))
-        extreme[i] = F.count_if(F.abs(F.col(c).cast("double") - F.lit(mean)) > F.lit(stats_k * std))
-    stat_viol = 0
-    if extreme:
-        r2 = df.agg(*[v.alias(f"_x{i}") for i, v in extreme.items()]).first()
-        for i, c, cnt in stat_cols:
-            if int(r2[f"_x{i}"]) > cnt * stats_share:
-                stat_viol += 1
+
+def audit_scores(m: Measures, columns: list[str], row, far: dict, repeats: int, stats_share: float = 0.05):
+    """(score, violations) of V-01 to V-09 from the measured numbers: ``row`` by key of ``m.aggs``, ``far`` the counts of
+    ``extreme_measures`` (as ``_x`` and the place), ``repeats`` the repeated key values."""
+    n, cols = int(row["_rows"]), m.columns
+    type_keys, null_keys, range_keys, enum_keys, temp_keys, phys_keys = (m.keys[k] for k in ("type", "null", "range", "enum", "temporal", "physics"))
+    stat_viol = sum(1 for k, v in far.items() if int(v) > int(row[f"_mc{k[2:]}"]) * stats_share)
 
     results = []
     # V-01
     if not cols:
         results.append((1.0, 0))
     else:
-        missing = [c for c in cols if c not in df.columns]
+        missing = [c for c in cols if c not in columns]
         results.append((max(0.0, 1.0 - len(missing) / max(1, len(cols))), len(missing)))
     # V-02
     bad_cols = sum(1 for k in type_keys if int(row[k]) > 0)
@@ -209,11 +235,7 @@ def audit_parts(df: DataFrame, spec: TableSpec | None, rules: list[Rule] = (), d
     v = sum(int(row[k]) for k in enum_keys)
     results.append((max(0.0, 1.0 - v / max(1, n)), v))
     # V-06
-    v = 0
-    for c in present:
-        if (c.primary_key or c.unique) and asked("uniqueness"):
-            v += int(unique_violations(df, [c.name]).first()["violations"])
-    results.append((0.0 if v > 0 else 1.0, v))
+    results.append((0.0 if repeats > 0 else 1.0, repeats))
     # V-07
     v = sum(int(row[k]) for k in temp_keys)
     results.append((max(0.0, 1.0 - v / max(1, n)), v))
@@ -221,7 +243,7 @@ def audit_parts(df: DataFrame, spec: TableSpec | None, rules: list[Rule] = (), d
     v = sum(int(row[k]) for k in phys_keys)
     results.append((max(0.0, 1.0 - v / max(1, n)), v))
     # V-09
-    results.append((max(0.0, 1.0 - stat_viol / max(1, len(numeric))), stat_viol))
+    results.append((max(0.0, 1.0 - stat_viol / max(1, len(m.numeric))), stat_viol))
     return results
 
 
@@ -256,12 +278,16 @@ def audit(df: DataFrame, spec: TableSpec | None = None, rules: list[Rule] = (),
         raise ValueError(f"unknown checks: {sorted(unknown)}")
     parts = audit_parts(df, spec, rules, dag, only=only, **kw)
     parts.append(correlation_check(df, list(correlations)) if only is None or CHECKS[9][0] in only else (1.0, 0))
+    return df.sparkSession.createDataFrame(report_rows(parts, only), REPORT_SCHEMA)
+
+
+def report_rows(parts, only: set[str] | None = None) -> list[tuple]:
     rows = []
     for i, ((name, w, sev), (score, v)) in enumerate(zip(CHECKS, parts)):
         if only is not None and name not in only:
             continue
         rows.append((i + 1, name, w, float(score), int(v), sev if v > 0 else "low", v == 0))
-    return df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
+    return rows
 
 
 def audit_score(report: DataFrame) -> DataFrame:

@@ -130,7 +130,12 @@ def enforce(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame] | Non
 
     ``tables`` holds the parents of referential rules.
     """
-    out, judged = with_violations(df, rules, tables)
+    return apply_actions(*with_violations(df, rules, tables))
+
+
+def apply_actions(out: DataFrame, judged: list, fills_from: DataFrame | None = None) -> DataFrame:
+    """The actions of rules already judged (``with_violations``); imputed values come from ``fills_from`` (default: the rows)."""
+    fills_from = out if fills_from is None else fills_from
     rewrites, flags, rejects = {}, [], []
     for r, name in judged:
         c = r.columns[0]
@@ -146,8 +151,8 @@ def enforce(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame] | Non
             rejects.append(F.col(name))
         elif r.action == "impute":
             bad = [n for q, n in judged if q.action == "impute" and q.columns[0] == c]
-            fill = _impute_value(out.where(~F.greatest(*[F.col(n) for n in bad], F.lit(False))), c)
-            rewrites[c] = F.when(F.col(name), F.lit(fill).cast(df.schema[c].dataType)).otherwise(cur)
+            fill = _impute_value(fills_from.where(~F.greatest(*[F.col(n) for n in bad], F.lit(False))), c)
+            rewrites[c] = F.when(F.col(name), F.lit(fill).cast(out.schema[c].dataType)).otherwise(cur)
         elif r.action == "flag":
             flags.append(F.when(F.col(name), F.lit(r.name)))
     if rejects:

@@ -206,12 +206,13 @@ _PROFILE = DirtyProfile(null_rate=0.05, typo_rate=0.1, outlier_rate=0.02, date_f
                         duplicate_rate=0.02, near_duplicate_rate=0.0)
 
 
-def _dirty_sql():
+def dirty_orders_ctes(src="orders"):
+    """CTEs s1 to s4 and u: the dirty profile over a table with the columns of orders."""
     key = "o_orderkey"
     nul = lambda c: f"(CASE WHEN {_u('null:' + c, key)} >= 0.05 THEN {c} END)"
     step1 = (f"SELECT o_orderkey, {nul('o_custkey')} AS o_custkey, {nul('o_orderstatus')} AS o_orderstatus, "
              f"{nul('o_totalprice')} AS o_totalprice, {nul('o_orderdate')} AS o_orderdate, "
-             f"{nul('o_orderpriority')} AS o_orderpriority FROM orders")
+             f"{nul('o_orderpriority')} AS o_orderpriority FROM {src}")
     step2 = f"SELECT * REPLACE ({_date_mix_sql('o_orderdate', key, 0.12)} AS o_orderdate) FROM s1"
 
     def outl(c, cast):
@@ -223,11 +224,15 @@ def _dirty_sql():
              f"{outl('o_totalprice', 'DOUBLE')} AS o_totalprice, o_orderdate, o_orderpriority FROM s2, mom")
     step4 = (f"SELECT o_orderkey, o_custkey, {_typos_sql('o_orderstatus', key, 0.1)} AS o_orderstatus, o_totalprice, "
              f"o_orderdate, {_typos_sql('o_orderpriority', key, 0.1)} AS o_orderpriority FROM s3")
-    return f"""
-WITH s1 AS ({step1}), s2 AS ({step2}), mom AS ({mom}), s3 AS ({step3}), s4 AS ({step4}),
+    return f"""s1 AS ({step1}), s2 AS ({step2}), mom AS ({mom}), s3 AS ({step3}), s4 AS ({step4}),
 ix AS ({_dense_sql('s4', key)}), d AS ({_draws_sql('s4', 'dup', 0.02)}),
 u AS (SELECT * FROM s4 UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
-      FROM ix JOIN d USING (_idx))
+      FROM ix JOIN d USING (_idx))"""
+
+
+def _dirty_sql():
+    return f"""
+WITH {dirty_orders_ctes()}
 SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderdate, o_orderpriority FROM u"""
 
 

@@ -31,6 +31,7 @@ def load_all() -> None:
     from weft.plans import (  # noqa: F401
         cat_audit,
         cat_constraints,
+        cat_delivery,
         cat_dirty,
         cat_generate,
         cat_io,
