@@ -15,8 +15,6 @@ from weft.functions import pii as P
 from weft.plans.spec import cols_of
 from weft.session import spread
 
-BROADCAST_GROUPS = 1_000_000
-
 # fixed values: column names never used as default quasi-identifiers
 ID_NAMES = ("patient_id", "id", "uuid")
 
@@ -92,17 +90,15 @@ def privacy_score(k: int | F.Column, l_div, pii_cells, total_cells, k_mode: str
     return F.least(F.lit(100.0), k_part + l_part + pii_part)
 
 
-def _small_groups(df: DataFrame, q: list[str], k: int):
-    small = group_sizes(df, q).where(F.col("_size") < F.lit(k)).persist()
-    n = small.count()
-    return (F.broadcast(small) if n <= BROADCAST_GROUPS else small), n
+def _small_groups(df: DataFrame, q: list[str], k: int) -> DataFrame:
+    """Groups of fewer than ``k`` rows; Spark broadcasts them if their bytes stay under its threshold."""
+    return group_sizes(df, q).where(F.col("_size") < F.lit(k))
 
 
 def k_violators(df: DataFrame, quasi_ids: list[str], k: int) -> DataFrame:
     """Rows whose quasi-identifier group has fewer than k rows, with the group size."""
     q = [c for c in quasi_ids if c in df.columns]
-    small, _ = _small_groups(df, q, k)
-    s = small.select(*[F.col(c).alias(f"_q_{c}") for c in q], "_size")
+    s = _small_groups(df, q, k).select(*[F.col(c).alias(f"_q_{c}") for c in q], "_size")
     cond = [df[c].eqNullSafe(s[f"_q_{c}"]) for c in q]
     return df.join(s, cond, "inner").drop(*[f"_q_{c}" for c in q]).withColumnRenamed("_size", "group_size")
 
@@ -110,8 +106,7 @@ def k_violators(df: DataFrame, quasi_ids: list[str], k: int) -> DataFrame:
 def k_suppress(df: DataFrame, quasi_ids: list[str], k: int) -> DataFrame:
     """Quasi-identifiers set to null on rows of groups smaller than k (other columns kept)."""
     q = [c for c in quasi_ids if c in df.columns]
-    small, _ = _small_groups(df, q, k)
-    s = small.select(*[F.col(c).alias(f"_q_{c}") for c in q], F.lit(True).alias("_risk"))
+    s = _small_groups(df, q, k).select(*[F.col(c).alias(f"_q_{c}") for c in q], F.lit(True).alias("_risk"))
     cond = [df[c].eqNullSafe(s[f"_q_{c}"]) for c in q]
     j = df.join(s, cond, "left")
     out = j.withColumns({c: F.when(F.col("_risk"), F.lit(None).cast(df.schema[c].dataType)).otherwise(F.col(c))

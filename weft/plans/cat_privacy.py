@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import pii as P
+from weft.operators import generalise as G
 from weft.operators import privacy as PV
 from weft.plans.registry import query
 from weft.session import table
@@ -330,3 +331,32 @@ FROM customer c JOIN g ON c.c_nationkey IS NOT DISTINCT FROM g.c_nationkey
 def q_k_suppress(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     return PV.k_suppress(c, ["c_nationkey", "c_mktsegment"], 10)
+
+
+# ------------------------------------------------------------------ P-16 generalisation
+
+_MONDRIAN = """
+WITH RECURSIVE c AS (SELECT c_custkey, c_mktsegment, c_nationkey, c_acctbal, count(*) OVER (PARTITION BY c_mktsegment) AS seg_n FROM customer),
+base AS (SELECT c_custkey, CASE WHEN seg_n >= 25 THEN c_mktsegment END AS seg, CAST(c_nationkey AS DOUBLE) AS a, c_acctbal AS b FROM c),
+g AS (SELECT max(a) - min(a) AS ga, max(b) - min(b) AS gb FROM base),
+r AS (
+  SELECT c_custkey, seg, a, b, coalesce('v' || seg, '*') || '/' AS pid, false AS done FROM base
+  UNION ALL
+  SELECT c_custkey, seg, a, b, CASE pick WHEN 1 THEN pid || (CASE WHEN a <= ma THEN '0' ELSE '1' END) WHEN 2 THEN pid || (CASE WHEN b <= mb THEN '0' ELSE '1' END) ELSE pid END,
+         pick = 0
+  FROM (SELECT *, CASE WHEN oka AND (NOT okb OR wa / ga >= wb / gb) THEN 1 WHEN okb THEN 2 ELSE 0 END AS pick
+        FROM (SELECT *, la >= 25 AND n - la >= 25 AS oka, lb >= 25 AND n - lb >= 25 AS okb
+              FROM (SELECT *, count(*) FILTER (WHERE a <= ma) OVER (PARTITION BY pid) AS la, count(*) FILTER (WHERE b <= mb) OVER (PARTITION BY pid) AS lb
+                    FROM (SELECT *, count(*) OVER (PARTITION BY pid) AS n, quantile_disc(a, 0.5) OVER (PARTITION BY pid) AS ma, quantile_disc(b, 0.5) OVER (PARTITION BY pid) AS mb,
+                                 max(a) OVER (PARTITION BY pid) - min(a) OVER (PARTITION BY pid) AS wa, max(b) OVER (PARTITION BY pid) - min(b) OVER (PARTITION BY pid) AS wb
+                          FROM r WHERE NOT done))) , g))
+SELECT c_custkey, seg AS c_mktsegment, CAST(min(a) OVER (PARTITION BY pid) AS INTEGER) AS c_nationkey_low, CAST(max(a) OVER (PARTITION BY pid) AS INTEGER) AS c_nationkey_high,
+       min(b) OVER (PARTITION BY pid) AS c_acctbal_low, max(b) OVER (PARTITION BY pid) AS c_acctbal_high, CAST(count(*) OVER (PARTITION BY pid) AS BIGINT) AS group_size
+FROM r WHERE done"""
+
+
+@query("k_generalise", _MONDRIAN)
+def q_k_generalise(spark, sf):
+    """Nation and balance of customers as ranges, by segment, so that every group has 25 rows or more."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    return G.generalise(c, ["c_mktsegment", "c_nationkey", "c_acctbal"], 25).drop("group_id", "n_suppressed")
