@@ -130,36 +130,21 @@ def best_above(q, x, threshold: float, lead: int, own=None):
     return hit, who[hit], best[hit], met / max(1, len(q) * len(x))
 
 
-def nearest_vector(queries: DataFrame, store: DataFrame, q_id: str, s_id: str, vec_col: str,
-                   threshold: float = 0.92, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For each query the most similar stored vector with cosine > ``threshold`` (ties: smaller id).
+def unit_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, u): vectors of length 1; null and zero vectors and null ids are left out."""
+    n = _norm(F.col(vec_col))
+    return df.where(F.col(id_col).isNotNull() & (n > 0)).select(
+        F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double") / n).alias("u"))
 
-    Queries with no such vector are absent. Returns (``q_id``, ``match_id``, ``similarity``). Ids must be
-    integers; vectors must have one length; null and zero vectors match nothing.
 
-    The store is read once and never copied: a task holds one block of ``block_rows`` stored vectors and
-    streams all queries past it. All vectors are rotated to the store's principal axes, where the first
-    quarter of the coordinates and the norms of the rest bound a cosine from above; only pairs
-    whose bound passes the threshold are multiplied out.
+def match_blocks(stored: DataFrame, asking: DataFrame, parts: int, axes, lead: int, threshold: float, exclude_self: bool, q_id: str) -> DataFrame:
+    """(q_id, match_id, similarity): the best stored row above ``threshold`` in each block that a query is sent to.
+
+    Both sides have (b, side, id, u), side 0 the stored rows. A task holds the stored rows of one block and streams its queries past them.
     """
     import numpy as np
     import pyarrow as pa
 
-    def prep(df, id_col):
-        n = _norm(F.col(vec_col))
-        return df.where(F.col(id_col).isNotNull() & (n > 0)).select(
-            F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double") / n).alias("u"))
-
-    s, q = prep(store, s_id), prep(queries, q_id)
-    dim, rows = s.agg(F.max(F.size("u")), F.count(F.lit(1))).first()
-    out = f"{q_id} long, match_id long, similarity double"
-    if not rows:
-        return queries.sparkSession.createDataFrame([], out)
-    axes, lead = principal_axes(s, "u", dim), max(1, dim // 4)
-    blocks = -(-rows // block_rows)
-    stored = s.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.lit(0).alias("side"), "id", "u")
-    asking = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(1).alias("side"), "id", "u")
-    parts = max(blocks, int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = stored.unionByName(asking).repartition(parts, "b").sortWithinPartitions("b", "side", "id")
 
     def run(batches):
@@ -188,6 +173,31 @@ def nearest_vector(queries: DataFrame, store: DataFrame, q_id: str, s_id: str, v
                 row, who, sim, _ = best_above(u[lo:hi] @ axes, x, threshold, lead, own)
                 yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi][row]), pa.array(names[who]), pa.array(sim)], names=[q_id, "match_id", "similarity"])
 
-    found = dealt.mapInArrow(run, out)
+    return dealt.mapInArrow(run, f"{q_id} long, match_id long, similarity double")
+
+
+def nearest_vector(queries: DataFrame, store: DataFrame, q_id: str, s_id: str, vec_col: str,
+                   threshold: float = 0.92, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """For each query the most similar stored vector with cosine > ``threshold`` (ties: smaller id).
+
+    Queries with no such vector are absent. Returns (``q_id``, ``match_id``, ``similarity``). Ids must be
+    integers; vectors must have one length; null and zero vectors match nothing.
+
+    The store is read once and never copied: a task holds one block of ``block_rows`` stored vectors and
+    streams all queries past it. All vectors are rotated to the store's principal axes, where the first
+    quarter of the coordinates and the norms of the rest bound a cosine from above; only pairs
+    whose bound passes the threshold are multiplied out.
+    """
+    s, q = unit_vectors(store, s_id, vec_col), unit_vectors(queries, q_id, vec_col)
+    dim, rows = s.agg(F.max(F.size("u")), F.count(F.lit(1))).first()
+    out = f"{q_id} long, match_id long, similarity double"
+    if not rows:
+        return queries.sparkSession.createDataFrame([], out)
+    axes, lead = principal_axes(s, "u", dim), max(1, dim // 4)
+    blocks = -(-rows // block_rows)
+    stored = s.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.lit(0).alias("side"), "id", "u")
+    asking = q.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.lit(1).alias("side"), "id", "u")
+    parts = max(blocks, int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = match_blocks(stored, asking, parts, axes, lead, threshold, exclude_self, q_id)
     best = found.groupBy(q_id).agg(F.max(F.struct("similarity", (-F.col("match_id")).alias("neg"))).alias("_b"))
     return best.select(q_id, (-F.col("_b.neg")).alias("match_id"), F.col("_b.similarity").alias("similarity"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from weft.operators import constraints as C
 from weft.operators import store as ST
-from weft.plans.registry import query
+from weft.operators import vector_index as VI
+from weft.plans.registry import ORACLES, query
 from weft.plans.spec import Rule
 from weft.session import table
 from weft.sources import files as FS
@@ -137,3 +138,28 @@ def q_vector_store_add(spark, sf):
     ST.add_vectors(path, v.where("vec_id % 2 = 0"))
     ST.add_vectors(path, v.where("vec_id % 2 <> 0"))
     return spark.read.parquet(path).select("vec_id", "label", F.size("embedding").alias("dim"))
+
+
+def _indexed(spark, sf):
+    """An index over a part of the vectors, grown by two appends."""
+    v = table(spark, sf, "embeddings")
+    path = FS.scratch_path(spark, "vector-index")
+    VI.build(v.where("vec_id % 3 = 0"), path, "vec_id", "embedding")
+    VI.add(v.where("vec_id % 3 = 1"), path, "vec_id", "embedding")
+    VI.add(v.where("vec_id % 3 = 2"), path, "vec_id", "embedding")
+    return v, path
+
+
+@query("vector_index_lookup", _nearest_sql(0.3))
+def q_vector_index_lookup(spark, sf):
+    """The nearest other vector over cosine 0.3 from a stored index that was built, then appended to twice."""
+    v, path = _indexed(spark, sf)
+    return VI.lookup(v, path, "vec_id", "embedding", 0.3, exclude_self=True).select("vec_id", "match_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("vector_index_planted", ORACLES["nearest_vector_planted"])
+def q_vector_index_planted(spark, sf):
+    """Shifted copies of the stored vectors find their originals in the index at cosine 0.92."""
+    v, path = _indexed(spark, sf)
+    q = v.select((F.col("vec_id") + 1000000).alias("id"), F.transform("embedding", lambda x, i: x.cast("double") + 0.02 * (i % 3)).alias("embedding"))
+    return VI.lookup(q, path, "id", "embedding", 0.92).select("id", "match_id", F.round("similarity", 6).alias("similarity"))
