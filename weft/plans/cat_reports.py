@@ -106,12 +106,13 @@ FROM (SELECT v, sum(na) na, sum(nb) nb FROM (SELECT {col} v, 1 na, 0 nb FROM {a}
 
 
 _OF = "(SELECT * FROM orders WHERE o_orderstatus = 'F')"
-_OO = "(SELECT * FROM orders WHERE o_orderstatus = 'O')"
+_OO = "(SELECT * FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F')"
 
 
 def _orders_by_status(spark, sf):
     o = table(spark, sf, "orders")
-    return o.where(F.col("o_orderstatus") == "F"), o.where(F.col("o_orderstatus") == "O")
+    done = F.col("o_orderstatus").eqNullSafe("F")
+    return o.where(done), o.where(~done)
 
 
 @query("similarity_ks", _ks_sql(_OF, _OO, "o_totalprice"))

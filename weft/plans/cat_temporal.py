@@ -7,12 +7,15 @@ import math
 
 from pyspark.sql import functions as F
 
+from weft.operators import correlate as CR
 from weft.operators import scenario as X
+from weft.operators import series as SR
 from weft.operators import temporal as TP
+from weft.operators.rank import ordinal
 from weft.plans.registry import query
 from weft.plans.spec import Scenario, SpecialEvent, TemporalPatterns
 from weft.plans.sqlkit import cdf_index_sql, cumulative, normal_sql, u_sql
-from weft.session import table
+from weft.session import cut_lineage, table
 
 SEED = 42
 DOW = [1, 1, 1, 1, 1, 0.5, 0.3]
@@ -121,6 +124,33 @@ def q_autocorrelation(spark, sf):
     return TP.autocorrelation(e, 0.8, "ts", ["event_id"], SEED, columns=["value", "user_id"])
 
 
+_AR = 0.7
+
+
+@query("ar1_series", f"""
+WITH RECURSIVE t AS (SELECT event_id, user_id, {normal_sql(SEED, 'ar1:x', ['event_id'])} AS z,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts, {_H_EV}, event_id) AS k FROM events WHERE ts IS NOT NULL),
+r AS (SELECT event_id, user_id, k, z AS x FROM t WHERE k = 1
+      UNION ALL SELECT t.event_id, t.user_id, t.k, {_AR} * r.x + {math.sqrt(1 - _AR * _AR)!r} * t.z FROM r JOIN t ON t.user_id = r.user_id AND t.k = r.k + 1)
+SELECT event_id, user_id, round(x, 6) AS x FROM r""")
+def q_ar1_series(spark, sf):
+    """An autoregressive series over each user's events."""
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id")
+    return SR.ar1_series(e, _AR, "ts", ["event_id"], SEED, ["user_id"]).select("event_id", "user_id", F.round("x", 6).alias("x"))
+
+
+@query("autoregress", """
+SELECT round(value, 6) AS value, CAST(count(*) AS BIGINT) AS n, true AS correlated FROM events GROUP BY 1""")
+def q_autoregress(spark, sf):
+    """Event values re-ordered along an AR(1) series: the multiset is kept, and the lag-1 rank correlation comes near rho."""
+    e = table(spark, sf, "events").select("event_id", "ts", "value")
+    out = cut_lineage(SR.autoregress(e, _AR, "ts", ["event_id"], SEED, ["value"]))
+    place = ordinal(out, "ts", ["event_id"], "i")
+    both = place.select("i", "event_id", "value").join(place.select((F.col("i") + 1).alias("i"), F.col("value").alias("before")), "i")
+    rho = CR.spearman_pairs(both, [("value", "before")]).first()["rho"]
+    return out.groupBy(F.round("value", 6).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("correlated", F.lit(bool(abs(rho - _AR) < 0.1)))
+
+
 # ------------------------------------------------------------------ scenarios
 
 
