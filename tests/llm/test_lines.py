@@ -8,7 +8,7 @@ from weft.llm.queries import ORACLES, QUERIES
 SF_SMALL = "/root/testdata/sf0.001"
 
 
-def brute(pairs, run):
+def brute(pairs, run, min_words=0):
     """text -> kept text per (id, text), first places by (id, text order as given by the operator's hash: unused here)."""
     seen, gone = {}, defaultdict(set)
     for d, t in pairs:
@@ -17,6 +17,10 @@ def brute(pairs, run):
             w = tuple(ls[i: i + run])
             if seen.setdefault(w, (d, i)) != (d, i):
                 gone[d] |= set(range(i, i + run))
+        for i in [i for i in gone[d] if i - 1 not in gone[d]]:
+            end = next(j for j in range(i, len(ls) + 1) if j not in gone[d])
+            if sum(len(x.encode().split()) for x in ls[i:end]) < min_words:
+                gone[d] -= set(range(i, end))
     return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in pairs}
 
 
@@ -32,11 +36,11 @@ def test_other_lengths_against_brute_force(spark):
     import random
 
     rnd = random.Random(3)
-    pairs = [(d, "\n".join(rnd.choice("abc") for _ in range(rnd.randint(1, 25)))) for d in range(60)]
+    pairs = [(d, "\n".join(rnd.choice(["a", "b", "c", "", "a b\x0b c", " "]) for _ in range(rnd.randint(1, 25)))) for d in range(60)]
     df = spark.createDataFrame(pairs, "doc_id long, text string")
-    for gram, window in ((1, 1), (1, 3), (2, 3), (3, 2)):
-        got = dict(map(tuple, line_dedup(df, gram=gram, window=window).select("doc_id", "text").collect()))
-        assert got == brute(pairs, gram + window - 1), (gram, window)
+    for gram, window, words in ((1, 1, 0), (1, 3, 0), (2, 3, 0), (3, 2, 0), (1, 1, 5), (2, 2, 9)):
+        got = dict(map(tuple, line_dedup(df, gram=gram, window=window, min_words=words).select("doc_id", "text").collect()))
+        assert got == brute(pairs, gram + window - 1, words), (gram, window, words)
 
 
 def test_messy_rows(spark, messy, no_docs, clashing):
@@ -54,5 +58,5 @@ def test_messy_rows(spark, messy, no_docs, clashing):
 
 
 def test_native_plan(spark, messy):
-    plan = line_dedup(messy)._jdf.queryExecution().toString()
+    plan = line_dedup(messy, gram=1, window=1, min_words=5)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan

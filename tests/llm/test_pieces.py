@@ -54,3 +54,17 @@ def test_unigram_weights_take_the_cheapest_path():
     assert names("ab") == ["▁a", "b"] or names("ab") == ["▁", "ab"]  # both cost 6
     assert names("aab") == ["▁a", "ab"]
     assert names("a?") == ["▁a", "<unk>"]
+
+
+def test_runs_and_joined_pieces_equal_the_library():
+    """Runs of every character that some piece repeats, and pieces joined at random."""
+    import random
+
+    lib, own = library(), PieceTransducer(open(tokenizer_path(MODEL), "rb").read())
+    again = sorted({p[0] for p in own.ids if len(set(p)) == 1 and len(p) == 2})
+    texts = [form.format(c * n) for c in (x.replace("\u2581", " ") for x in again) for n in (*range(1, 41), 64, 100, 199, 200) for form in ("{}", "a{}b", "{0}\n{0}")]
+    rnd = random.Random(1)
+    pieces = [p.replace("\u2581", " ") for p in own.ids]
+    texts += ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 8))) for _ in range(8000)]
+    texts += ["".join(rnd.choice([" ", " " * rnd.randint(1, 30), rnd.choice(pieces)]) for _ in range(rnd.randint(1, 10))) for _ in range(4000)]
+    assert [t for t in texts if np.frombuffer(own.encode(t), "<u4").tolist() != lib.encode(t)] == []

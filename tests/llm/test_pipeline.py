@@ -25,7 +25,7 @@ def test_stages_against_brute_force(spark):
     pairs = [sorted(tuple(r) for r in df.select("doc_id", "text").collect()) for df in kept[:-1]]
     good = {d for d, ok in sql_rows(docs, ["doc_id", "kept"]) if ok}
     assert pairs[1] == [p for p in pairs[0] if p[0] in good] and 0 < len(pairs[1]) < len(pairs[0])
-    assert dict(pairs[2]) == lines(pairs[1], 3)
+    assert dict(pairs[2]) == lines(pairs[1], 1, 5)
     assert pairs[3] == [p for p in pairs[2] if p[0] in {d for d, _, c in simhash(pairs[2]) if c == d}] and len(pairs[3]) < len(pairs[2])
     for (d, b, gone), (e, text) in zip(cover(pairs[3]), pairs[4]):
         every = bytearray()

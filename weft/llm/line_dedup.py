@@ -30,6 +30,10 @@ def _minima(g: Column, window: int) -> Column:
                                         lambda j: j - 1 + F.array_position(F.slice(g, j, window), F.array_min(F.slice(g, j, window))).cast("int")))
 
 
+def _n_words(lines: Column) -> Column:
+    return F.size(F.filter(F.split(F.array_join(lines, " "), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+
+
 def repeated_windows(docs: DataFrame, gram: int, window: int) -> DataFrame:
     """(id, tie, at): starts (from 1) of windows of gram + window - 1 lines that also start earlier in (id, tie, line) order."""
     run = gram + window - 1
@@ -49,13 +53,14 @@ def repeated_windows(docs: DataFrame, gram: int, window: int) -> DataFrame:
     return wins.join(earliest, "lines").where("spot > low").select("spot.id", "spot.tie", "spot.at")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram: int = 2, window: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram: int = 2, window: int = 2, min_words: int = 0) -> DataFrame:
     """``docs`` with its text rewritten and three counts added: n_lines, n_removed, n_runs (deleted runs).
 
     A line goes if it lies in a run of at least ``gram + window - 1`` lines that, line by line equal, also
     starts at an earlier place; places are ordered by id (null ids last), a hash of the text, and line.
-    Runs within one text count too. Lines are what stands between ``\\n``; the kept ones are joined by
-    ``\\n``, and a text whose lines all go becomes empty. Null texts stay null (0 lines). Rows with equal
+    Runs within one text count too. Windows that touch make one run; a run of fewer than ``min_words`` words
+    (what stands between ASCII white space, over all its lines) stays. Lines are what stands between ``\\n``; the kept ones are joined by
+    ``\\n``, and a text whose lines all go becomes empty. Very long texts are read whole. Null texts stay null (0 lines). Rows with equal
     id and text are one place: all of them keep the same lines. Ties have no say: equal runs are told
     apart by place only. Columns named n_lines, n_removed or n_runs are replaced. Empty tables stay empty.
 
@@ -75,12 +80,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram
     # windows that touch make one run: where each begins, and where the lines after it resume
     begins = F.filter(at, lambda x, i: (i == 0) | (x > F.get(at, i - 1) + run))
     resumes = F.transform(F.filter(at, lambda x, i: (i == n - 1) | (F.get(at, i + 1) > x + run)), lambda x: x + run)
-    out = out.withColumns({"starts": F.concat(F.array(F.lit(1)), resumes), "stops": F.concat(begins, F.array(F.size(lines) + 1))})
+    cut = F.arrays_zip(begins.alias("begin"), resumes.alias("resume"))
+    if min_words:
+        cut = F.filter(cut, lambda r: _n_words(F.slice(lines, r["begin"], r["resume"] - r["begin"])) >= min_words)
+    out = out.withColumn("cut", F.when(F.size(cut) > 0, cut))
+    out = out.withColumns({"starts": F.concat(F.array(F.lit(1)), F.transform("cut", lambda r: r["resume"])),
+                           "stops": F.concat(F.transform("cut", lambda r: r["begin"]), F.array(F.size(lines) + 1))})
     kept = F.flatten(F.transform(F.arrays_zip("starts", "stops"), lambda s: F.slice(lines, s["starts"], F.greatest(s["stops"] - s["starts"], F.lit(0)))))
-    hit = at.isNotNull()
+    hit = F.col("cut").isNotNull()
     n_lines = F.when(body.isNotNull(), F.size(lines)).otherwise(0).cast("long")
     removed = F.when(hit, F.aggregate(F.arrays_zip("starts", "stops"), F.size(lines), lambda a, s: a - (s["stops"] - s["starts"]))).otherwise(0).cast("long")
-    runs = F.when(hit, F.size(begins)).otherwise(0).cast("long")
+    runs = F.when(hit, F.size("cut")).otherwise(0).cast("long")
     new = F.when(hit, F.array_join(kept, "\n")).otherwise(body)
     return out.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in own.columns],
                       n_lines.alias("n_lines"), removed.alias("n_removed"), runs.alias("n_runs"))

@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BASE_N = 3
-#: Largest allowed share (per cent) of word characters inside later copies of an n-gram, by n-gram length.
-MAX_DUP_PCT = {5: 30, 7: 25, 10: 20}
+#: Largest allowed share (per cent) of word characters inside later copies of an n-gram, by n-gram length (published values).
+MAX_DUP_PCT = {5: 15, 7: 13, 10: 10}
 #: Largest allowed share (per cent) of word characters inside later copies of a line.
-MAX_DUP_LINE_PCT = 30
+MAX_DUP_LINE_PCT = 20
 #: Largest allowed share (per cent) of symbols in the word characters.
 MAX_SYMBOL_PCT = 10
 MIN_WORDS = 50
@@ -121,7 +121,9 @@ def quality_measures(docs: DataFrame, text: str = "text", keep: list[str] | None
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dup_line_chars, dup_chars_<n>,
     base_failed, kept. Null and empty texts have no words, so base_failed. Columns of ``docs`` with one
-    of these names are replaced. One output row per input row, whatever repeats.
+    of these names are replaced. One output row per input row: repeated rows and ties are each measured on
+    their own. Very long texts are measured whole, a few megabytes of texts at a time. An empty table gives
+    an empty result.
     """
     added = [T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
     names = {f.name for f in added}

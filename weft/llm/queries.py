@@ -54,7 +54,7 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup", LINES_SQL)
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), gram=1, window=1, min_words=5)
     return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 

@@ -16,7 +16,7 @@ fit AS (SELECT rn, arg_max(r_host || r_path, length(r_host || r_path)) AS rule,
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN fit USING (rn)
 """
 
-_DUP_LEVELS = {5: 30, 7: 25, 10: 20}
+_DUP_LEVELS = {5: 15, 7: 13, 10: 10}
 
 
 def _quality_sql() -> str:
@@ -48,7 +48,7 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
   CAST(coalesce(ld.chars, 0) AS BIGINT) AS dup_line_chars, {', '.join(cols)}
   FROM d LEFT JOIN ld ON ld.rn = d.rn {joins})
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * dup_line_chars <= 30 * word_chars
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * dup_line_chars <= 20 * word_chars
   AND 100 * n_symbols <= 10 * word_chars AND {' AND '.join(bad)} AS kept FROM m
 """
 
@@ -64,13 +64,13 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-LINES_SQL = """
+LINES_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
-w AS (SELECT doc_id, i, line AS a, lead(line, 1) OVER p AS b, lead(line, 2) OVER p AS c, lead(i, 2) OVER p AS e
-      FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
-n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS nth FROM w WHERE e IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM n WHERE nth > 1),
+n AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS nth FROM l),
+o AS (SELECT doc_id, i, line, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n WHERE nth > 1),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) OVER (PARTITION BY doc_id, run) AS words
+      FROM o) WHERE words >= 5),
 k AS (SELECT l.doc_id, l.i, l.line, g.i IS NOT NULL AS gone,
              coalesce(lag(g.i IS NOT NULL) OVER (PARTITION BY l.doc_id ORDER BY l.i), false) AS before
       FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i),
