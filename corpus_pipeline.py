@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of three or more lines that stand earlier in the corpus are cut out; n_chars follows the text."""
-    return _counted(line_dedup(docs.select(*COLUMNS)))
+    """Lines that stand earlier in the corpus are cut out, where they make runs of five words or more; n_chars follows the text."""
+    return _counted(line_dedup(docs.select(*COLUMNS), gram=1, window=1, min_words=5))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
