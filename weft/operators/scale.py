@@ -277,12 +277,55 @@ def scale_copula(df: DataFrame, cols: list[str], key_cols: list[str], target: in
     return spine.select("_row", *[e.alias(k) for k, e in sel.items()])
 
 
+def nearest_correlation(target: np.ndarray, rounds: int = 500, least: float = 1e-8) -> np.ndarray:
+    """The correlation matrix nearest to ``target`` (Frobenius) with eigenvalues of at least ``least``: alternating projections
+    onto matrices without negative eigenvalues and matrices with a diagonal of ones, corrected after Dykstra.
+
+    A target that is one already comes back as it is.
+    """
+    a = np.asarray(target, dtype=float)
+    if not np.allclose(a, a.T) or not np.allclose(np.diag(a), 1) or np.abs(a).max() > 1:
+        raise ValueError("a correlation target is symmetric, with ones on its diagonal and values from -1 to 1")
+    if np.linalg.eigvalsh(a).min() >= least:
+        return a
+    y, fix = a.copy(), np.zeros_like(a)
+    for _ in range(rounds):
+        r = y - fix
+        w, v = np.linalg.eigh(r)
+        x = (v * np.maximum(w, least)) @ v.T
+        fix = x - r
+        new = x.copy()
+        np.fill_diagonal(new, 1.0)
+        done = np.linalg.norm(new - y) <= 1e-12 * np.linalg.norm(new)
+        y = new
+        if done:
+            break
+    w, v = np.linalg.eigh(y)
+    x = (v * np.maximum(w, least)) @ v.T
+    d = np.sqrt(np.diag(x))
+    return x / np.outer(d, d)
+
+
+def iman_conover_report(df: DataFrame, cols: list[str], target: np.ndarray, key_cols: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+    """(``iman_conover``'s rows, one row per pair: col_a, col_b, target, used, achieved): targets that no table can have are
+    replaced by the nearest correlation matrix, and the report says by how much."""
+    from weft.operators.correlate import spearman_pairs
+
+    target, used = np.asarray(target, dtype=float), nearest_correlation(target)
+    out = cut_lineage(iman_conover(df, cols, target, key_cols, seed))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    asked = df.sparkSession.createDataFrame([(cols[i], cols[j], float(target[i, j]), float(used[i, j])) for i, j in pairs], "col_a string, col_b string, target double, used double")
+    rho = spearman_pairs(out, [(cols[i], cols[j]) for i, j in pairs]).select("col_a", "col_b", F.col("rho").alias("achieved"))
+    return out, asked.join(rho, ["col_a", "col_b"])
+
+
 def iman_conover(df: DataFrame, cols: list[str], target: np.ndarray, key_cols: list[str], seed: int,
                  n_buckets: int | None = None) -> DataFrame:
     """Re-order each column's own values so that the rank correlation approaches ``target``:
     correlated normal scores per row (Cholesky of the target), then each column receives its
-    sorted values in the order of its score.  Multisets of values are unchanged."""
-    chol = np.linalg.cholesky(np.asarray(target, dtype=float))
+    sorted values in the order of its score.  Multisets of values are unchanged.  A target that no
+    correlation matrix meets is replaced by the nearest one (``nearest_correlation``)."""
+    chol = np.linalg.cholesky(nearest_correlation(target))
     zs = [R.std_normal(seed, f"ic:{c}", key_cols) for c in cols]
     out = df
     # the scores depend on the key alone, so the columns are separate rank jobs joined back on the key

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.operators import cascade as CA
 from weft.operators import constraints as C
+from weft.operators import guard as GD
 from weft.plans.registry import query
-from weft.plans.spec import Rule
+from weft.plans.spec import Relationship, Rule
 from weft.session import table
 
 CUST_RULES = [
@@ -231,3 +233,60 @@ def q_rules_from_json(spark, sf):
     parsed = as_json.select(F.from_json("j", "name string, type string, columns array<string>, severity string")
                             .alias("r")).select("r.*")
     return C.rules_from_json_frame(parsed)
+
+
+# ------------------------------------------------------------------ rejects across tables
+
+
+@query("cascade_chain", """
+WITH c AS (SELECT c_custkey FROM customer WHERE NOT coalesce(c_acctbal < 0, false)),
+o AS (SELECT o_orderkey FROM orders WHERE o_custkey IS NULL OR o_custkey IN (SELECT c_custkey FROM c))
+SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 4) AS l_extendedprice FROM lineitem WHERE l_orderkey IS NULL OR l_orderkey IN (SELECT o_orderkey FROM o)""")
+def q_cascade_chain(spark, sf):
+    """Customers in debt are rejected, with their orders, and the lines of those."""
+    tables = {t: table(spark, sf, t) for t in ("customer", "orders", "lineitem")}
+    rules = {"customer": [Rule("solvent", "range", ("c_acctbal",), "reject", min_value=0.0)]}
+    out = CA.cascade_reject(tables, [Relationship("customer", "c_custkey", "orders", "o_custkey"), Relationship("orders", "o_orderkey", "lineitem", "l_orderkey")], rules)
+    return out["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_extendedprice", 4).alias("l_extendedprice"))
+
+
+@query("cascade_cycle", """
+WITH RECURSIVE c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey * 13 + 5) % (SELECT max(o_orderkey) FROM orders) END AS favourite FROM customer),
+refs AS (SELECT 'customer' AS src, o_custkey AS ref, 'orders' AS t, o_orderkey AS k FROM orders UNION ALL SELECT 'orders', favourite, 'customer', c_custkey FROM c),
+gone AS (SELECT 'customer' AS t, c_custkey AS k FROM c WHERE c_acctbal < -800 UNION SELECT refs.t, refs.k FROM gone g JOIN refs ON refs.src = g.t AND refs.ref = g.k)
+SELECT 'customer' AS kind, c_custkey AS k FROM c WHERE c_custkey NOT IN (SELECT k FROM gone WHERE t = 'customer')
+UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT k FROM gone WHERE t = 'orders')""")
+def q_cascade_cycle(spark, sf):
+    """Orders refer to customers, and some customers to an order: rejects run round the cycle until none is left to follow."""
+    o = table(spark, sf, "orders")
+    top = o.agg(F.max("o_orderkey")).first()[0]
+    c = table(spark, sf, "customer").withColumn("favourite", F.when(F.col("c_custkey") % 3 == 0, (F.col("c_custkey") * 13 + 5) % F.lit(top)))
+    rules = {"customer": [Rule("debt", "range", ("c_acctbal",), "reject", min_value=-800.0)]}
+    out = CA.cascade_reject({"customer": c, "orders": o}, [Relationship("customer", "c_custkey", "orders", "o_custkey"), Relationship("orders", "o_orderkey", "customer", "favourite")],
+                            rules, orphans=False)
+    return out["customer"].select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("k")).unionByName(out["orders"].select(F.lit("orders").alias("kind"), F.col("o_orderkey").alias("k")))
+
+
+# ------------------------------------------------------------------ rules from JSON, put to use
+
+RULE_ITEMS = """[
+ {"name": "price", "type": "Range", "columns": ["o_totalprice"], "severity": "HIGH", "action": "clip", "parameters": {"min": 2000, "max": 200000}},
+ {"name": "status", "type": "enum", "columns": ["o_orderstatus"], "action": "flag", "parameters": {"values": ["F", "O"]}},
+ {"name": "urgent_is_dear", "type": "odd", "columns": ["o_orderpriority"], "action": "flag", "parameters": {"expression": "o_orderpriority <> '1-URGENT' OR o_totalprice >= 50000"}},
+ {"name": "known_customer", "type": "expression", "columns": ["o_custkey"], "action": "reject", "parameters": {"expression": "o_custkey % 11 <> 4"}},
+ {"name": "spy", "type": "expression", "columns": ["o_custkey"], "parameters": {"expression": "o_custkey IN (SELECT c_custkey FROM customer)"}},
+ {"name": "dice", "type": "expression", "columns": ["o_custkey"], "parameters": {"expression": "rand() > 0.5"}},
+ {"name": "", "type": "range", "columns": ["o_totalprice"]}]"""
+
+
+@query("rules_from_json_enforced", """
+SELECT o_orderkey, round(least(greatest(o_totalprice, 2000.0), 200000.0), 4) AS o_totalprice,
+       array_to_string(list_filter([CASE WHEN o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O') THEN 'status' END,
+         CASE WHEN NOT (o_orderpriority <> '1-URGENT' OR o_totalprice >= 50000) THEN 'urgent_is_dear' END], lambda x: x IS NOT NULL), ',') AS broken
+FROM orders WHERE o_custkey % 11 <> 4""")
+def q_rules_from_json_enforced(spark, sf):
+    """Rule items from JSON: the guard refuses three of them, the others are enforced."""
+    o = table(spark, sf, "orders")
+    rules, _ = GD.rules_of_json(o, RULE_ITEMS)
+    out = C.enforce(o, rules)
+    return out.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"), F.array_join("_violations", ",").alias("broken"))

@@ -10,6 +10,7 @@ from weft.operators import dirty as D
 from weft.operators import privacy as PV
 from weft.operators import report as RP
 from weft.operators import scale as SC
+from weft.operators import sketch_profile as SP
 from weft.plans.cat_audit import CUST_DAG, CUST_SPEC, _audit_report_sql, dirty_customer
 from weft.plans.cat_dirty import _date_mix_sql, _dense_sql, _draws_sql
 from weft.plans.cat_privacy import _types_sql
@@ -17,6 +18,7 @@ from weft.plans.registry import query
 from weft.plans.spec import Rule
 from weft.plans.sqlkit import u_sql
 from weft.session import table
+from weft.sources import files as FS
 
 SEED = 42
 LI_PROFILE = [("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"),
@@ -302,3 +304,53 @@ SELECT check_id, check_name, CAST(weight AS DOUBLE) AS weight, round(score, 6) A
 def q_table_pipeline(spark, sf):
     _, report = pipeline(spark, sf)
     return report.withColumn("score", F.round("score", 6))
+
+
+# ------------------------------------------------------------------ Q-03, Q-07 profiles that add up
+
+
+def _sketched(spark, sf):
+    """A profile store of orders in three parts, each read once."""
+    o = table(spark, sf, "orders").select("o_totalprice", "o_custkey", "o_orderstatus")
+    path = FS.scratch_path(spark, "profiles")
+    year = table(spark, sf, "orders").select("o_totalprice", "o_custkey", "o_orderstatus", F.year("o_orderdate").alias("y"))
+    for part, rows in (("early", year.where("y < 1997")), ("middle", year.where("y between 1997 and 1998")), ("late", year.where("y > 1998 or y is null"))):
+        SP.add_part(rows.drop("y"), path, part)
+    return o, path
+
+
+def _sketch_sql(c, number):
+    n = f"CAST({c} AS DOUBLE)" if number else "NULL::DOUBLE"
+    return (f"SELECT '{c}' AS column_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({c}) AS BIGINT) AS n_null, round(min({n}), 4) AS min_value, round(max({n}), 4) AS max_value, "
+            f"round(avg({n}), 4) AS mean, round(stddev_samp({n}), 4) AS std, true AS distinct_close, true AS median_close FROM orders")
+
+
+@query("sketch_profile", " UNION ALL ".join(_sketch_sql(c, c != "o_orderstatus") for c in ("o_totalprice", "o_custkey", "o_orderstatus")))
+def q_sketch_profile(spark, sf):
+    """The profile of all orders merged from three stored parts: exact counts and moments; estimates checked against exact values."""
+    o, path = _sketched(spark, sf)
+    m = SP.merged(spark, path)
+    exact = o.agg(*[F.count_distinct(c).alias(c) for c in o.columns]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in o.columns])))
+    medians = m.select("column_name", "q50")
+    each = o.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in ("o_totalprice", "o_custkey")])))
+    rank = each.join(medians, "column_name").groupBy("column_name").agg(F.avg((F.col("v") <= F.col("q50")).cast("double")).alias("at"), F.avg((F.col("v") < F.col("q50")).cast("double")).alias("under"))
+    j = m.join(exact, "column_name").join(rank, "column_name", "left")
+    near = (F.col("under") <= 0.52) & (F.col("at") >= 0.48)
+    return j.select("column_name", "n_rows", "n_null", *[F.round(c, 4).alias(c) for c in ("min_value", "max_value", "mean", "std")],
+                    (F.abs(F.col("n_distinct") - F.col("n")) <= 0.04 * F.col("n") + 1).alias("distinct_close"), F.coalesce(near, F.lit(True)).alias("median_close"))
+
+
+@query("sketch_shift", """
+WITH y AS (SELECT o_totalprice, o_custkey, year(o_orderdate) AS y FROM orders), c AS (
+  SELECT 'o_custkey' AS column_name, (SELECT count(*) FROM (SELECT o_custkey FROM y WHERE y < 1997 INTERSECT SELECT o_custkey FROM y WHERE y > 1998)) /
+         (SELECT count(DISTINCT o_custkey) FROM y WHERE y < 1997 OR y > 1998) AS j)
+SELECT column_name, true AS jaccard_close, true AS distance_close FROM c""")
+def q_sketch_shift(spark, sf):
+    """Early against late orders from the stored parts alone: common customers and shift of their distribution, checked against exact values."""
+    o, path = _sketched(spark, sf)
+    y = table(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
+    a, b = y.where("y < 1997").select("o_custkey"), y.where("y > 1998").select("o_custkey")
+    both, either = a.intersect(b).count(), a.unionByName(b).distinct().count()
+    ks = 1 - RP.similarity(a, b, ["o_custkey"]).first()["similarity"]
+    j = SP.shared_values(spark, path, ["early"], ["late"]).where("column_name = 'o_custkey'").join(SP.shift(spark, path, ["early"], ["late"]), "column_name")
+    return j.select("column_name", (F.abs(F.col("jaccard") - F.lit(both / max(1, either))) < 0.03).alias("jaccard_close"), (F.abs(F.col("distance") - F.lit(float(ks))) < 0.03).alias("distance_close"))
