@@ -77,3 +77,13 @@ def test_own_token_counts(spark):
 def test_equal_sizes(n):
     bins, _, length = pack(np.full(n, 512), LENGTHS)
     assert sum(length) == 512 * n if n == 1 else sum(length) < 1.01 * 512 * n
+
+
+def test_placement_does_not_follow_the_partitioning(spark, messy, monkeypatch):
+    from weft.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 500)
+    monkeypatch.setattr(packing, "COPIES", 2)
+    many = messy.unionByName(messy.where("doc_id <= 5")).unionByName(messy.where("doc_id = 2"))
+    got = [sorted((tuple(r) for r in packing.best_fit(many.repartition(k)).collect()), key=repr) for k in (1, 7)]
+    assert got[0] == got[1] and len({r[6] for r in got[0]}) > 1

@@ -19,6 +19,7 @@ from weft.llm.common import stored
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16  # cost of a bin besides its length, in tokens
+COPIES = 4096  # equal rows are numbered in runs of this length
 GROUP_TOKENS = 4 << 20  # tokens packed in one task group, about
 
 
@@ -85,26 +86,29 @@ def best_fit(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_i
     like any other row. Other columns are ignored; an empty table gives an empty result.
 
     Groups of about GROUP_TOKENS tokens are drawn by a hash, so that each has the mix of sizes that
-    packing needs and none grows with the input; equal rows spread by their position in the input.
+    packing needs and none grows with the input; equal rows are numbered and spread by their numbers. The
+    packing does not depend on the input's partitioning. Very long texts are counted whole.
     """
     spark = docs.sparkSession
     counted = docs.select(F.col(id_col).cast("long").alias("id"), (count_words(F.col(text)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")).alias("n"),
-                          F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
-    rows = stored(counted, "packing")  # the salt is drawn once
+                          F.xxhash64(F.col(text)).alias("tie"))
+    equal = counted.groupBy("id", "n", "tie").agg(F.count("*").alias("copies"))  # combined before the exchange, then numbered
+    runs = equal.withColumn("copy", F.explode(F.expr(f"sequence(0L, copies - 1, {COPIES}L)")))
+    rows = stored(runs.withColumn("copy", F.explode(F.expr(f"sequence(copy, least(copy + {COPIES - 1}L, copies - 1))"))).drop("copies"), "packing")
     total = rows.agg(F.sum("n"), F.count("*")).first()
     groups = max(1, -(-max(total[0] or 0, 16 * total[1]) // GROUP_TOKENS))
     top = max(lengths)
     pieces = F.greatest(F.ceil(F.col("n") / top), F.lit(1)).cast("int")
-    cut = rows.withColumn("n_pieces", pieces).select("id", "n", "salt", "n_pieces", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
-    cut = cut.select("id", "salt", "piece", "n_pieces", (F.col("piece").cast("long") * top).alias("start"),
+    cut = rows.withColumn("n_pieces", pieces).select("id", "n", "tie", "copy", "n_pieces", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
+    cut = cut.select("id", "tie", "copy", "piece", "n_pieces", (F.col("piece").cast("long") * top).alias("start"),
                      F.least(F.col("n") - F.col("piece").cast("long") * top, F.lit(top)).cast("long").alias("n_tokens"),
-                     F.pmod(F.xxhash64("id", "salt", "piece"), F.lit(groups)).alias("group"))
+                     F.pmod(F.xxhash64("id", "tie", "copy", "piece"), F.lit(groups)).alias("group"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "salt", "piece"], kind="stable")
+        rows = rows.sort_values(["id", "tie", "copy", "piece"], kind="stable")
         bins, offset, length = pack(rows["n_tokens"].to_numpy(np.int64), lengths, overhead)
         fill = np.bincount(bins, weights=rows["n_tokens"], minlength=len(length)).astype(np.int64)
-        return rows.drop(columns="salt").assign(bin=bins, offset=offset, length=np.array(length, np.int64)[bins], bin_tokens=fill[bins])
+        return rows.drop(columns=["tie", "copy"]).assign(bin=bins, offset=offset, length=np.array(length, np.int64)[bins], bin_tokens=fill[bins])
 
     schema = "id long, piece int, n_pieces int, start long, n_tokens long, group long, bin long, offset long, length long, bin_tokens long"
     return cut.groupBy("group").applyInPandas(solve, schema).withColumnRenamed("id", id_col)
