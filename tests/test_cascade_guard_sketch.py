@@ -67,6 +67,19 @@ def test_the_guard(spark):
         GD.checked(df, "own_udf(pay) = '3'", "boolean")
 
 
+def test_a_failing_causal_rule_is_a_null_per_row(spark):
+    from weft.operators.generate import causal_derive
+    from weft.plans.spec import DagRule
+
+    df = spark.createDataFrame([(2147483647, 0, "x"), (7, 2, "3")], "a int, b int, t string")
+    rules = [DagRule("a", "up", "a + 1"), DagRule("a", "per", "a / b", ("a", "b")), DagRule("t", "n", "cast(t AS int) * 2"), DagRule("a", "neg", "-a - 5"),
+             DagRule("a", "kind", "CASE WHEN a % b = 1 AND NOT (b IS NULL) THEN 'odd' ELSE concat('x', t) END", ("a", "b", "t"))]
+    got = [tuple(r) for r in causal_derive(df, rules).orderBy("a").select("up", "per", "n", "neg", "kind").collect()]
+    assert got == [(8, 3.5, 6, -12, "odd"), (None, None, None, None, "xx")]
+    assert [r.same for r in causal_derive(df, [DagRule("t", "same", "t = 3")]).orderBy("a").collect()] == [True, None]
+    assert GD.null_on_failure(df, "a +") is None and GD.null_on_failure(df, "to_date(t)") is None
+
+
 def test_rules_of_json_are_enforceable(spark):
     df = spark.createDataFrame([(i, i, 10 * i) for i in range(6)], STAFF)
     text = """[{"name": "a", "type": "range", "columns": ["pay"], "action": "CLIP", "parameters": {"max": 30}},

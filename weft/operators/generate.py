@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import rand as R
+from weft.operators.guard import null_on_failure
 from weft.operators.rank import dense_index
 from weft.plans.spec import ColumnSpec, DagRule, Dist, Relationship, TableSpec
 
@@ -182,14 +183,17 @@ def topological_order(rules: list[DagRule]) -> list[DagRule]:
 def causal_derive(df: DataFrame, rules: list[DagRule]) -> DataFrame:
     """Apply rules in topological order: child := expr, skipped when a parent column is missing;
     a row where the expression fails or gives null keeps its old child value (if any), and a rule
-    that cannot be analysed at all changes nothing."""
+    that cannot be analysed at all changes nothing. Overflow, division by zero and bad casts fail a row
+    (``try_`` functions, the session's settings are left alone); only expressions with parts that have
+    no such form are analysed without ANSI checks, where an integer overflow wraps."""
     out = df
     for r in topological_order(rules):
         if any(p not in out.columns for p in r.all_parents):
             continue
-        new = F.expr(r.expression)
-        with _failing_as_null(df.sparkSession):
+        tolerant = null_on_failure(out, r.expression)
+        with nullcontext() if tolerant else _failing_as_null(df.sparkSession):
             try:
+                new = F.expr(tolerant or r.expression)
                 out = out.withColumn(r.child, F.coalesce(new, F.col(r.child)) if r.child in out.columns else new)
             except (AnalysisException, ParseException):
                 continue

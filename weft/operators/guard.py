@@ -54,6 +54,69 @@ def _walk(node, depth: int = 0) -> None:
         _walk(child, depth + 1)
 
 
+_TRY = {"Add": "try_add", "Subtract": "try_subtract", "Multiply": "try_multiply", "Divide": "try_divide", "Remainder": "try_mod"}
+_INFIX = {"EqualTo": "=", "EqualNullSafe": "<=>", "LessThan": "<", "LessThanOrEqual": "<=", "GreaterThan": ">", "GreaterThanOrEqual": ">=", "And": "AND", "Or": "OR"}
+#: functions that cannot fail on a row
+_SAFE = {"ceil", "ceiling", "floor", "round", "sqrt", "exp", "ln", "log", "log10", "power", "pow", "sign", "greatest", "least", "coalesce", "nullif", "nvl", "isnan", "length", "char_length", "lower",
+         "upper", "trim", "ltrim", "rtrim", "substring", "substr", "concat", "replace", "startswith", "endswith", "contains", "isnull", "isnotnull", "year", "month", "day", "dayofmonth",
+         "dayofweek", "weekday", "hour", "minute", "second", "datediff", "date_diff", "months_between", "try_add", "try_subtract", "try_multiply", "try_divide", "try_to_timestamp", "if"}
+
+
+class _Strict(Exception):
+    """A part of an expression that has no form which gives null where it fails."""
+
+
+def _tolerant(node) -> str:
+    name = node.getClass().getSimpleName()
+    if name in ("Literal", "UnresolvedAttribute"):
+        return node.sql()
+    kids = _children(node)
+    if name == "UnaryMinus" and kids[0].getClass().getSimpleName() == "Literal":
+        return f"(- {kids[0].sql()})"
+    parts = [_tolerant(k) for k in kids]
+    if name in _TRY:
+        return f"{_TRY[name]}({', '.join(parts)})"
+    if name in _INFIX:
+        return f"({parts[0]} {_INFIX[name]} {parts[1]})"
+    if name == "UnaryMinus":
+        return f"try_multiply({parts[0]}, -1)"
+    if name == "Cast":
+        return f"try_cast({parts[0]} AS {node.dataType().sql()})"
+    if name == "Not":
+        return f"(NOT {parts[0]})"
+    if name in ("IsNull", "IsNotNull"):
+        return f"({parts[0]} IS {'NOT ' if name == 'IsNotNull' else ''}NULL)"
+    if name == "In":
+        return f"({parts[0]} IN ({', '.join(parts[1:])}))"
+    if name == "If":
+        return f"if({', '.join(parts)})"
+    if name == "CaseWhen":
+        whens = " ".join(f"WHEN {parts[i]} THEN {parts[i + 1]}" for i in range(0, len(parts) - 1, 2))
+        return f"(CASE {whens}{f' ELSE {parts[-1]}' if len(parts) % 2 else ''} END)"
+    if name == "UnresolvedFunction" and node.nameParts().size() == 1 and node.nameParts().apply(0).lower() in _SAFE and not node.isDistinct():
+        return f"{node.nameParts().apply(0)}({', '.join(parts)})"
+    raise _Strict(name)
+
+
+def null_on_failure(df: DataFrame, expression: str) -> str | None:
+    """``expression`` rewritten with ``try_`` functions: null on a row where it overflows, divides by zero or casts badly.
+
+    None if some part of it has no such form, also a text that Spark would cast by itself.
+    """
+    try:
+        out = _tolerant(df.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(expression))
+        analysed = df.select(F.expr(out).alias("x"))._jdf.queryExecution().analyzed().expressions()
+    except Exception:  # noqa: BLE001 - not an expression of this table, or a part without a tolerant form
+        return None
+    todo = [analysed.apply(i) for i in range(analysed.size())]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "Cast" and str(node.evalMode()) == "ANSI" and node.child().dataType().typeName() == "string":
+            return None
+        todo += _children(node)
+    return out
+
+
 def checked(df: DataFrame, expression: str, result: str | None = None) -> str:
     """``expression`` if it may run on rows of ``df``; raises RefusedExpression otherwise. ``result``: the type it must have."""
     try:
