@@ -3,6 +3,11 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame
 that is written and read again as the next one's ``docs``. All but the last return the columns of
 ``documents``.
+
+In every stage nulls in any column are carried along, a null text counts as empty (the quality stage
+rejects it), very long texts are handled whole, other columns (whatever their names) are dropped at the
+start, and an empty table gives an empty result. Ties and repeated rows: each row is judged on its own
+in the quality and packing stages; the line, SimHash and suffix stages order places by doc_id.
 """
 
 from __future__ import annotations
