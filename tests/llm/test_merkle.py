@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.llm import merkle as M
-from weft.llm.queries import QUERIES
+from weft.llm.queries import ORACLES, QUERIES
 
 SF_SMALL = "/root/testdata/sf0.001"
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -93,3 +93,10 @@ def test_sizes_around_powers_of_two(spark, monkeypatch, n):
 def test_every_group_its_own(spark):
     df = spark.range(40).selectExpr("id as doc_id", "'t' as text", "concat('l', id % 23) as lang", "'s' as source", "id as n_chars").repartition(5)
     assert got(M.verified_manifest(df)) == brute([tuple(r) for r in df.select(*FIELDS).collect()])
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{SF_SMALL}/documents.parquet')")
+    df = QUERIES["op12_merkle_manifest"](spark, SF_SMALL)
+    assert got(df) == sorted(con.sql(f"select {', '.join(df.columns)} from ({ORACLES['op12_merkle_manifest']})").fetchall(), key=repr)

@@ -16,7 +16,7 @@ from weft.llm.pieces import piece_digests
 from weft.llm.quality import quality_measures
 from weft.llm.sharding import minimax_shards
 from weft.llm.simhash import simhash_components
-from weft.llm.sql import LINES_SQL, QUALITY_SQL, TOPK_SQL, URL_SQL
+from weft.llm.sql import LINES_SQL, MERKLE_SQL, QUALITY_SQL, TOPK_SQL, URL_SQL
 from weft.llm.suffix_dedup import repeated_bytes
 from weft.llm.tokens import token_files
 from weft.llm.topk import top_k
@@ -105,7 +105,7 @@ def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
-@query("op12_merkle_manifest")
+@query("op12_merkle_manifest", MERKLE_SQL)
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 

@@ -79,3 +79,37 @@ s AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER
 SELECT d.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
        md5(coalesce(kept, '')) AS kept_md5 FROM d LEFT JOIN s ON s.doc_id = d.doc_id
 """
+
+
+def _merkle_sql(leaf_levels: int = 24, group_levels: int = 10) -> str:
+    """Level by level: enough for 2^24 rows a group and 2^10 groups."""
+
+    def f(c):
+        return f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def levels(name, n):
+        return [f"""{name}{k + 1} AS MATERIALIZED (SELECT grp, pos // 2 AS pos, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE min(h) END AS h,
+  (max(n) + 1) // 2 AS n FROM {name}{k} GROUP BY grp, pos // 2)""" for k in range(n)]
+
+    def steps(name, level, n):
+        return [f"""{name}{k + 1} AS MATERIALIZED (SELECT p.* REPLACE (p.pos // 2 AS pos, (p.n + 1) // 2 AS n, CASE WHEN p.n > 1 THEN p.sib || coalesce(s.h, '') ELSE p.sib END AS sib,
+  CASE WHEN p.n = 1 THEN p.cur WHEN s.h IS NULL THEN sha256(p.cur) WHEN p.pos % 2 = 1 THEN sha256(s.h || p.cur) ELSE sha256(p.cur || s.h) END AS cur)
+  FROM {name}{k} p LEFT JOIN {level}{k} s ON s.grp = p.grp AND s.pos = xor(p.pos, 1))""" for k in range(n)]
+
+    head = " || ".join(f(c) for c in ("doc_id", "source", "lang"))
+    crc = ("xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: "
+           "list_reduce(list_concat([xor(a, b)], CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)")
+    ctes = [f"""d AS MATERIALIZED (SELECT doc_id, coalesce('1' || lang, '0') AS grp, sha256({head} || {f('n_chars')} || {f('text')}) AS leaf,
+  sha256({head} || {f("(CASE WHEN " + crc + " % 7 = 0 THEN n_chars + 1 ELSE n_chars END)")} || {f('text')}) AS given FROM documents)""",
+            """r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, given) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM d)""",
+            "a0 AS (SELECT grp, pos, leaf AS h, n FROM r)", *levels("a", leaf_levels),
+            f"t0 AS MATERIALIZED (SELECT 0 AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, h, count(*) OVER () AS n, grp AS lang FROM a{leaf_levels})", *levels("t", group_levels),
+            "p0 AS (SELECT doc_id, leaf, grp, pos, n, given AS cur, '' AS sib FROM r)", *steps("p", "a", leaf_levels),
+            f"q0 AS (SELECT p.doc_id, p.leaf, t0.h AS subroot, t0.grp, t0.pos, t0.n, p.cur, p.sib FROM p{leaf_levels} p JOIN t0 ON t0.lang = p.grp)", *steps("q", "t", group_levels)]
+    return f"""
+WITH {', '.join(ctes)}
+SELECT doc_id, leaf, subroot, (SELECT h FROM t{group_levels}) AS root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = (SELECT h FROM t{group_levels}) AS verified FROM q{group_levels}
+"""
+
+
+MERKLE_SQL = _merkle_sql()
