@@ -33,6 +33,7 @@ def load_all() -> None:
         cat_constraints,
         cat_delivery,
         cat_dirty,
+        cat_fit,
         cat_generate,
         cat_io,
         cat_privacy,
