@@ -6,7 +6,7 @@ A plain ``rank() over (order by x)`` has no partition and Spark plans it as
 1. collapse equal values first (``groupBy(v).count()`` with map-side combine, so a
    hot value that holds a third of the rows becomes one row);
 2. cut the distinct values into buckets at approximate quantiles (cut points are a
-   bounded list of ``n_buckets`` numbers);
+   bounded list, whose length follows the number of rows);
 3. rank inside each bucket with a window ``partitionBy(bucket)``;
 4. add each bucket's offset, computed from a table of ``n_buckets`` rows.
 
@@ -22,25 +22,48 @@ from pyspark.sql import functions as F
 
 from weft.functions.rand import hex52
 
-BUCKETS = 256  # buckets of a distributed order; does not follow the shuffle setting
+BUCKETS = 256  # buckets of a distributed order, up to BUCKETS x ROWS_A_BUCKET rows; does not follow the shuffle setting
+ROWS_A_BUCKET = 4_000_000  # beyond that, one bucket for so many rows
+MOST_BUCKETS = 1 << 18  # cut points are a list on the driver; past 10^12 rows buckets grow again, and their windows spill
+HASH_BUCKETS = 1 << 16  # of orders over a uniform hash, which need no cut points
 
 
-def default_buckets(df: DataFrame) -> int:
-    return BUCKETS
+def buckets_for(rows: int) -> int:
+    return min(max(BUCKETS, -(-rows // ROWS_A_BUCKET)), MOST_BUCKETS)
 
 
-def _cut_points(vals: DataFrame, col: str, n_buckets: int) -> list[float]:
-    return _cuts_of(vals, [col], n_buckets)[col]
+def hash_bits_for(rows: int, least: int = 10) -> int:
+    """Bits of a key hash that part one value held by all ``rows`` into groups of about ROWS_A_BUCKET at most."""
+    return max(least, (max(rows, 1) // ROWS_A_BUCKET).bit_length())
 
 
-def _cuts_of(df: DataFrame, cols: list[str], n_buckets: int) -> dict[str, list[float]]:
-    """Increasing cut points (as doubles) of several columns from one map-side combined aggregate."""
-    if n_buckets <= 1:
-        return {c: [] for c in cols}
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    aggs = [F.percentile_approx(as_double(c, df.schema[c].dataType), probs, 4 * n_buckets).alias(f"_c{i}") for i, c in enumerate(cols)]
-    row = df.agg(*aggs).first()
-    return {c: sorted({float(x) for x in row[i] or () if x == x}) for i, c in enumerate(cols)}
+def _cut_points(vals: DataFrame, col: str, n_buckets: int | None = None) -> list[float]:
+    return _cuts_of(vals, [col], n_buckets)[col][0]
+
+
+def _cuts_of(df: DataFrame, cols: list[str], n_buckets: int | None = None) -> dict[str, tuple[list[float], int]]:
+    """(increasing cut points as doubles, non-null rows) of several columns from one map-side combined aggregate.
+
+    Without ``n_buckets`` the number of buckets follows the rows: a column with more than BUCKETS x ROWS_A_BUCKET of
+    them is cut again, more finely, by a second aggregate.
+    """
+    def cut(todo: list[str], n: int) -> dict[str, tuple[list[float], int]]:
+        if n <= 1:
+            return {c: ([], 0) for c in todo}
+        probs = F.split(F.lit(",".join(repr(i / n) for i in range(1, n))), ",").cast("array<double>")  # one literal, however many
+        aggs = [F.percentile_approx(as_double(c, df.schema[c].dataType), probs, 4 * n).alias(f"_c{i}") for i, c in enumerate(todo)]
+        row = df.agg(*aggs, *[F.count(c).alias(f"_n{i}") for i, c in enumerate(todo)]).first()
+        return {c: (sorted({float(x) for x in row[f"_c{i}"] or () if x == x}), row[f"_n{i}"]) for i, c in enumerate(todo)}
+
+    out = cut(cols, n_buckets or BUCKETS)
+    if n_buckets is None:
+        finer: dict[int, list[str]] = {}
+        for c, (_, rows) in out.items():
+            if buckets_for(rows) > BUCKETS:
+                finer.setdefault(buckets_for(rows), []).append(c)
+        for n, todo in finer.items():
+            out.update(cut(todo, n))
+    return out
 
 
 def as_double(c, dtype) -> "F.Column":
@@ -77,11 +100,11 @@ def value_ranks(df: DataFrame, col: str, n_buckets: int | None = None, rank_col:
     are doubles, but values are counted and ordered in their own type, so large integers that share a
     double still rank apart.
     """
-    cuts = cuts if cuts is not None else _cut_points(df, col, n_buckets or BUCKETS)
+    cuts = cuts if cuts is not None else _cut_points(df, col, n_buckets)
     vc = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
           .groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     b = _bucketize(vc, "v", cuts)
-    totals = b.groupBy("_bkt").agg(F.sum("n").alias("_tot"))  # at most n_buckets + 1 rows
+    totals = b.groupBy("_bkt").agg(F.sum("n").alias("_tot"))  # one row a bucket
     offsets = totals.select(
         "_bkt",
         (F.sum("_tot").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
@@ -114,7 +137,7 @@ def dense_index(df: DataFrame, key_cols: list[str], out: str = "_idx", n_buckets
     ``h`` is the 52-bit SHA-256 prefix of the key text; it spreads rows evenly over the
     buckets whatever the key distribution, and any SQL engine can reproduce the order.
     """
-    n_buckets = n_buckets or BUCKETS
+    n_buckets = n_buckets or HASH_BUCKETS
     h = "_h"
     x = df.withColumn(h, hex52(F.concat_ws(":", *[F.col(k).cast("string") for k in key_cols])))
     b = x.withColumn("_bkt", F.floor(F.col(h) / F.lit(float(1 << 52)) * F.lit(n_buckets)).cast("int"))  # h is uniform
@@ -132,16 +155,18 @@ def dense_index(df: DataFrame, key_cols: list[str], out: str = "_idx", n_buckets
 
 
 def ordinal(df: DataFrame, value_col: str, key_cols: list[str], out: str = "_pos",
-            n_buckets: int | None = None, hash_bits: int = 10) -> DataFrame:
+            n_buckets: int | None = None, hash_bits: int | None = None) -> DataFrame:
     """0-based position of each row in (value, h(key), key) order; null values are left out.
 
     ``h`` is the 52-bit SHA-256 prefix of the key text (``weft.functions.rand.hex52``), so the
     same order can be reproduced by any SQL engine with sha256.
 
-    Equal values are split further by the top ``hash_bits`` bits of the key hash, so a value
-    held by a third of all rows is spread over ``2**hash_bits`` window partitions instead of one.
+    Equal values are split further by the top ``hash_bits`` bits of the key hash (default: 10, more
+    where the rows ask for it), so a value held by a third of all rows is spread over
+    ``2**hash_bits`` window partitions instead of one.
     """
-    cuts = _cut_points(df, value_col, n_buckets or BUCKETS)
+    cuts, rows = _cuts_of(df, [value_col], n_buckets)[value_col]
+    hash_bits = hash_bits or hash_bits_for(rows)
     x = (df.where(F.col(value_col).isNotNull())
          .withColumn("_h", hex52(F.concat_ws(":", *[F.col(k).cast("string") for k in key_cols])))
          .withColumn("_hb", F.shiftright(F.col("_h"), 52 - hash_bits)))
@@ -169,8 +194,8 @@ def multi_value_ranks(df: DataFrame, cols: list[str], n_buckets: int | None = No
 
     One aggregate finds all cut points; each column is then counted on its own, so no row is expanded.
     """
-    cuts = _cuts_of(df, cols, n_buckets or BUCKETS)
-    return {c: value_ranks(df, c, cuts=cuts[c]) for c in cols}
+    cuts = _cuts_of(df, cols, n_buckets)
+    return {c: value_ranks(df, c, cuts=cuts[c][0]) for c in cols}
 
 
 def attach_ranks(df: DataFrame, cols: list[str], ranks: dict[str, DataFrame], prefix: str = "_r_") -> DataFrame:

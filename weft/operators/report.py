@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.operators.dirty import ALT_DATE_FORMATS, ISO_DATE
-from weft.operators.rank import _bucketize, _cut_points, default_buckets, value_ranks
+from weft.operators.rank import _bucketize, _cut_points, value_ranks
 
 # fixed values: weights of the composite quality score (similarity, causal, privacy, temporal, dirty)
 QUALITY_WEIGHTS = {"similarity_score": 0.30, "causal_score": 0.25, "privacy_score": 0.20,
@@ -120,12 +120,11 @@ def grouped_stats(df: DataFrame, by: list[str], col: str) -> DataFrame:
 
 def _running(counts: DataFrame, weight_cols: list[str], n_buckets: int | None = None) -> DataFrame:
     """Inclusive running sums of ``weight_cols`` over ``v`` order, without a global window."""
-    n_buckets = n_buckets or default_buckets(counts)
     b = _bucketize(counts, "v", _cut_points(counts, "v", n_buckets))
     totals = b.groupBy("_bkt").agg(*[F.sum(w).alias(f"_t_{w}") for w in weight_cols])
     before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bkt", *[F.coalesce(F.sum(f"_t_{w}").over(before), F.lit(0)).alias(f"_o_{w}")
-                                      for w in weight_cols])  # at most n_buckets + 1 rows
+                                      for w in weight_cols])  # one row a bucket
     w = Window.partitionBy("_bkt").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = b.select("_bkt", "v", *[F.sum(c).over(w).alias(f"_r_{c}") for c in weight_cols])
     return inner.join(F.broadcast(offsets), "_bkt").select(

@@ -118,11 +118,11 @@ def category_table(df: DataFrame, c: str) -> DataFrame:
     counts be computed in buckets (no single-partition window) and be reproduced elsewhere."""
     from pyspark.sql import Window
 
-    from weft.operators.rank import _bucketize, _cut_points, default_buckets
+    from weft.operators.rank import _bucketize, _cut_points
 
     g = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_cnt"))
          .withColumn("_h", R.hex52(F.col("_v").cast("string"))))
-    cuts = _cut_points(g, "_h", default_buckets(df))
+    cuts = _cut_points(g, "_h")
     b = _bucketize(g, "_h", cuts)
     tot = b.groupBy("_bkt").agg(F.sum("_cnt").alias("_t"))
     off = tot.select("_bkt", F.coalesce(F.sum("_t").over(Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)),
