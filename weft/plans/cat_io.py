@@ -33,6 +33,20 @@ def q_schema_detect(spark, sf):
     return FS.detect_schema(FS.read(spark, path, "csv"))
 
 
+_ORDERS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query("schema_samples", "\nUNION ALL\n".join(f"""
+SELECT {i + 1} AS position, '{c}' AS column_name, (SELECT CAST(count(*) - count({c}) AS BIGINT) FROM orders) AS n_null,
+       (SELECT CAST(count(DISTINCT {c}) AS BIGINT) FROM orders) AS n_distinct, list(CAST(v AS VARCHAR) ORDER BY v) AS samples
+FROM (SELECT DISTINCT {c} AS v FROM orders WHERE {c} IS NOT NULL ORDER BY 1 LIMIT 3)""" for i, c in enumerate(_ORDERS)))
+def q_schema_samples(spark, sf):
+    """An uploaded CSV with its detected columns and three sample values of each: the number is the feature."""
+    path = FS.scratch_path(spark, "upload")
+    FS.write(table(spark, sf, "orders"), path, "csv")
+    return FS.detect_schema(FS.read(spark, path, "csv"), 3).drop("data_type")
+
+
 @query("json_table", "SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
 def q_json_table(spark, sf):
     """The nations as one JSON document under a root key, read back as a typed table (25 rows, nested region as JSON)."""

@@ -67,13 +67,17 @@ def load_json_table(spark: SparkSession, path: str, root_key: str, schema: T.Str
     return doc.select(F.explode(root_key).alias("_r")).select("_r.*")
 
 
-def detect_schema(df: DataFrame) -> DataFrame:
-    """Detected schema of an uploaded table: name, type, nulls, distinct values (one grouped count per column)."""
-    from weft.operators.report import distinct_counts
+def detect_schema(df: DataFrame, n_samples: int = 0) -> DataFrame:
+    """Detected schema of an uploaded table: name, type, nulls, distinct values (one grouped count per column).
+
+    With ``n_samples`` also ``samples``: the so many smallest distinct values of each column as text (none for a column of nulls).
+    """
+    from weft.operators.report import distinct_counts, samples
 
     wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(c)).alias(f"_nn{i}") for i, c in enumerate(df.columns)])
     rows = [F.struct(F.lit(i + 1).alias("position"), F.lit(c).alias("column_name"),
                      F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
                      (F.col("_n") - F.col(f"_nn{i}")).alias("n_null"))
             for i, c in enumerate(df.columns)]
-    return wide.select(F.inline(F.array(*rows))).join(distinct_counts(df, df.columns), "column_name")
+    found = wide.select(F.inline(F.array(*rows))).join(distinct_counts(df, df.columns), "column_name")
+    return found.join(samples(df, df.columns, n_samples), "column_name") if n_samples else found
