@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.operators.copies import equal_rows, numbered, ordered
 from weft.operators.rank import exact_median
 from weft.plans.spec import DagRule, Rule, TableSpec
+from weft.sources.files import scratch_path
 
 SEVERITIES = ("low", "medium", "high", "critical")
 KINDS = ("range", "enum", "unique", "not_null", "expression", "temporal", "referential", "causal")
@@ -86,9 +88,11 @@ def with_violations(df: DataFrame, rules: list[Rule], tables: dict[str, DataFram
                 continue
             if r.ref_table not in (tables or {}):
                 raise ValueError(f"rule {r.name}: table {r.ref_table} is not given")
-            parent = tables[r.ref_table].select(F.col(r.ref_column or r.columns[0]).alias("_pk")).distinct().withColumn("_has", F.lit(True))
+            parent = tables[r.ref_table].select(F.col(r.ref_column or r.columns[0]).alias("_pk")).where("_pk IS NOT NULL").distinct()
+            parent = parent.withColumn("_at", F.pmod(F.hash("_pk"), F.lit(1)))  # 0 as a value of the key, so that it stays a join key
             fk = F.col(r.columns[0])
-            out = out.join(parent, fk == F.col("_pk"), "left").withColumn(name, fk.isNotNull() & F.col("_has").isNull()).drop("_pk", "_has")
+            out = out.withColumn("_spread", _spread(fk.isNull())).join(parent, (fk == F.col("_pk")) & (F.col("_spread") == F.col("_at")), "left")
+            out = out.withColumn(name, fk.isNotNull() & F.col("_at").isNull()).drop("_pk", "_at", "_spread")
         else:
             bad = violation(df, r)
             if bad is None:
@@ -101,21 +105,37 @@ def with_violations(df: DataFrame, rules: list[Rule], tables: dict[str, DataFram
 def mark_repeats(df: DataFrame, cols: list[str], order: list[str], mark: str) -> DataFrame:
     """Boolean ``mark``: true for every row of a non-null key but the first by the other columns of ``order``.
 
-    Equal rows are counted once and the first of a key is a map-side combined ``min``; the join back on
-    the key is an equi-join that adaptive execution splits, so a hot key is never gathered.
+    A first pass over the key columns alone finds the keys that repeat, a table that is written and whose size
+    Spark then knows; only rows of such keys go on to an exchange, each distinct one once, with a digest that
+    tells equal rows apart. Maps are ordered by their text; copies of a row are dealt to tasks before they are
+    written out again. An empty table gives an empty one; the values of rows are never changed.
     """
-    others = [c for c in order if c not in cols]
-    first = F.struct(*others) if others else F.lit(1)
-    same = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    firsts = same.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)]).agg(F.min(first).alias("_first"))
-    whole = F.lit(True)
-    meet = F.lit(True)
-    for i, c in enumerate(cols):
-        meet = meet & (F.col(c) == F.col(f"_k{i}"))
-        whole = whole & F.col(c).isNotNull()
-    j = same.join(firsts, meet, "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    is_first = first.eqNullSafe(F.col("_first")) & (F.col("_copy") == 1)
-    return j.withColumn(mark, whole & ~is_first).select(*df.columns, mark)
+    keys = [f"_k{i}" for i in range(len(cols))]
+    no_key = F.greatest(F.lit(False), F.lit(False), *[F.col(c).isNull() for c in cols])
+    counts = df.where(~no_key).groupBy(*[F.col(c).alias(k) for c, k in zip(cols, keys)]).agg(F.count(F.lit(1)).alias("_n"))
+    path = scratch_path(df.sparkSession, "repeated")
+    counts.where("_n > 1").select(*keys, F.lit(0).alias("_at")).write.parquet(path)
+    again = df.sparkSession.read.parquet(path)
+
+    meet = F.col("_spread") == F.col("_at")
+    for c, k in zip(cols, keys):
+        meet = meet & (F.col(c) == F.col(k))
+    met = df.withColumn("_spread", _spread(no_key)).join(again, meet, "left")
+    once = met.where(F.col("_at").isNull()).select(*df.columns, F.lit(False).alias(mark))
+
+    row = F.col("_row")
+    others = [ordered(row[c], df.schema[c].dataType) for c in order if c not in cols]
+    same = equal_rows(met.where(F.col("_at").isNotNull()).select(*df.columns), [F.col(c).alias(k) for c, k in zip(cols, keys)])
+    firsts = same.groupBy(*keys).agg(F.min(F.struct(*others, "_digest"))["_digest"].alias("_first"))
+    each = numbered(same.join(firsts.select("_first"), F.col("_digest") == F.col("_first"), "left"))
+    repeats = each.select("_row.*", (F.col("_first").isNull() | (F.col("_copy") > 1)).alias(mark))
+    return once.unionByName(repeats)
+
+
+def _spread(absent: Column) -> Column:
+    """0, but for rows whose key is absent a number of their input partition: as part of a join key it keeps such rows, which
+    meet nothing, from gathering in one task."""
+    return F.when(absent, F.spark_partition_id() + 1).otherwise(F.lit(0))
 
 
 def enforce(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame] | None = None) -> DataFrame:

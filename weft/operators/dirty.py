@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from weft.functions import rand as R
 from weft.functions.text import apply_typo, typo_kind_count
-from weft.operators.rank import dense_index, value_ranks
+from weft.operators.copies import equal_rows, numbered
+from weft.operators.rank import dense_index, ordinal, value_ranks
 from weft.plans.spec import DirtyProfile, cols_of
 
 # fixed values: the four alternative date layouts (day/month/year, month-day-year,
@@ -186,16 +187,18 @@ def _append(df: DataFrame, extra: DataFrame, mark: str | None) -> DataFrame:
     return df.unionByName(extra.drop("_draw"))
 
 
-def shuffle_rows(df: DataFrame, seed: int, cols: list[str] | None = None) -> DataFrame:
+def shuffle_rows(df: DataFrame, seed: int, cols: list[str] | None = None, position: str | None = None) -> DataFrame:
     """A keyed random order (for writing); Spark rows have no order otherwise.
 
-    Copies of one row are numbered and keyed apart, so they do not end up next to each other.
+    Copies of one row are numbered and keyed apart, so they do not end up next to each other; they are dealt
+    to tasks before they are written out. ``position`` names a column for the row's place, from 0: then the
+    rows come without a sort, in any order.
     """
     cols = cols or df.columns
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    each = copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
-    key = R.uniform01(seed, "shuffle", [F.to_json(F.struct(*cols)), F.col("_copy")])
-    return each.withColumn("_key", key).orderBy("_key", *cols, "_copy").drop("_copy", "_key")
+    each = numbered(equal_rows(df, [])).withColumn("_key", R.uniform01(seed, "shuffle", [F.to_json(F.struct(*[F.col("_row")[c].alias(c) for c in cols])), F.col("_copy")]))
+    if position:
+        return ordinal(each, "_key", ["_digest", "_copy"], position).select("_row.*", position)
+    return each.orderBy("_key", "_digest", "_copy").select("_row.*")
 
 
 def dirty_profile(df: DataFrame, profile: DirtyProfile, seed: int, key_cols: list[str],

@@ -240,16 +240,21 @@ def gaussian_copula_fit(df: DataFrame, cols: list[str], key_cols: list[str], n_q
     return corr, {c: [float(x) for x in q] for c, q in zip(cols, qs)}
 
 
-def _inverse_marginal(u: Column, q: list[float]) -> Column:
-    """Piecewise-linear interpolation in a quantile table at probability u."""
-    m = len(q)
-    pos = u * F.lit(float(m)) - F.lit(0.5)
-    i = F.least(F.greatest(F.floor(pos), F.lit(0)), F.lit(m - 2)).cast("int")
-    frac = F.least(F.greatest(pos - i, F.lit(0.0)), F.lit(1.0))
-    arr = F.array(*[F.lit(x) for x in q])
-    lo = F.element_at(arr, i + 1)
-    hi = F.element_at(arr, i + 2)
-    return lo + (hi - lo) * frac
+def _inverse_marginals(df: DataFrame, qt: dict[str, list[float]]) -> DataFrame:
+    """Probabilities in columns u_c to values x_c by piecewise-linear interpolation in c's quantile table.
+
+    Place, index and value are projections of their own, so that no expression is computed more than once.
+    """
+    at = {c: F.col(f"u_{c}") * F.lit(float(len(q))) - F.lit(0.5) for c, q in qt.items()}
+    df = df.withColumns({f"at_{c}": x for c, x in at.items()})
+    df = df.withColumns({f"i_{c}": F.least(F.greatest(F.floor(f"at_{c}"), F.lit(0)), F.lit(len(q) - 2)).cast("int") for c, q in qt.items()})
+    ends, value = {}, {}
+    for c, q in qt.items():
+        table = F.split(F.lit(",".join(map(repr, q))), ",").cast("array<double>")  # folded to one literal
+        ends[f"lo_{c}"], ends[f"hi_{c}"] = F.get(table, F.col(f"i_{c}")), F.get(table, F.col(f"i_{c}") + 1)
+        frac = F.least(F.greatest(F.col(f"at_{c}") - F.col(f"i_{c}"), F.lit(0.0)), F.lit(1.0))
+        value[f"x_{c}"] = F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * frac
+    return df.withColumns(ends).withColumns(value)
 
 
 def scale_copula(df: DataFrame, cols: list[str], key_cols: list[str], target: int, seed: int) -> DataFrame:
@@ -262,19 +267,17 @@ def scale_copula(df: DataFrame, cols: list[str], key_cols: list[str], target: in
     chol = np.linalg.cholesky(corr_pd)
     spark = df.sparkSession
     spine = spark.range(target).withColumnRenamed("id", "_row")
-    keys = [F.col("_row")]
-    zs = [R.std_normal(seed, f"copula:{c}", keys) for c in cols]
-    sel = {}
+    drawn = spine.withColumns({f"z_{c}": R.std_normal(seed, f"copula:{c}", [F.col("_row")]) for c in cols})
+    mixed, u, sel = {}, {}, []
     for i, c in enumerate(cols):
-        mixed = None
-        for j in range(i + 1):
-            term = F.lit(float(chol[i, j])) * zs[j]
-            mixed = term if mixed is None else mixed + term
-        u = R.phi(mixed)
-        x = _inverse_marginal(u, qt[c])
-        t = df.schema[c].dataType
-        sel[c] = F.round(x).cast(t) if isinstance(t, T.IntegralType) else x.cast(t)
-    return spine.select("_row", *[e.alias(k) for k, e in sel.items()])
+        sum_ = F.lit(float(chol[i, 0])) * F.col(f"z_{cols[0]}")
+        for j in range(1, i + 1):
+            sum_ = sum_ + F.lit(float(chol[i, j])) * F.col(f"z_{cols[j]}")
+        mixed[f"y_{c}"] = sum_
+        u[f"u_{c}"] = R.phi(F.col(f"y_{c}"))
+        x, t = F.col(f"x_{c}"), df.schema[c].dataType
+        sel.append((F.round(x).cast(t) if isinstance(t, T.IntegralType) else x.cast(t)).alias(c))
+    return _inverse_marginals(drawn.withColumns(mixed).withColumns(u), qt).select("_row", *sel)
 
 
 def nearest_correlation(target: np.ndarray, rounds: int = 500, least: float = 1e-8) -> np.ndarray:

@@ -71,8 +71,11 @@ def _corr_check_sql():
     return " UNION ALL ".join(parts)
 
 
-@query("check_schema", """
-SELECT 'schema_completeness' AS check_name, round(1.0 - 1.0 / 6, 6) AS score, CAST(1 AS BIGINT) AS violations""")
+@query("check_schema", f"""
+WITH want AS (SELECT unnest({[c.name for c in CUST_SPEC.columns]}) AS c),
+have AS (SELECT column_name AS c FROM (DESCRIBE customer)),
+gone AS (SELECT count(*) FILTER (WHERE c NOT IN (SELECT c FROM have)) AS n, count(*) AS m FROM want)
+SELECT 'schema_completeness' AS check_name, round(1.0 - n / m, 6) AS score, CAST(n AS BIGINT) AS violations FROM gone""")
 def q_check_schema(spark, sf):
     c = table(spark, sf, "customer")
     return _one(A.audit(c, CUST_SPEC, only={"schema_completeness"}), "schema_completeness")

@@ -202,6 +202,22 @@ def q_shuffle_rows(spark, sf):
     return D.shuffle_rows(D.dup_exact(c, 0.05, SEED, ["c_custkey"]), SEED)
 
 
+_SHUFFLE_KEY = f"""concat_ws(':', '{SEED}', 'shuffle', '{{"c_custkey":' || c_custkey || '}}', copy)"""
+
+
+@query("shuffle_positions", f"""
+WITH ix AS ({_dense_sql('customer', 'c_custkey')}),
+d AS ({_draws_sql('customer', 'dup', 0.05)}),
+u AS (SELECT * FROM customer UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM ix JOIN d USING (_idx)),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey) AS copy FROM u)
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
+       row_number() OVER (ORDER BY substr(sha256({_SHUFFLE_KEY}), 1, 13)) - 1 AS position FROM n""")
+def q_shuffle_positions(spark, sf):
+    """Every row's place in the shuffled order, copies placed apart."""
+    c = table(spark, sf, "customer")
+    return D.shuffle_rows(D.dup_exact(c, 0.05, SEED, ["c_custkey"]), SEED, cols=["c_custkey"], position="position")
+
+
 _PROFILE = DirtyProfile(null_rate=0.05, typo_rate=0.1, outlier_rate=0.02, date_format_mix_rate=0.12,
                         duplicate_rate=0.02, near_duplicate_rate=0.0)
 

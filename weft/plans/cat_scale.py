@@ -10,7 +10,7 @@ from weft.operators import scale as S
 from weft.plans.registry import query
 from weft.plans.spec import ColumnSpec, CorrelationTarget, TableSpec
 from weft.plans.sqlkit import normal_sql, u_sql
-from weft.session import table
+from weft.session import cut_lineage, table
 
 SEED = 42
 
@@ -112,6 +112,41 @@ def q_scale_pk(spark, sf):
                    F.countDistinct("cid").cast("long").alias("n_distinct_ids"))
 
 
+def _drawn_sql(src, col, n):
+    """Rows (_row, col): ``n`` draws of a categorical column by frequency, values in the order of their hash."""
+    return f"""SELECT range AS _row, vals[len(list_filter(cums, lambda x: x <= floor({u_sql(SEED, 'scale:' + col, 'range')} * total))) + 1] AS {col}
+FROM (SELECT list(cum ORDER BY h, v) AS cums, list(v ORDER BY h, v) AS vals, max(cum) AS total FROM (
+  SELECT v, h, sum(cnt) OVER (ORDER BY h, v) AS cum FROM (
+    SELECT {col} AS v, count(*) AS cnt, {_h_sql(col)} AS h FROM {src} WHERE {col} IS NOT NULL GROUP BY ALL))), range({n})"""
+
+
+def _uuid_sql(text):
+    h = f"sha256({text})"
+    return "concat_ws('-', " + ", ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + ")"
+
+
+@query("scale_pk_rows", f"""
+SELECT {_uuid_sql(f"concat_ws(':', '{SEED}', 'cid', CAST(_row AS VARCHAR))")} AS cid, c_mktsegment
+FROM ({_drawn_sql('customer', 'c_mktsegment', '(SELECT count(*) * 10 FROM customer)')})""")
+def q_scale_pk_rows(spark, sf):
+    """The rows that ``scale_pk`` counts: fresh text keys and drawn categories, value by value."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("cid"), "c_mktsegment")
+    spec = TableSpec("customer", (ColumnSpec("cid", "string", primary_key=True),))
+    return S.scale(c, c.count() * 10, SEED, ["cid"], spec)
+
+
+@query("twin_rows", f"""
+WITH m AS (SELECT avg(c_acctbal) ma, greatest(stddev_samp(c_acctbal), 1e-9) sa,
+                  avg(c_nationkey) mn, greatest(stddev_samp(c_nationkey), 1e-9) sn FROM customer)
+SELECT _row + 1 AS c_custkey, c_mktsegment, round(ma + sa * {normal_sql(SEED, 'scale:c_acctbal', ['_row'])}, 3) AS c_acctbal,
+       CAST(round(mn + sn * {normal_sql(SEED, 'scale:c_nationkey', ['_row'])}) AS INTEGER) AS c_nationkey
+FROM m, ({_drawn_sql('customer', 'c_mktsegment', '(SELECT count(*) * 2 FROM customer)')})""")
+def q_twin_rows(spark, sf):
+    """The twin that ``synthetic_twin`` counts, value by value (names left out)."""
+    c = table(spark, sf, "customer").drop("c_name")
+    return S.scale(c, 2 * c.count(), SEED, ["c_custkey"]).withColumn("c_acctbal", F.round("c_acctbal", 3))
+
+
 RECLIP = TableSpec("customer", (ColumnSpec("c_acctbal", "float", min_value=0.0, max_value=5000.0),))
 
 
@@ -140,6 +175,41 @@ def q_scale_copula(spark, sf):
                    F.count("p_retailprice").cast("long").alias("n_price"))
 
 
+_MIXED = "SELECT p_partkey, p_size, p_size * 10.0 + p_retailprice AS p_cost FROM part"
+
+
+@query("scale_copula_shape", f"""
+WITH s AS ({_MIXED}),
+r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS ra,
+             rank() OVER (ORDER BY p_cost) + (count(*) OVER (PARTITION BY p_cost) - 1) / 2.0 AS rb FROM s)
+SELECT CAST((SELECT count(*) * 10 FROM part) AS BIGINT) AS n_rows, round(corr(ra, rb), 6) AS rho_seed, TRUE AS rho_kept,
+       min((SELECT min(p_size) FROM part)) AS least_size, max((SELECT max(p_size) FROM part)) AS most_size, TRUE AS marginals_kept FROM r""")
+def q_scale_copula_shape(spark, sf):
+    """The scaled table against its seed: rank correlation within 0.05, every decile of both columns at its place within 0.03.
+
+    p_cost depends on p_size, so independent columns fail.
+    """
+    p = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_size") * 10.0 + F.col("p_retailprice")).alias("p_cost"))
+    cols = ["p_size", "p_cost"]
+    out = cut_lineage(S.scale_copula(p, cols, ["p_partkey"], p.count() * 10, SEED))  # drawn once, measured twice
+    tenths = [k / 10 for k in range(1, 10)]
+    marks = p.agg(*[F.percentile(c, F.array(*[F.lit(t) for t in tenths])).alias(c) for c in cols]).first()
+    spots = [(c, k, x) for c in cols for k, x in enumerate(marks[c] or [])]
+
+    def below(df, tag):  # share of the rows below each of the seed's deciles, equal ones half
+        return df.agg(F.count(F.lit(1)).alias(f"{tag}_n"), F.min("p_size").alias(f"{tag}_least"), F.max("p_size").alias(f"{tag}_most"),
+                      *[F.avg((F.col(c) < x).cast("double") + (F.col(c) == x).cast("double") / 2).alias(f"{tag}_{c}_{k}") for c, k, x in spots])
+
+    one = below(p, "a")  # rows of one table each, put beside each other
+    for part in (below(out, "b"), CR.spearman_matrix(p, cols).select(F.col("rho").alias("a_rho")),
+                 CR.spearman_matrix(out, cols).select(F.col("rho").alias("b_rho"))):
+        one = one.unionByName(part, allowMissingColumns=True)
+    one = one.agg(*[F.max(c).alias(c) for c in one.columns])
+    apart = F.greatest(F.lit(0.0), F.lit(0.0), *[F.abs(F.col(f"a_{c}_{k}") - F.col(f"b_{c}_{k}")) for c, k, _ in spots])
+    return one.select(F.col("b_n").alias("n_rows"), F.round("a_rho", 6).alias("rho_seed"), (F.abs(F.col("b_rho") - F.col("a_rho")) <= 0.05).alias("rho_kept"),
+                      F.col("b_least").alias("least_size"), F.col("b_most").alias("most_size"), (apart <= 0.03).alias("marginals_kept"))
+
+
 # ------------------------------------------------------------ correlation
 
 LI_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
