@@ -5,8 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weft.llm.packing import LENGTHS, best_fit, pack
-from weft.llm.queries import QUERIES
+from weft.llm.packing import LENGTHS, best_fit, pack, pack_tokens
+from weft.llm.queries import QUERIES, tokenizer_path
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -47,14 +47,69 @@ def check(rows, top=max(LENGTHS)):
     return docs
 
 
+def library_counts(texts):
+    """Ids of whole texts by the library, and the end id."""
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    return {d: len(tk.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in texts.items()}
+
+
+def brute(sizes, lengths, overhead):
+    """Bin of every piece and the bins' lengths, each piece held against every bin and every later piece."""
+    at, room, used = [None] * len(sizes), [], []
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    for n, i in enumerate(order):
+        s = sizes[i]
+        fits = [(r, b) for b, r in enumerate(room) if r >= s and r > 0]
+        if fits:
+            b = min(fits)[1]
+        else:
+            costs = []
+            for length in lengths:
+                fill = s
+                for j in order[n + 1:]:
+                    if fill + sizes[j] <= length:
+                        fill += sizes[j]
+                if length >= s:
+                    costs.append(((length + overhead) / max(1, fill), length))
+            b = len(room)
+            room.append(min(costs)[1])
+            used.append(0)
+        at[i] = b
+        room[b] -= s
+        used[b] += s
+    return at, [min(n for n in lengths if n >= u) for u in used]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 64), max_size=50), st.integers(0, 20))
+def test_pack_against_brute_force(sizes, overhead):
+    bins, _, length = pack(np.array(sizes, np.int64), (16, 32, 64), overhead)
+    assert (bins.tolist(), length) == brute(sizes, (16, 32, 64), overhead)
+
+
+def test_messy_rows_by_token_ids(spark, messy, no_docs, clashing):
+    from llm.conftest import messy_rows
+
+    texts = {r[0]: r[1] for r in messy_rows() if r[0] is not None}
+    want = library_counts(texts)
+    want[2] *= 2  # stands twice
+    for df in (messy, clashing):
+        docs = check(pack_tokens(df, tokenizer_path("word_bpe_49k.json")).collect())
+        assert {d: sum(r["n_tokens"] for r in rs) for d, rs in docs.items() if d is not None} == want
+        assert len(docs[None]) == 2 and want[4] == want[5] == 1 and len(docs[14]) == -(-want[14] // 4096)
+    assert pack_tokens(no_docs, tokenizer_path("word_bpe_49k.json")).collect() == []
+
+
 def test_query(spark):
     rows = QUERIES["op4_best_fit_packing"](spark, SF_SMALL).collect()
     docs = check(rows)
-    words = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
-    assert {d: sum(r["n_tokens"] for r in rs) for d, rs in docs.items()} == words
+    ids = library_counts({r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()})
+    assert {d: sum(r["n_tokens"] for r in rs) for d, rs in docs.items()} == ids
     assert all(sorted(r["piece"] for r in rs) == list(range(rs[0]["n_pieces"])) for rs in docs.values())
     bins = {(r["group"], r["bin"]): r["length"] for r in rows}
-    assert sum(words.values()) / sum(bins.values()) > 0.95  # little padding
+    assert sum(ids.values()) / sum(bins.values()) > 0.95  # little padding
 
 
 def test_messy_rows(spark, messy, no_docs, clashing):

@@ -14,6 +14,7 @@ ROOT = Path(__file__).resolve().parents[2]
 def test_stages_against_brute_force(spark):
     """Every stage's decisions, taken again from what the stage before it kept."""
     from llm.test_lines import brute as lines
+    from llm.test_packing import library_counts
     from llm.test_quality import sql_rows
     from llm.test_simhash import brute as simhash
     from llm.test_suffix import cover
@@ -38,7 +39,7 @@ def test_stages_against_brute_force(spark):
     tokens = defaultdict(int)
     for r in kept[5].collect():
         tokens[r["doc_id"]] += r["n_tokens"]
-    assert dict(tokens) == {d: len(t.encode().split()) for d, t in pairs[4]}
+    assert dict(tokens) == library_counts(dict(pairs[4]))
     assert P.run(spark, SF_SMALL).count() == kept[5].count()
 
 

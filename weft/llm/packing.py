@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import stored
+from weft.llm.tokens import count_tokens
 
 LENGTHS = (512, 1024, 2048, 4096)
 OVERHEAD = 16  # cost of a bin besides its length, in tokens
@@ -75,12 +76,23 @@ def _open(desc: np.ndarray, at: int, s: int, lengths: tuple[int, ...], overhead:
     return best
 
 
+def pack_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text: str = "text",
+                lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> DataFrame:
+    """``best_fit`` over the token ids of the texts, each document with its end id; a null or empty text is the end id alone.
+
+    Rows as in ``best_fit``; its rules for nulls, ties, repeated rows, long texts and empty tables hold.
+    """
+    counted = count_tokens(docs, tokenizer, end_id, id_col, text)
+    return best_fit(counted, F.col("n_tokens"), id_col, "text_hash", lengths, overhead)
+
+
 def best_fit(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id", text: str = "text",
              lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD) -> DataFrame:
     """One row per piece: id, piece, n_pieces, start (token of the document), n_tokens, group, bin, offset, length, bin_tokens.
 
     A document of more tokens than the largest length is cut into pieces of that length and one rest; no
-    token is lost. ``tokens`` counts a row's tokens (default: its words). Documents without tokens
+    token is lost. ``tokens`` counts a row's tokens (default: its words); ``text`` is any column that tells rows
+    of one id apart. Documents without tokens
     (null or empty text) give one piece of 0 tokens in a bin. (group, bin) names a sequence of ``length``
     tokens that holds ``bin_tokens``; a piece stands at ``offset``. Null ids and repeated rows are packed
     like any other row. Other columns are ignored; an empty table gives an empty result.

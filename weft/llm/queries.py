@@ -11,7 +11,7 @@ from weft.llm.common import table
 from weft.llm.jaccard import jaccard_components
 from weft.llm.line_dedup import line_dedup
 from weft.llm.merkle import verified_manifest
-from weft.llm.packing import best_fit
+from weft.llm.packing import pack_tokens
 from weft.llm.pieces import piece_digests
 from weft.llm.quality import quality_measures
 from weft.llm.sharding import minimax_shards
@@ -65,7 +65,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
 @query("op5_exact_top_k", TOPK_SQL)

@@ -283,6 +283,25 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return cols.mapInArrow(decode, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
+def count_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: id, n_tokens (the ids ``write_tokens`` would write, the end id counted) and text_hash, which tells rows of one id apart.
+
+    Null and empty texts have only the end id. Texts, however long, are encoded whole where they are read; repeated
+    rows and null ids are rows like any other, other columns are left out, an empty table gives an empty result.
+    """
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, end_id)
+        for b in batches:
+            for lo, size in _slices(b.column("text")):
+                sub = b.slice(lo, size)
+                n = [len(x) // 4 for x in enc.many([x or "" for x in sub.column("text").to_pylist()])]
+                yield pa.RecordBatch.from_arrays([sub.column("id"), pa.array(n, pa.int64()), sub.column("text_hash")], names=["id", "n_tokens", "text_hash"])
+
+    return src.mapInArrow(count, "id long, n_tokens long, text_hash long").withColumnRenamed("id", id_col)
+
+
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Write ``docs`` to a new folder beside the checkpoints and return what the files hold."""
     path = scratch_path(docs.sparkSession, "tokens")
