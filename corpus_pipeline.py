@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import stored, table
 from weft.llm.line_dedup import line_dedup
-from weft.llm.packing import best_fit
+from weft.llm.packing import pack_tokens
 from weft.llm.quality import quality_measures
+from weft.llm.queries import tokenizer_path
 from weft.llm.simhash import one_per_component
 from weft.llm.suffix_dedup import suffix_dedup
 
@@ -46,8 +47,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece: its sequence (group, bin), offset, the sequence's length and fill."""
-    return best_fit(docs.select(*COLUMNS))
+    """One row per piece of token ids: its sequence (group, bin), offset, the sequence's length and fill."""
+    return pack_tokens(docs.select(*COLUMNS), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
