@@ -115,3 +115,20 @@ def test_nearest_vector_over_several_blocks_and_few_candidates(spark):
     share = ST.best_above(unit(asks), unit(vecs), 0.92, 8)[3]
     print("candidate share", share)
     assert share < 0.2
+
+
+def test_random_vectors_are_multiplied_in_tiles_and_copies_tie(monkeypatch):
+    """Where the bound parts nothing, pairs are not picked one by one; the first of equal vectors wins."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((900, 32))
+    x[700:720] = x[40]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    picked, plain = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: picked.append(len(a)) or plain(how, a, b))
+    hit, who, best, _ = ST.best_above(x, x, 0.3, 8, np.arange(900))
+    sim = x @ x.T
+    np.fill_diagonal(sim, -1)
+    sim[np.ix_([40, *range(700, 720)], [40, *range(700, 720)])] = 2
+    np.fill_diagonal(sim, -1)
+    assert hit.tolist() == np.flatnonzero(sim.max(axis=1) > 0.3).tolist() and who.tolist() == sim.argmax(axis=1)[hit].tolist()
+    assert sum(picked) < 900 * 900 / 50

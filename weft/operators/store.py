@@ -77,6 +77,7 @@ def _norm(a: Column) -> Column:
 
 BLOCK_ROWS = 16_384  # stored vectors held by a task at once
 TILE = 1 << 20  # similarities computed at once
+PROBE, DENSE = 8, 1 / 16  # queries of a tile that are tried first; share of pairs from which one product is cheaper than picked ones
 
 
 def principal_axes(unit: DataFrame, col: str, dim: int):
@@ -103,24 +104,39 @@ def best_above(q, x, threshold: float, lead: int, own=None):
     """(query row, stored row, similarity, candidate share): the best stored row above ``threshold`` per query, the first on ties.
 
     With unit rows, q.x <= lead part + |rest of q| |rest of x|; only pairs whose bound passes get the
-    rest of their product. ``own``: stored row that a query may not take (-1: none).
+    rest of their product. Where a probe of a tile's queries says that the bound keeps more than DENSE of the
+    pairs, the whole tile is one matrix product instead. Either way only pairs that may be a query's best
+    are summed in one fixed order, so equal vectors tie. ``own``: stored row that a query may not take (-1: none).
     """
     import numpy as np
 
     rest_q, rest_x = np.sqrt(np.maximum(0, 1 - (q[:, :lead] ** 2).sum(axis=1))), np.sqrt(np.maximum(0, 1 - (x[:, :lead] ** 2).sum(axis=1)))
     best, who, met = np.full(len(q), threshold), np.full(len(q), -1), 0
     step = max(1, TILE // max(1, len(x)))
+
+    def passing(sl):
+        return q[sl, :lead] @ x[:, :lead].T + rest_q[sl, None] * rest_x > threshold - 1e-9
+
     for lo in range(0, len(q), step):
-        sl = slice(lo, lo + step)
-        part = q[sl, :lead] @ x[:, :lead].T
-        r, c = np.nonzero(part + rest_q[sl, None] * rest_x > threshold - 1e-9)
-        if own is not None:
-            keep = own[sl][r] != c
-            r, c = r[keep], c[keep]
-        met += len(r)
+        sl = slice(lo, min(lo + step, len(q)))
+        probe = passing(slice(lo, min(lo + PROBE, sl.stop)))
+        if np.count_nonzero(probe) > DENSE * probe.size:
+            sim = q[sl] @ x.T
+            met += sim.size
+            if own is not None:
+                has = np.flatnonzero(own[sl] >= 0)
+                sim[has, own[sl][has]] = -np.inf
+            near = sim >= np.maximum(sim.max(axis=1), threshold)[:, None] - 1e-9
+        else:
+            near = passing(sl)
+            met += np.count_nonzero(near)
+            if own is not None:
+                has = np.flatnonzero(own[sl] >= 0)
+                near[has, own[sl][has]] = False
+        r, c = np.nonzero(near)
         for at in range(0, len(r), TILE // 8):
             rr, cc = r[at: at + TILE // 8], c[at: at + TILE // 8]
-            sim = part[rr, cc] + np.einsum("ij,ij->i", q[sl][rr, lead:], x[cc, lead:])
+            sim = np.einsum("ij,ij->i", q[sl][rr], x[cc])
             order = np.lexsort((cc, -sim, rr))  # best first within each query
             first = order[np.r_[True, rr[order][1:] != rr[order][:-1]]] if len(order) else order
             better = sim[first] > best[lo + rr[first]]
