@@ -47,14 +47,13 @@ def code_guard(df: DataFrame, code_col: str, valid: DataFrame, valid_col: str, f
 def parse_requests(df: DataFrame, text_col: str) -> DataFrame:
     """Request row per text without a model: domain, country, state, row count and seed. Row-local: callers
     with few large input files can ``spread`` them over all cores first."""
-    region = TX.extract_region(F.col(text_col))
-    staged = TX.with_domain(df, text_col, "domain")
+    staged = TX.with_row_count(TX.with_domain_and_region(df, text_col, "domain", "_region"), text_col, "row_count")
     return staged.select(
         *df.columns,
         "domain",
-        region["country"].alias("country"),
-        region["state"].alias("state"),
-        TX.extract_row_count(F.col(text_col)).alias("row_count"),
+        F.col("_region.country").alias("country"),
+        F.col("_region.state").alias("state"),
+        "row_count",
         R.seed_of_text(F.col(text_col)).alias("seed"),
     )
 

@@ -81,7 +81,7 @@ def q_classify_domain(spark, sf):
 
 @query("extract_row_count", f"SELECT src, id, {_rowcount_sql('text')} AS row_count FROM ({PROMPTS_SQL})")
 def q_extract_row_count(spark, sf):
-    return prompts(spark, sf).select("src", "id", TX.extract_row_count(F.col("text")).alias("row_count"))
+    return TX.with_row_count(prompts(spark, sf), "text").select("src", "id", "row_count")
 
 
 _ST, _CO = _region_sql("text")
