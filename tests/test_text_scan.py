@@ -94,3 +94,9 @@ def test_ordinal_with_a_given_hash_and_counts(spark):
     h = df.withColumn("h", R.hex52(F.concat_ws(":", F.col("id").cast("string"))))
     a = ordinal(df, "v", ["id"], "p").select("id", "p").collect()
     assert sorted(a) == sorted(ordinal(h, "v", ["id"], "p", hashed="h", counted=h).select("id", "p").collect())
+
+
+def test_rows_of_one_key_take_places_by_the_tie_columns(spark):
+    df = spark.createDataFrame([(1, 5, t) for t in (2, 0, 3, 1)] + [(2, 4, 0)], "id int, v int, t int").repartition(4)
+    got = ordinal(df, "v", ["id"], "p", ties=["t"]).select("id", "t", "p").collect()
+    assert sorted((r.p, r.t) for r in got) == [(0, 0), (1, 3), (2, 2), (3, 1), (4, 0)]
