@@ -101,6 +101,38 @@ def test_equal_prefixes_and_sizes_make_one_group(spark, monkeypatch):
     assert got(J.jaccard_components(spark.createDataFrame(pairs, "doc_id long, text string"), shingle=1)) == brute(pairs, 1)
 
 
+def degrees(pairs, k=4, percent=85):
+    """id: other shingle sets that link with its own."""
+    sets = {d: frozenset(shingles(t, k)) for d, t in pairs}
+    return {d: sum(100 * len(s & o) >= percent * len(s | o) for o in set(sets.values()) - {s} if s and o) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("seed,cell,room,sent", [(2, 3, 1 << 19, 400_000), (3, 4096, 3000, 0)])
+def test_all_links_of_a_component_are_counted(spark, monkeypatch, seed, cell, room, sent):
+    for name, value in (("CELL", cell), ("SHINGLES", room), ("SENT_ROWS", sent)):
+        monkeypatch.setattr(J, name, value)
+    texts = near_copies(120, seed, length=120, clusters=2)
+    pairs = list(enumerate([*texts, *texts[:9], None, ""], 1000))
+    out = J.jaccard_components(spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)).collect()
+    want = degrees(pairs)
+    assert {r["doc_id"]: r["n_links"] for r in out} == want and max(want.values()) > 8
+
+
+def test_links_of_blocks_equal_brute_force(monkeypatch):
+    r = np.random.default_rng(0)
+    monkeypatch.setattr(J, "FEW", 40)
+    for rows, expanded in ((512, 1 << 22), (7, 50)):
+        monkeypatch.setattr(J, "ROWS", rows)
+        monkeypatch.setattr(J, "EXPANDED", expanded)
+        for pool, core in ((40, 0), (400, 60), (5000, 30), (60, 3)):
+            sets = [np.unique(np.r_[np.arange(core)[r.random(core) > .03], 100_000 + r.integers(0, pool, int(r.integers(1, 30)))]).astype(np.uint64) for _ in range(45)]
+            link = np.array([[100 * len(np.intersect1d(a, b)) >= 60 * len(np.union1d(a, b)) for b in sets] for a in sets])
+            mine, theirs = J._linked(sets[:20], sets[20:], 60)
+            assert mine.tolist() == link[:20, 20:].sum(axis=1).tolist() and theirs.tolist() == link[:20, 20:].sum(axis=0).tolist()
+            assert J._linked(sets, None, 60)[0].tolist() == (link.sum(axis=1) - 1).tolist()
+            assert J._linked(sets[:6], None, 60)[0].tolist() == (link[:6, :6].sum(axis=1) - 1).tolist()
+
+
 def test_thresholds_meet_at_the_border():
     for a in range(1, 60):
         for b in range(a, 60):
